@@ -1,0 +1,15 @@
+"""Log dialects in registry order. A further tool is one more ``Dialect`` entry."""
+
+from __future__ import annotations
+
+from turnledger.schema import CUMULATIVE_TOOLS, TOOLS
+from turnledger.sources.dialects.claude_code import CLAUDE_CODE
+from turnledger.sources.dialects.codex import CODEX
+from turnledger.sources.dialects.common import Dialect
+from turnledger.sources.dialects.opencode import OPENCODE
+
+DIALECTS: dict[str, Dialect] = {d.tool: d for d in (CLAUDE_CODE, CODEX, OPENCODE)}
+TOOL_RANK: dict[str, int] = {tool: rank for rank, tool in enumerate(DIALECTS)}
+
+assert tuple(DIALECTS) == TOOLS
+assert tuple(t for t, d in DIALECTS.items() if d.cumulative) == CUMULATIVE_TOOLS
