@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnledger.functions.paths import file_stem, plain_path, project_from_path
 from turnledger.sources.dialects.common import EVENT, MODEL, SESSION
 
-SPLIT_KEY = ("source_file", "split_start")
+SPLIT_KEY = ("file_path", "split_start")
 
 # --- fixed values -----------------------------------------------------------
 BYTE_ORDER_MARK_BYTES = 3
@@ -27,7 +28,7 @@ def _is(outcome: str) -> Column:
 def split_summaries(facts: DataFrame) -> DataFrame:
     """One row per split, combined inside the tasks that read it."""
     session = F.struct("session_id", "project")
-    return facts.groupBy("tool", *SPLIT_KEY).agg(
+    return facts.groupBy(*SPLIT_KEY).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("line_bytes").alias("n_bytes"),
         F.count_if(_is(EVENT)).alias("n_events"),
@@ -43,7 +44,7 @@ def split_summaries(facts: DataFrame) -> DataFrame:
 def carry_over_splits(summaries: DataFrame) -> DataFrame:
     """What each split inherits from the earlier splits of its file, and what the whole
     file says: its bytes as read and its first session."""
-    by_file = Window.partitionBy("source_file").orderBy("split_start")
+    by_file = Window.partitionBy("file_path").orderBy("split_start")
     before = by_file.rowsBetween(Window.unboundedPreceding, -1)
     whole = by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     zero = F.lit(0).cast("bigint")
@@ -63,13 +64,22 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
 
     Adds ``line_no`` (from 0), ``start``/``end`` byte offsets, ``size`` and
     ``start_offset`` of the file, ``sequence`` (usage lines before this one),
-    ``carried_model`` and the file's first ``file_session``.
+    ``carried_model``, the file's first ``file_session``, and what its path says.
 
     The reader strips a byte order mark; the missing bytes show as a total below the
     file size and are put back.
     """
-    context = carry_over_splits(split_summaries(facts)).join(
-        files.select("source_file", "size", "start_offset"), "source_file"
+    source_file = plain_path(F.col("file_path"))
+    context = (
+        carry_over_splits(split_summaries(facts))
+        .withColumn("source_file", source_file)
+        .join(files.select("source_file", "size", "start_offset"), "source_file")
+        .withColumns(
+            {
+                "file_stem": file_stem(F.col("source_file")),
+                "file_project": project_from_path(F.col("source_file")),
+            }
+        )
     )
     in_split = Window.partitionBy(*SPLIT_KEY).orderBy("row_id")
     so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -96,6 +106,9 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
         ),
         F.coalesce("_model", "model_before").alias("carried_model"),
         "file_session",
+        "source_file",
+        "file_stem",
+        "file_project",
     )
 
 

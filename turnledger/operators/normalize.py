@@ -11,7 +11,7 @@ from turnledger.operators.file_order import in_file_order
 from turnledger.operators.pinning import pin
 from turnledger.schema import USAGE_COLS
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
-from turnledger.sources.dialects.common import Dialect, line_facts
+from turnledger.sources.dialects.common import line_facts
 
 _PLACE = ("split_start", "row_id", "line_bytes")
 
@@ -33,9 +33,9 @@ def read_facts(lines_by_tool: dict[str, DataFrame]) -> DataFrame:
     return pin(facts, "line-facts")
 
 
-def _bound(dialects: list[Dialect], name: str) -> Column:
+def _bound(name: str) -> Column:
     value = F.col(name)
-    for dialect in dialects:
+    for dialect in DIALECTS.values():
         bound = dialect.bind().get(name)
         if bound is not None:
             value = F.when(F.col("tool") == dialect.tool, bound).otherwise(value)
@@ -50,7 +50,6 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
     at once.
     """
     placed = in_file_order(facts, files)
-    with_context = [d for d in DIALECTS.values() if d.bind is not None]
     rank = reduce(
         lambda other, item: F.when(F.col("tool") == item[0], item[1]).otherwise(other),
         TOOL_RANK.items(),
@@ -67,7 +66,7 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
         "start_offset",
         "line_no",
         rank.alias("tool_rank"),
-        *[flags[c] if c in flags else _bound(with_context, c) for c in USAGE_COLS],
+        *[flags[c] if c in flags else _bound(c) for c in USAGE_COLS],
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from turnledger.functions.paths import plain_path
 from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, new_complete_lines
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
@@ -148,7 +149,11 @@ def _commit(
     facts = read_facts(lines)
 
     # A file counts as read only if all its bytes arrived.
-    read_bytes = facts.groupBy("source_file").agg(F.sum("line_bytes").alias("read_bytes"))
+    read_bytes = (
+        facts.groupBy("file_path")
+        .agg(F.sum("line_bytes").alias("read_bytes"))
+        .select(plain_path(F.col("file_path")).alias("source_file"), "read_bytes")
+    )
     arrived = F.coalesce(F.col("read_bytes"), F.lit(0)) >= F.col("size") - BYTE_ORDER_MARK_BYTES
     checked = pin(
         files.join(read_bytes, "source_file", "left").withColumn("arrived", arrived), "read-files"

@@ -10,22 +10,39 @@ from turnledger.functions.coerce import (
     as_string,
     as_timestamp,
     as_true,
-    field,
     is_object,
 )
-from turnledger.functions.paths import project_from_path
 from turnledger.functions.tokens import digest
 from turnledger.schema import UNKNOWN_MODEL
 from turnledger.sources.dialects.common import (
     EVENT,
     IGNORED,
     Dialect,
+    Field,
     Layout,
     fallback_session,
     fallback_time,
     no_count,
 )
 
+# --- fixed values -----------------------------------------------------------
+_FIELDS = (
+    "message.usage",
+    "type",
+    "message.id",
+    "requestId",
+    "sessionId",
+    "message.model",
+    "timestamp",
+    "message.usage.input_tokens",
+    "message.usage.output_tokens",
+    "message.usage.cache_creation_input_tokens",
+    "message.usage.cache_read_input_tokens",
+    "isSidechain",
+    "cwd",
+)
+# ----------------------------------------------------------------------------
+
 
 def message_key(message_id: Column, request_id: Column, line: Column) -> Column:
     """Content-derived key: a replayed message keeps its key under a new session.
@@ -33,31 +50,36 @@ def message_key(message_id: Column, request_id: Column, line: Column) -> Column:
     Only a line without a message id falls back to a digest of file and line.
     """
     ids = F.concat_ws(":", F.lit("cc"), message_id, request_id)
-    by_line = F.concat(F.lit("cc:"), digest(F.col("source_file"), line))
+    by_line = F.concat(F.lit("cc:"), digest(F.col("file_path"), line))
     return F.when(message_id.isNotNull(), ids).otherwise(by_line)
 
 
-def _facts(line: Column, parsed: Column) -> dict[str, Column]:
-    usage = field(parsed, "message.usage")
-    carries_usage = (as_string(field(parsed, "type")) == "assistant") & is_object(usage)
-    message_id = as_string(field(parsed, "message.id"))
-    request_id = as_string(field(parsed, "requestId"))
+def _facts(line: Column, at: Field) -> dict[str, Column]:
+    usage = at("message.usage")
+    carries_usage = (as_string(at("type")) == "assistant") & is_object(usage)
+    message_id = as_string(at("message.id"))
+    request_id = as_string(at("requestId"))
     return {
         "outcome": F.when(carries_usage, F.lit(EVENT)).otherwise(F.lit(IGNORED)),
         "dedupe_key": F.when(carries_usage, message_key(message_id, request_id, line)),
-        "session_id": F.coalesce(as_string(field(parsed, "sessionId")), fallback_session()),
-        "model": F.coalesce(as_string(field(parsed, "message.model")), F.lit(UNKNOWN_MODEL)),
-        "ts": F.coalesce(as_timestamp(field(parsed, "timestamp")), fallback_time()),
-        "input_tokens": as_count(field(parsed, "message.usage.input_tokens")),
-        "output_tokens": as_count(field(parsed, "message.usage.output_tokens")),
-        "cache_write_tokens": as_count(field(parsed, "message.usage.cache_creation_input_tokens")),
-        "cache_read_tokens": as_count(field(parsed, "message.usage.cache_read_input_tokens")),
+        "session_id": as_string(at("sessionId")),
+        "model": F.coalesce(as_string(at("message.model")), F.lit(UNKNOWN_MODEL)),
+        "ts": F.coalesce(as_timestamp(at("timestamp")), fallback_time()),
+        "input_tokens": as_count(at("message.usage.input_tokens")),
+        "output_tokens": as_count(at("message.usage.output_tokens")),
+        "cache_write_tokens": as_count(at("message.usage.cache_creation_input_tokens")),
+        "cache_read_tokens": as_count(at("message.usage.cache_read_input_tokens")),
         # Thinking tokens are part of the output count here.
         "reasoning_tokens": no_count(),
-        "is_sidechain": as_true(field(parsed, "isSidechain")),
-        "project": F.coalesce(
-            as_string(field(parsed, "cwd")), project_from_path(F.col("source_file"))
-        ),
+        "is_sidechain": as_true(at("isSidechain")),
+        "project": as_string(at("cwd")),
+    }
+
+
+def _bind() -> dict[str, Column]:
+    return {
+        "session_id": fallback_session(),
+        "project": F.coalesce(F.col("project"), F.col("file_project")),
     }
 
 
@@ -65,5 +87,7 @@ CLAUDE_CODE = Dialect(
     tool="claude_code",
     # A project folder, then nested session folders.
     layout=Layout(min_folders=1, max_folders=7),
+    fields=_FIELDS,
     facts=_facts,
+    bind=_bind,
 )

@@ -8,8 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.coerce import is_single, parse_line, stripped
-from turnledger.functions.paths import file_stem
+from turnledger.functions.coerce import field, is_single, parse_line, stripped
 from turnledger.schema import TOKEN_COLS
 
 # --- fixed values -----------------------------------------------------------
@@ -17,6 +16,9 @@ EVENT, MODEL, SESSION = "event", "model", "session"
 IGNORED, MALFORMED = "ignored", "malformed"
 # ----------------------------------------------------------------------------
 
+# Lookup of a line's field by its dotted path.
+Field = Callable[[str], Column]
+
 FACT_COLS = (
     "outcome",
     "dedupe_key",
@@ -43,38 +45,50 @@ class Layout:
 class Dialect:
     """One log format: its tool id, its layout, and its reading of a line.
 
-    ``facts`` maps columns ``line`` and ``parsed`` to one column per name in
-    ``FACT_COLS``. A format whose usage lines depend on other lines of the same file
-    has ``bind``: the final columns, in terms of the context of the line in its file.
+    ``fields`` are the dotted paths the format reads. ``facts`` takes the line and a
+    lookup of those fields and gives columns named as in ``FACT_COLS``. ``bind`` gives
+    the columns that depend on the file: on its path or on other lines in it.
     """
 
     tool: str
     layout: Layout
-    facts: Callable[[Column, Column], dict[str, Column]]
+    fields: tuple[str, ...]
+    facts: Callable[[Column, Field], dict[str, Column]]
+    bind: Callable[[], dict[str, Column]]
     cumulative: bool = False
-    bind: Callable[[], dict[str, Column]] | None = None
 
 
 def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) -> DataFrame:
     """Reduce raw lines to counts, ids, model, time and paths.
 
     Runs before any shuffle, so message text never leaves the reading task. ``lines``
-    has ``source_file``, ``mtime_ms`` and ``value``; columns in ``keep`` pass through.
+    has ``file_path``, ``mtime_ms`` and ``value``; columns in ``keep`` pass through.
+    Nothing derived from the path is built per line.
     """
     text = lines.withColumn("line", stripped(F.col("value"))).withColumn(
         "parsed", parse_line(F.col("line"))
     )
-    facts = dialect.facts(F.col("line"), F.col("parsed"))
+    # Every field is taken out of the parsed line once, whatever reads it later.
+    names = {path: f"_{i}" for i, path in enumerate(dialect.fields)}
+    text = text.select(
+        *keep,
+        "file_path",
+        "mtime_ms",
+        "line",
+        is_single(F.col("parsed")).alias("single"),
+        *[field(F.col("parsed"), path).alias(name) for path, name in names.items()],
+    )
+    facts = dialect.facts(F.col("line"), lambda path: F.col(names[path]))
     outcome = (
         F.when(F.col("line") == "", F.lit(IGNORED))
-        .when(~is_single(F.col("parsed")), F.lit(MALFORMED))
+        .when(~F.col("single"), F.lit(MALFORMED))
         .otherwise(facts["outcome"])
     )
     columns = {name: facts.get(name, F.lit(None)) for name in FACT_COLS}
     columns["outcome"] = outcome
     return text.select(
         *keep,
-        "source_file",
+        "file_path",
         *[columns[name].alias(name) for name in FACT_COLS],
         F.when(outcome == MALFORMED, F.md5(F.col("line").cast("binary"))).alias("raw_md5"),
     )
@@ -86,7 +100,8 @@ def fallback_time() -> Column:
 
 
 def fallback_session() -> Column:
-    return file_stem(F.col("source_file"))
+    """The session the line names, else the stem of its file."""
+    return F.coalesce(F.col("session_id"), F.col("file_stem"))
 
 
 def no_count() -> Column:

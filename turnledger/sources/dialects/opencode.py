@@ -9,7 +9,6 @@ from turnledger.functions.coerce import (
     as_count,
     as_string,
     as_timestamp,
-    field,
     is_object,
     non_null,
 )
@@ -19,49 +18,73 @@ from turnledger.sources.dialects.common import (
     EVENT,
     IGNORED,
     Dialect,
+    Field,
     Layout,
     fallback_session,
     fallback_time,
 )
 
+# --- fixed values -----------------------------------------------------------
+_FIELDS = (
+    "tokens",
+    "id",
+    "sessionID",
+    "modelID",
+    "model",
+    "tokens.input",
+    "tokens.output",
+    "tokens.cache.write",
+    "tokens.cache.read",
+    "tokens.reasoning",
+    "time.completed",
+    "time.created",
+    "time",
+    "timestamp",
+)
+# ----------------------------------------------------------------------------
+
 
-def _entry_time(parsed: Column) -> Column:
+def _entry_time(at: Field) -> Column:
     """The first time field that is not null decides, usable or not."""
     picked = F.coalesce(
         *[
-            non_null(field(parsed, path))
+            non_null(at(path))
             for path in ("time.completed", "time.created", "time", "timestamp")
         ]
     )
     return as_timestamp(picked)
 
 
-def _facts(line: Column, parsed: Column) -> dict[str, Column]:
-    carries_usage = is_object(field(parsed, "tokens"))
-    entry_id = as_string(field(parsed, "id"))
+def _facts(line: Column, at: Field) -> dict[str, Column]:
+    carries_usage = is_object(at("tokens"))
+    entry_id = as_string(at("id"))
     return {
         "outcome": F.when(carries_usage, F.lit(EVENT)).otherwise(F.lit(IGNORED)),
         "dedupe_key": F.when(
             carries_usage,
-            F.concat(F.lit("oc:"), F.coalesce(entry_id, digest(F.col("source_file"), line))),
+            F.concat(F.lit("oc:"), F.coalesce(entry_id, digest(F.col("file_path"), line))),
         ),
-        "session_id": F.coalesce(as_string(field(parsed, "sessionID")), fallback_session()),
+        "session_id": as_string(at("sessionID")),
         "model": F.coalesce(
-            as_string(field(parsed, "modelID")),
-            as_string(field(parsed, "model")),
+            as_string(at("modelID")),
+            as_string(at("model")),
             F.lit(UNKNOWN_MODEL),
         ),
-        "ts": F.coalesce(_entry_time(parsed), fallback_time()),
-        "input_tokens": as_count(field(parsed, "tokens.input")),
-        "output_tokens": as_count(field(parsed, "tokens.output")),
-        "cache_write_tokens": as_count(field(parsed, "tokens.cache.write")),
-        "cache_read_tokens": as_count(field(parsed, "tokens.cache.read")),
-        "reasoning_tokens": as_count(field(parsed, "tokens.reasoning")),
+        "ts": F.coalesce(_entry_time(at), fallback_time()),
+        "input_tokens": as_count(at("tokens.input")),
+        "output_tokens": as_count(at("tokens.output")),
+        "cache_write_tokens": as_count(at("tokens.cache.write")),
+        "cache_read_tokens": as_count(at("tokens.cache.read")),
+        "reasoning_tokens": as_count(at("tokens.reasoning")),
         "is_sidechain": F.lit(False),
         "project": F.lit(None).cast("string"),
     }
 
 
+def _bind() -> dict[str, Column]:
+    return {"session_id": fallback_session()}
+
+
 OPENCODE = Dialect(
     tool="opencode",
     layout=Layout(
@@ -69,5 +92,7 @@ OPENCODE = Dialect(
         max_folders=7,
         top_folders=("storage", "session", "sessions", "message"),
     ),
+    fields=_FIELDS,
     facts=_facts,
+    bind=_bind,
 )

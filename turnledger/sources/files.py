@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnledger.functions.paths import local_path, plain_path
+from turnledger.functions.paths import local_path
 from turnledger.schema import MANIFEST
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
 from turnledger.sources.dialects.common import Layout
@@ -150,7 +150,7 @@ def read_lines(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
         .text([literal_path(uri) for uri in uris])
     )
     return raw.select(
-        plain_path(F.col("_metadata.file_path")).alias("source_file"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
