@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +17,14 @@ from turnledger.sources.dialects.common import line_facts
 _PLACE = ("split_start", "row_id", "line_bytes")
 
 
-def read_facts(lines_by_tool: dict[str, DataFrame]) -> DataFrame:
+def read_facts(lines_by_tool: dict[str, DataFrame], keep: Sequence[str] = ()) -> DataFrame:
     """Facts of all tools' lines in registry order, written once.
 
     The logs are scanned a single time: every later step reads the written facts,
     which hold no message text. Line positions are frozen with them.
     """
     parts = [
-        line_facts(lines_by_tool[tool], dialect, keep=_PLACE).select(
+        line_facts(lines_by_tool[tool], dialect, keep=(*_PLACE, *keep)).select(
             F.lit(tool).alias("tool"), "*"
         )
         for tool, dialect in DIALECTS.items()

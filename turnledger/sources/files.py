@@ -37,6 +37,7 @@ class Source:
 
     tool: str
     roots: tuple[str, ...]
+    glob: str = LOG_GLOB
 
 
 def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
@@ -45,7 +46,7 @@ def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
     Only file status is read, never content. A root that does not exist adds nothing.
     """
     listed = [
-        _list_root(spark, source.tool, root) for source in sources for root in source.roots
+        _list_root(spark, source, root) for source in sources for root in source.roots
     ]
     present = [df for df in listed if df is not None]
     if not present:
@@ -58,16 +59,16 @@ def detected_tools(spark: SparkSession, sources: Iterable[Source]) -> dict[str,
     """Whether any root of a tool exists."""
     found: dict[str, bool] = {}
     for source in sources:
-        exists = any(_open_root(spark, root) is not None for root in source.roots)
+        exists = any(_open_root(spark, root, source.glob) is not None for root in source.roots)
         found[source.tool] = found.get(source.tool, False) or exists
     return found
 
 
-def _open_root(spark: SparkSession, root: str) -> DataFrame | None:
+def _open_root(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", LOG_GLOB)
+        .option("pathGlobFilter", glob)
     )
     try:
         return reader.load(literal_path(root)).select("path", "length", "modificationTime")
@@ -75,18 +76,18 @@ def _open_root(spark: SparkSession, root: str) -> DataFrame | None:
         return None
 
 
-def _list_root(spark: SparkSession, tool: str, root: str) -> DataFrame | None:
-    files = _open_root(spark, root)
+def _list_root(spark: SparkSession, source: Source, root: str) -> DataFrame | None:
+    files = _open_root(spark, root, source.glob)
     if files is None:
         return None
     path = local_path(F.col("path"))
-    return files.filter(_in_layout(path, root, DIALECTS[tool].layout)).select(
-        F.lit(tool).alias("tool"),
+    return files.filter(_in_layout(path, root, DIALECTS[source.tool].layout)).select(
+        F.lit(source.tool).alias("tool"),
         path.alias("source_file"),
         F.col("length").alias("size"),
         F.unix_millis("modificationTime").alias("mtime_ms"),
         F.col("path").alias("uri"),
-        F.lit(TOOL_RANK[tool]).alias("tool_rank"),
+        F.lit(TOOL_RANK[source.tool]).alias("tool_rank"),
     )
 
 
@@ -136,19 +137,23 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, uris: Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: Sequence[str], glob: str | None = None) -> DataFrame:
     """Every line of the files with its place in the read.
 
+    ``paths`` are files, or folders when a ``glob`` for the files in them is given.
+
     Files stay splittable. ``row_id`` grows with the line inside one split, splits are
     ordered by ``split_start``; together they give the file order. ``line_bytes``
     counts the line break, which the last line of a file may lack.
     """
-    raw = (
+    reader = (
         spark.read.option("lineSep", "\n")
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
-        .text([literal_path(uri) for uri in uris])
     )
+    if glob is not None:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    raw = reader.text([literal_path(path) for path in paths])
     return raw.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
