@@ -53,15 +53,19 @@ def register_sql_functions(spark: SparkSession, tz: str = "UTC") -> None:
     SQL functions are inlined into the plan as plain expressions.
     """
     zone = tz.replace("'", "")
+    # The parameter must not be called like the column it is given: the optimizer drops
+    # such an alias and then fails on a second function over the same column.
     day = (
         f"to_date(convert_timezone('UTC', '{zone}', "
-        "cast(timestamp_seconds(ts) as timestamp_ntz)))"
+        "cast(timestamp_seconds(unix_ts) as timestamp_ntz)))"
     )
-    spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION local_day(ts BIGINT) RETURNS DATE RETURN {day}"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION week_label(ts BIGINT) RETURNS STRING RETURN "
+    week = f"floor((dayofyear({day}) + 6 - weekday({day})) / 7)"
+    label = (
         f"concat(lpad(cast(year({day}) as string), 4, '0'), '-W', "
-        f"lpad(cast(floor((dayofyear({day}) + 6 - weekday({day})) / 7) as string), 2, '0'))"
+        f"lpad(cast({week} as string), 2, '0'))"
     )
+    for name, returns, body in (("local_day", "DATE", day), ("week_label", "STRING", label)):
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(unix_ts BIGINT) "
+            f"RETURNS {returns} RETURN {body}"
+        )
