@@ -17,7 +17,7 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 # Numeric timestamps above this are milliseconds.
-MILLISECONDS_FROM = 1e11
+MILLISECONDS_FROM = 100_000_000_000
 # ISO dates and date-times; other date spellings give no timestamp.
 ISO_TIMESTAMP = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
@@ -49,49 +49,63 @@ def field(parsed: Column, path: str) -> Column:
     return F.try_variant_get(parsed, f"$[0].{path}", "variant")
 
 
-def kind(value: Column) -> Column:
-    """Type name of a VARIANT value; null where the field is absent."""
-    return F.schema_of_variant(value)
+# The readings below take the name of a VARIANT column (or SQL text for one) and are
+# written as SQL: a line has a dozen fields, and each reading is then one expression.
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value).startswith("OBJECT"), F.lit(False))
+def _number_sql(value: str) -> str:
+    name = f"schema_of_variant({value})"
+    return (
+        f"(CASE WHEN {name} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({name}, 'DECIMAL') "
+        f"THEN try_variant_get({value}, '$', 'double') END)"
+    )
 
 
-def as_string(value: Column) -> Column:
-    """A non-empty JSON string; numbers and booleans are not strings."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when((kind(value) == "STRING") & (text != ""), text)
+def _string_sql(value: str) -> str:
+    return (
+        f"(CASE WHEN schema_of_variant({value}) = 'STRING' "
+        f"THEN nullif(try_variant_get({value}, '$', 'string'), '') END)"
+    )
 
 
-def as_true(value: Column) -> Column:
-    """True only for the JSON literal ``true``."""
-    flag = (kind(value) == "BOOLEAN") & F.try_variant_get(value, "$", "boolean")
-    return F.coalesce(flag, F.lit(False))
+def is_object(value: str) -> Column:
+    return F.expr(f"coalesce(startswith(schema_of_variant({value}), 'OBJECT'), false)")
 
 
-def _is_number(value: Column) -> Column:
-    name = kind(value)
-    return name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+def as_string(value: str) -> Column:
+    """A non-empty JSON string; numbers and booleans are not strings."""
+    return F.expr(_string_sql(value))
 
 
-def as_count(value: Column) -> Column:
-    """A finite, non-negative JSON number rounded down; anything else counts as zero."""
-    number = F.try_variant_get(value, "$", "double")
-    usable = _is_number(value) & (number >= 0) & (number < F.lit(float("inf")))
-    return F.when(usable, F.floor(number).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+def as_true(value: str) -> Column:
+    """True only for the JSON literal ``true``."""
+    return F.expr(
+        f"coalesce(CASE WHEN schema_of_variant({value}) = 'BOOLEAN' "
+        f"THEN try_variant_get({value}, '$', 'boolean') END, false)"
+    )
 
 
-def as_timestamp(value: Column) -> Column:
-    """Unix seconds of an ISO string or an epoch number in seconds or milliseconds."""
-    number = F.try_variant_get(value, "$", "double")
-    seconds = F.when(number > MILLISECONDS_FROM, number / 1000).otherwise(number)
-    finite = F.abs(number) < F.lit(float("inf"))
-    text = as_string(value)
-    iso = F.when(F.regexp_like(text, F.lit(ISO_TIMESTAMP)), F.unix_seconds(text.try_cast("timestamp")))
-    return F.when(_is_number(value) & finite, F.floor(seconds).cast("bigint")).otherwise(iso)
+def as_count(value: str) -> Column:
+    """A finite, non-negative JSON number rounded down; anything else counts as zero."""
+    number = _number_sql(value)
+    return F.expr(
+        f"CASE WHEN {number} >= 0 AND {number} < double('Infinity') "
+        f"THEN cast(floor({number}) AS bigint) ELSE 0L END"
+    )
 
 
-def non_null(value: Column) -> Column:
-    """The value, with JSON ``null`` treated like an absent field."""
-    return F.when(~F.is_variant_null(value), value)
+def as_timestamp(value: str) -> Column:
+    """Unix seconds of an ISO string or an epoch number in seconds or milliseconds."""
+    number, text = _number_sql(value), _string_sql(value)
+    return F.expr(
+        f"CASE WHEN abs({number}) < double('Infinity') THEN cast(floor("
+        f"if({number} > {MILLISECONDS_FROM}, {number} / 1000, {number})) AS bigint) "
+        f"WHEN {text} RLIKE r'{ISO_TIMESTAMP}' THEN unix_seconds(try_cast({text} AS timestamp)) END"
+    )
+
+
+def first_non_null(*values: str) -> str:
+    """SQL text of the first value that is neither absent nor JSON ``null``."""
+    return "coalesce({})".format(
+        ", ".join(f"if(is_variant_null({v}), NULL, {v})" for v in values)
+    )

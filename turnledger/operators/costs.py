@@ -40,22 +40,33 @@ def resolve_rates(models: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def inline_rates(model: Column, inline: tuple[tuple, ...]) -> Column:
-    """The same lookup as one expression: prefixes tested longest first."""
-    found = F.lit(None).cast(_RATES)
-    for prefix, *rates in sorted(inline, key=lambda row: len(row[0])):
-        literal = F.struct(
-            F.lit(prefix).alias("matched_prefix"),
-            *[F.lit(r).cast(RATE_TYPE).alias(c) for c, r in zip(RATE_COLS, rates, strict=True)],
+def inline_rates(model: str, inline: tuple[tuple, ...]) -> Column:
+    """The same lookup on a column as one expression: prefixes tested longest first."""
+    branches = []
+    for prefix, *rates in sorted(inline, key=lambda row: -len(row[0])):
+        fields = ", ".join(
+            f"'{name}', cast('{rate}' AS {RATE_TYPE.simpleString()})"
+            for name, rate in zip(RATE_COLS, rates, strict=True)
         )
-        found = F.when(model.startswith(F.lit(prefix)), literal).otherwise(found)
-    return found
+        text = _sql_text(prefix)
+        branches.append(
+            f"WHEN startswith({model}, {text}) "
+            f"THEN named_struct('matched_prefix', {text}, {fields})"
+        )
+    if not branches:
+        return F.lit(None).cast(_RATES)
+    return F.expr(f"CASE {' '.join(branches)} END")
+
+
+def _sql_text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def with_rates(df: DataFrame, pricing: Pricing) -> DataFrame:
     """Add ``rates`` (a struct, null for an unpriced model) to rows with a ``model``."""
     if pricing.inline is not None:
-        return df.withColumn("rates", inline_rates(F.col("model"), pricing.inline))
+        return df.withColumn("rates", inline_rates("model", pricing.inline))
     return df.join(resolve_rates(df, pricing.table()), "model", "left")
 
 

@@ -69,7 +69,8 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
     The reader strips a byte order mark; the missing bytes show as a total below the
     file size and are put back.
     """
-    source_file = plain_path(F.col("file_path"))
+    # Never null, so no null test on the decoded path is pushed down to every line.
+    source_file = F.coalesce(plain_path(F.col("file_path")), F.lit(""))
     context = (
         carry_over_splits(split_summaries(facts))
         .withColumn("source_file", source_file)
@@ -81,6 +82,9 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
             }
         )
     )
+    # The lines are partitioned by split for the window already. Hashing the context, one
+    # row per split, joins them in place; the size estimate of compressed facts would
+    # rather broadcast the lines.
     in_split = Window.partitionBy(*SPLIT_KEY).orderBy("row_id")
     so_far = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = facts.withColumns(
@@ -90,7 +94,7 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
             "_events": F.count_if(_is(EVENT)).over(so_far),
             "_model": F.last(F.when(_is(MODEL), F.col("model")), ignorenulls=True).over(so_far),
         }
-    ).join(context, [*SPLIT_KEY])
+    ).join(context.hint("shuffle_hash"), [*SPLIT_KEY])
     mark = F.when(F.col("file_bytes") < F.col("size"), BYTE_ORDER_MARK_BYTES).otherwise(0)
     end = F.col("bytes_before") + F.col("_bytes") + mark
     first_line = (F.col("lines_before") + F.col("_row")) == 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnledger.operators.file_order import new_complete_lines
 from turnledger.operators.normalize import place_and_bind, read_facts
+from turnledger.operators.pinning import pin
 from turnledger.session import configure
 from turnledger.sources.files import Source, list_files, read_lines
 
@@ -16,6 +17,8 @@ from turnledger.sources.files import Source, list_files, read_lines
 def read_logs(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
     """Every complete line of the logs: ``outcome``, usage columns, place in the file."""
     configure(spark)
-    files = list_files(spark, sources).withColumn("start_offset", F.lit(0).cast("bigint"))
+    listed = list_files(spark, sources).withColumn("start_offset", F.lit(0).cast("bigint"))
+    # Written, so the path tests of the listing are not repeated on every line.
+    files = pin(listed, "files")
     lines = {s.tool: read_lines(spark, s.roots, s.glob) for s in sources}
     return new_complete_lines(place_and_bind(read_facts(lines), files))

@@ -16,8 +16,8 @@ EVENT, MODEL, SESSION = "event", "model", "session"
 IGNORED, MALFORMED = "ignored", "malformed"
 # ----------------------------------------------------------------------------
 
-# Lookup of a line's field by its dotted path.
-Field = Callable[[str], Column]
+# Name of the column that holds a line's field, by its dotted path.
+Field = Callable[[str], str]
 
 FACT_COLS = (
     "outcome",
@@ -78,7 +78,7 @@ def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) ->
         is_single(F.col("parsed")).alias("single"),
         *[field(F.col("parsed"), path).alias(name) for path, name in names.items()],
     )
-    facts = dialect.facts(F.col("line"), lambda path: F.col(names[path]))
+    facts = dialect.facts(F.col("line"), names.__getitem__)
     outcome = (
         F.when(F.col("line") == "", F.lit(IGNORED))
         .when(~F.col("single"), F.lit(MALFORMED))

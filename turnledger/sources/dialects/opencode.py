@@ -9,8 +9,8 @@ from turnledger.functions.coerce import (
     as_count,
     as_string,
     as_timestamp,
+    first_non_null,
     is_object,
-    non_null,
 )
 from turnledger.functions.tokens import digest
 from turnledger.schema import UNKNOWN_MODEL
@@ -46,13 +46,8 @@ _FIELDS = (
 
 def _entry_time(at: Field) -> Column:
     """The first time field that is not null decides, usable or not."""
-    picked = F.coalesce(
-        *[
-            non_null(at(path))
-            for path in ("time.completed", "time.created", "time", "timestamp")
-        ]
-    )
-    return as_timestamp(picked)
+    paths = ("time.completed", "time.created", "time", "timestamp")
+    return as_timestamp(first_non_null(*[at(path) for path in paths]))
 
 
 def _facts(line: Column, at: Field) -> dict[str, Column]:
