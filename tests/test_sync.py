@@ -10,6 +10,9 @@ from turnledger.sources.files import Source, classify, list_files
 from turnledger.sources.ledger import Ledger
 
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
+
 class Setup:
     def __init__(self, spark, base):
         self.spark, self.base = spark, base

@@ -42,7 +42,9 @@ def line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turn_usage(line_events(spark, sf_dir), LINE_CUMULATIVE)
+    # The rows before de-duplication bound the session sizes without computing it twice.
+    every_row = usage_from_lineitem(spark, sf_dir)
+    return turn_usage(line_events(spark, sf_dir), LINE_CUMULATIVE, size_source=every_row)
 
 
 # --- per-turn deltas --------------------------------------------------------

@@ -24,6 +24,7 @@ def turn_usage(
     cumulative_tools: Sequence[str] | None = None,
     hot_session_rows: int = HOT_SESSION_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    size_source: DataFrame | None = None,
 ) -> DataFrame:
     """Per-turn view over ledger rows: the turn columns plus the order tuple.
 
@@ -36,10 +37,12 @@ def turn_usage(
 
     Sessions above ``hot_session_rows`` rows are split by range into chunks of about
     ``chunk_rows`` rows and stitched, so no session has to fit one task. The row counts for that choice are read when the
-    view is built.
+    view is built: from ``size_source`` if given, a cheaper frame that has at least
+    the rows of ``events`` in every session.
     """
+    sized = events if size_source is None else size_source
     if cumulative_tools is None:
-        return _difference(events, hot_session_rows, chunk_rows)
+        return _difference(events, sized, hot_session_rows, chunk_rows)
     in_list = F.col("tool").isin(*cumulative_tools)
     bypass = events.filter(~in_list).select(
         *[
@@ -54,14 +57,20 @@ def turn_usage(
             for c in (*TURN_COLS, *ORDER_COLS)
         ]
     )
-    return bypass.unionByName(_difference(events.filter(in_list), hot_session_rows, chunk_rows))
+    return bypass.unionByName(
+        _difference(
+            events.filter(in_list), sized.filter(in_list), hot_session_rows, chunk_rows
+        )
+    )
 
 
-def _difference(rows: DataFrame, hot_session_rows: int, chunk_rows: int) -> DataFrame:
+def _difference(
+    rows: DataFrame, sized: DataFrame, hot_session_rows: int, chunk_rows: int
+) -> DataFrame:
     # A frame no larger than the limit cannot hold a session above it.
-    if rows.count() <= hot_session_rows:
+    if sized.count() <= hot_session_rows:
         return _difference_whole_sessions(rows)
-    sizes = rows.groupBy(*SESSION_KEY).count().filter(F.col("count") > hot_session_rows)
+    sizes = sized.groupBy(*SESSION_KEY).count().filter(F.col("count") > hot_session_rows)
     hot = pin(sizes, "hot-sessions")
     n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
     if n_hot == 0:

@@ -34,13 +34,14 @@ def read_facts(lines_by_tool: dict[str, DataFrame], keep: Sequence[str] = ()) ->
     return pin(facts, "line-facts")
 
 
-def _bound(name: str) -> Column:
-    value = F.col(name)
+def _bound_columns() -> dict[str, Column]:
+    """The columns any dialect binds to file context, switched by tool."""
+    columns: dict[str, Column] = {}
     for dialect in DIALECTS.values():
-        bound = dialect.bind().get(name)
-        if bound is not None:
-            value = F.when(F.col("tool") == dialect.tool, bound).otherwise(value)
-    return value.alias(name)
+        for name, bound in dialect.bind().items():
+            other = columns.get(name, F.col(name))
+            columns[name] = F.when(F.col("tool") == dialect.tool, bound).otherwise(other)
+    return columns
 
 
 def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
         F.lit(None).cast("int"),
     )
     cumulative = F.col("tool").isin(*[t for t, d in DIALECTS.items() if d.cumulative])
-    flags = {"is_cumulative": cumulative.alias("is_cumulative")}
+    derived = {**_bound_columns(), "is_cumulative": cumulative}
     return placed.select(
         "outcome",
         "raw_md5",
@@ -67,7 +68,7 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
         "start_offset",
         "line_no",
         rank.alias("tool_rank"),
-        *[flags[c] if c in flags else _bound(c) for c in USAGE_COLS],
+        *[derived.get(c, F.col(c)).alias(c) for c in USAGE_COLS],
     )
 
 

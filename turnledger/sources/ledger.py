@@ -91,7 +91,8 @@ class Ledger:
         wanted = rows.select("dedupe_key").withColumn("key_bucket", key_bucket()).distinct()
         stored = self._read("events", _STORED_EVENTS).select("key_bucket", "dedupe_key")
         seen = stored.join(wanted, ["key_bucket", "dedupe_key"], "left_semi")
-        return candidates.join(seen, ["key_bucket", "dedupe_key"], "left_anti")
+        # On the key alone, the partitioning the candidates already have.
+        return candidates.join(seen.select("dedupe_key"), "dedupe_key", "left_anti")
 
     def append_events(self, rows: DataFrame) -> None:
         """Append the rows whose keys are new; first row wins.
