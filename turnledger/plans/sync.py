@@ -23,8 +23,7 @@ from turnledger.sources.files import (
     SKIPPED,
     Source,
     classify,
-    detected_tools,
-    list_files,
+    discover,
     read_lines,
 )
 from turnledger.sources.ledger import Ledger
@@ -76,10 +75,10 @@ def sync(
     configure(spark)
     started = time.monotonic()
     ledger = Ledger(spark, ledger_path)
-    detected = detected_tools(spark, sources)
+    listed, detected = discover(spark, sources)
     audits = {t: ToolAudit(t, detected.get(t, False)) for t in TOOLS}
 
-    manifest = pin(classify(list_files(spark, sources), ledger.scan_state()), "manifest")
+    manifest = pin(classify(listed, ledger.scan_state()), "manifest")
     for row in manifest.filter(F.col("status") == SKIPPED).groupBy("tool").count().collect():
         audits[row["tool"]].files_skipped = row["count"]
 

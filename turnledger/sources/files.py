@@ -40,28 +40,30 @@ class Source:
     glob: str = LOG_GLOB
 
 
-def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
-    """Manifest of all log files: tool, path, size and modification time.
+def discover(spark: SparkSession, sources: Iterable[Source]) -> tuple[DataFrame, dict[str, bool]]:
+    """Manifest of all log files, and per tool whether any of its roots exists.
 
-    Only file status is read, never content. A root that does not exist adds nothing.
+    Each root is listed once. Only file status is read, never content. A root that does
+    not exist adds nothing.
     """
-    listed = [
-        _list_root(spark, source, root) for source in sources for root in source.roots
-    ]
-    present = [df for df in listed if df is not None]
+    detected: dict[str, bool] = {}
+    present = []
+    for source in sources:
+        for root in source.roots:
+            files = _list_root(spark, source, root)
+            detected[source.tool] = detected.get(source.tool, False) or files is not None
+            if files is not None:
+                present.append(files)
     if not present:
-        return spark.createDataFrame([], _LISTED)
+        return spark.createDataFrame([], _LISTED), detected
     # A file reached through two roots is one file.
-    return reduce(DataFrame.unionByName, present).dropDuplicates(["tool", "source_file"])
+    listed = reduce(DataFrame.unionByName, present)
+    return listed.dropDuplicates(["tool", "source_file"]), detected
 
 
-def detected_tools(spark: SparkSession, sources: Iterable[Source]) -> dict[str, bool]:
-    """Whether any root of a tool exists."""
-    found: dict[str, bool] = {}
-    for source in sources:
-        exists = any(_open_root(spark, root, source.glob) is not None for root in source.roots)
-        found[source.tool] = found.get(source.tool, False) or exists
-    return found
+def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
+    """Manifest of all log files: tool, path, size and modification time."""
+    return discover(spark, sources)[0]
 
 
 def _open_root(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
