@@ -16,7 +16,7 @@ from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, new_complete_
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
 from turnledger.schema import TOOLS, USAGE_EVENTS
-from turnledger.session import configure
+from turnledger.session import configure, is_missing_path
 from turnledger.sources.dialects.common import EVENT, MALFORMED
 from turnledger.sources.files import (
     SCANNED,
@@ -122,7 +122,9 @@ def _read_present(spark: SparkSession, uris: list[str]) -> DataFrame | None:
     """Lines of the files that still exist."""
     try:
         return read_lines(spark, uris)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         # A listed file vanished before the read: look for the culprits one by one.
         present = [u for u in uris if _exists(spark, u)]
         return read_lines(spark, present) if present else None
@@ -132,7 +134,9 @@ def _exists(spark: SparkSession, uri: str) -> bool:
     try:
         read_lines(spark, [uri])
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return False
 
 

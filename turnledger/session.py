@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 _RUNTIME_SETTINGS = {
@@ -44,3 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/turnledger/{label}-{uuid.uuid4().hex}"
+
+
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because its path does not exist, and for no other reason."""
+    return error.getCondition() == "PATH_NOT_FOUND"

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from turnledger.functions.paths import local_path
 from turnledger.schema import MANIFEST
+from turnledger.session import is_missing_path
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
 from turnledger.sources.dialects.common import Layout
 
@@ -74,7 +75,9 @@ def _open_root(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
     )
     try:
         return reader.load(literal_path(root)).select("path", "length", "modificationTime")
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return None
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from turnledger.operators.dedupe import first_wins
 from turnledger.operators.deltas import turn_usage
 from turnledger.schema import CUMULATIVE_TOOLS, QUARANTINE, SCAN_STATE, USAGE_EVENTS
+from turnledger.session import is_missing_path
 
 # --- fixed values -----------------------------------------------------------
 # Part of the storage format: changing it would hide stored keys from the key check.
@@ -48,7 +49,10 @@ class Ledger:
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        except AnalysisException as error:
+            # Any other failure must not look like an empty ledger.
+            if not is_missing_path(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def events(self) -> DataFrame:
