@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
-from turnledger.llm import exact_dedup, mixing, sharding
+from turnledger.llm import (
+    exact_dedup,
+    language_id,
+    license_scan,
+    lm_scoring,
+    mixing,
+    packing,
+    sharding,
+    topk_search,
+)
 
 LLM_QUERIES = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+    "op7_topk_search": topk_search.op7_topk_search,
     "op8_virtual_slots": sharding.op8_virtual_slots,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 LLM_ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_topk_search": topk_search.ORACLE,
 }
