@@ -8,7 +8,9 @@ from turnledger.llm import (
     license_scan,
     lm_scoring,
     mixing,
+    ngram_jaccard,
     packing,
+    quality,
     sharding,
     topk_search,
 )
@@ -16,6 +18,8 @@ from turnledger.llm import (
 LLM_QUERIES = {
     "op1_weighted_fair_mix": mixing.op1_weighted_fair_mix,
     "op2_license_scan": license_scan.op2_license_scan,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_topk_search": topk_search.op7_topk_search,
