@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.frames import SPACES, pin, prepare
+from turnledger.llm.frames import SPACES, boxed, pin, prepare, unboxed
 
 PREFIX_CHARS = 64
 
@@ -132,34 +132,28 @@ def exact_dedup(docs: DataFrame, digest_all: bool = True) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each group of equal texts."""
     found = exact_dedup(docs, digest_all=True)
-    keys = ["_keep_id", "_keep_hash", "_keep_points"]
-    identity = [F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]), F.col("n_points").alias(keys[2])]
-    # Ids, hashes and lengths of what goes; rows whose twin stays are counted apart.
+    # Ids, hashes and lengths of what goes, and of rows repeated of which one stays.
     verdict = (
-        found.select(*identity, F.col("kept").cast("int").alias("_kept"))
-        .groupBy(*keys)
-        .agg(F.sum("_kept").alias("_stay"), F.count("*").alias("_copies"))
-        .where("_copies > _stay")
+        found.groupBy("doc_id", "text_sha256", "n_points")
+        .agg(F.count_if("kept").alias("stay"), F.count("*").alias("copies"))
+        .where("copies > stay")
     )
-    tagged = docs.select(
-        "*",
-        F.col("doc_id").alias("_own_id"),
-        full_hash().alias("_own_hash"),
-        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_own_points"),
+    tagged = boxed(docs).select(
+        "row",
+        F.col("row.doc_id").alias("own_id"),
+        full_hash(F.col("row.text")).alias("own_hash"),
+        F.length(F.coalesce("row.text", F.lit(""))).cast("long").alias("own_points"),
     )
     joined = tagged.join(
         verdict,
-        tagged["_own_id"].eqNullSafe(verdict["_keep_id"])
-        & (tagged["_own_hash"] == verdict["_keep_hash"])
-        & (tagged["_own_points"] == verdict["_keep_points"]),
+        tagged["own_id"].eqNullSafe(verdict["doc_id"])
+        & (tagged["own_hash"] == verdict["text_sha256"])
+        & (tagged["own_points"] == verdict["n_points"]),
         "left",
     )
-    own = [joined[c] for c in docs.columns]
-    whole = joined.where(F.col("_copies").isNull()).select(*own)
-    twins = (
-        joined.where("_stay > 0").dropDuplicates(["_own_id", "_own_hash", "_own_points"]).select(*own)
-    )
-    return whole.unionByName(twins)
+    whole = joined.where(F.col("copies").isNull()).select("row")
+    twins = joined.where("stay > 0").dropDuplicates(["own_id", "own_hash", "own_points"]).select("row")
+    return unboxed(whole.unionByName(twins))
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnledger.operators.pinning import pin
 from turnledger.session import scratch_path, shared_dir
 
-__all__ = ["documents", "identity", "pin", "prepare", "scratch_path", "shared_dir", "text_bytes"]
+__all__ = ["boxed", "identity", "pin", "prepare", "scratch_path", "shared_dir", "text_bytes", "unboxed"]
 
 #: Rows handed to a Python worker at once, so that very long texts stay bounded.
 ROWS_PER_BATCH = 1_000
@@ -25,8 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name can clash with a working column."""
+    return docs.select(F.struct("*").alias("row"))
+
+
+def unboxed(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
 
 
 def text_bytes(column: str = "text") -> Column:

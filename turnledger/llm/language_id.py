@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.frames import crc_of_id, prepare, text_bytes
+from turnledger.llm.frames import boxed, crc_of_id, prepare, text_bytes, unboxed
 from turnledger.llm.text import Slice, per_document, slices
 
 ORDERS = 3
@@ -215,9 +215,9 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs``, all columns, without texts of no or of too unsure a language."""
     model = train(docs.where(~held_out()))
     predict = predictor(docs, model)
-    tagged = docs.select("*", predict(text_bytes()).alias("_found"))
-    sure = (F.col("_found.lang_pred") != UNDETERMINED) & (F.col("_found.score") >= min_score)
-    return tagged.where(sure).drop("_found")
+    tagged = boxed(docs).select("row", predict(text_bytes("row.text")).alias("found"))
+    sure = (F.col("found.lang_pred") != UNDETERMINED) & (F.col("found.score") >= min_score)
+    return unboxed(tagged.where(sure))
 
 
 def op10_language_id(spark, sf_dir):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.frames import pin, prepare
+from turnledger.llm.frames import boxed, pin, prepare, unboxed
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -28,14 +28,14 @@ def n_words(text: str = "text") -> Column:
 
 
 def _spread(docs: DataFrame) -> DataFrame:
-    """Name, size and place in the shuffled order of each document, in columns of their own."""
-    key = F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("source"), F.col("text"))
+    """Source, id, size and place in the shuffled order of each document, beside its whole row."""
+    key = F.xxhash64(F.lit(SEED), F.col("row.doc_id"), F.col("row.source"), F.col("row.text"))
     place = (F.shiftrightunsigned(key, 11).cast("double")) / F.lit(float(1 << 53))
-    return docs.select(
-        "*",
-        F.col("source").alias("_source"),
-        F.col("doc_id").alias("_id"),
-        n_words().alias("_size"),
+    return boxed(docs).select(
+        "row",
+        F.col("row.source").alias("_source"),
+        F.col("row.doc_id").alias("_id"),
+        n_words("row.text").alias("_size"),
         key.alias("_key"),
         place.alias("_place"),
     )
@@ -226,9 +226,7 @@ def mixed_documents(
     """
     plan = MixPlan(docs, weights, share, passes)
     taken = plan.taken(_spread(docs)).where("_copies > 0")
-    return taken.select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    ).drop("_copy")
+    return unboxed(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
 
 
 def op1_weighted_fair_mix(spark, sf_dir):

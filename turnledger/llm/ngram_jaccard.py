@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.components import components
-from turnledger.llm.frames import identity, pin, prepare, text_bytes
+from turnledger.llm.frames import boxed, identity, pin, prepare, text_bytes, unboxed
 from turnledger.llm.text import (
     WHITESPACE,
     Slice,
@@ -356,24 +356,25 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     named = per_node.where("class_size > 1").withColumnRenamed("node", "named")
     verdict = (
         signed.join(named, signed["node"] == named["named"])
-        .groupBy(signed["doc_id"].alias("_at_id"), signed["text_key"].alias("_at_key"))
+        .groupBy(signed["doc_id"].alias("at_id"), signed["text_key"].alias("at_key"))
         .agg(
-            F.count("*").alias("_copies"),
+            F.count("*").alias("copies"),
             F.max(
                 F.col("doc_id").eqNullSafe(F.col("class_row.doc_id"))
                 & (F.col("text_key") == F.col("class_row.text_key"))
-            ).alias("_first"),
+            ).alias("first"),
         )
-        .where("NOT _first OR _copies > 1")
+        .where("NOT first OR copies > 1")
+    )
+    tagged = boxed(docs).select(
+        "row", F.col("row.doc_id").alias("own_id"), F.xxhash64("row.text").alias("own_key")
     )
-    tagged = docs.select("*", F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own_key"))
     joined = tagged.join(
-        verdict, (F.col("_own_key") == F.col("_at_key")) & F.col("_own_id").eqNullSafe(F.col("_at_id")), "left"
+        verdict, (F.col("own_key") == F.col("at_key")) & F.col("own_id").eqNullSafe(F.col("at_id")), "left"
     )
-    own = [joined[c] for c in docs.columns]
-    whole = joined.where(F.col("_copies").isNull()).select(*own)
-    firsts = joined.where("_first").dropDuplicates(["_own_id", "_own_key"]).select(*own)
-    return whole.unionByName(firsts)
+    whole = joined.where(F.col("copies").isNull()).select("row")
+    firsts = joined.where("first").dropDuplicates(["own_id", "own_key"]).select("row")
+    return unboxed(whole.unionByName(firsts))
 
 
 def op4_ngram_jaccard(spark, sf_dir):
