@@ -210,13 +210,13 @@ def op7_topk_search(spark, sf_dir):
 
 ORACLE = """
 WITH valid AS (
-  SELECT vec_id, list_transform(embedding, e -> floor(1024 * e::DOUBLE)::BIGINT) AS v
+  SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0),
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM valid q JOIN valid c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 100 = 0),
 ranked AS (
