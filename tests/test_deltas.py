@@ -20,21 +20,20 @@ def running(values, session="s"):
 
 
 def test_running_totals_become_turns(spark):
-    rows = running([(800, 100, 0, 200, 40), (1800, 260, 0, 700, 90), (2800, 400, 0, 1200, 150)])
-    got = deltas(turn_usage(events(spark, rows)), *TOKEN_COLS)
-    assert got == [
-        (800, 100, 0, 200, 40),
-        (1000, 160, 0, 500, 50),
-        (1000, 140, 0, 500, 60),
+    rows = running([(70, 9, 0, 11, 2), (95, 9, 4, 48, 2), (95, 30, 4, 50, 7), (301, 31, 6, 50, 7)])
+    assert deltas(turn_usage(events(spark, rows)), *TOKEN_COLS) == [
+        (70, 9, 0, 11, 2),
+        (25, 0, 4, 37, 0),
+        (0, 21, 0, 2, 5),
+        (206, 1, 2, 0, 0),
     ]
 
 
 def test_reset_is_clamped(spark):
-    rows = running([(4000, 500, 0, 0, 200), (7000, 900, 0, 0, 350), (700, 80, 0, 0, 20), (1800, 200, 0, 0, 70)])
+    # Each counter falls on its own; the next reading counts from the fallen one.
+    rows = running([(50, 8, 0, 0, 3), (20, 12, 0, 0, 3), (21, 2, 0, 0, 90), (20, 9, 0, 0, 1)])
     got = deltas(turn_usage(events(spark, rows)), "input_tokens", "output_tokens", "reasoning_tokens")
-    assert [g[0] for g in got] == [4000, 3000, 0, 1100]
-    assert [g[1] for g in got] == [500, 400, 0, 120]
-    assert [g[2] for g in got] == [200, 150, 0, 50]
+    assert got == [(50, 8, 3), (0, 4, 0), (1, 0, 87), (0, 7, 0)]
 
 
 def test_other_rows_pass_through(spark):

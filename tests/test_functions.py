@@ -133,6 +133,29 @@ def test_adhoc_queries(spark, tmp_path):
             query(spark, refused)
     with pytest.raises(ValueError):
         query(spark, "  ")
+    whole = query(spark, "SELECT line_no FROM turn_usage", cap=None)
+    assert len(whole.fetch()) == whole.total_rows() == 30 and not whole.truncated()
+    nested = query(
+        spark,
+        "WITH a AS (SELECT 1 AS x), b AS (SELECT x FROM a) "
+        "SELECT x FROM b WHERE x < (SELECT max(line_no) FROM turn_usage)",
+    )
+    assert [r["x"] for r in nested.fetch()] == [1]
+    spark.range(3).createOrReplaceTempView("elsewhere")
+    for refused in (
+        "SELECT java_method('java.lang.System', 'setProperty', 'a', 'b')",
+        "SELECT `reflect`('java.lang.System', 'getenv', 'HOME') FROM turn_usage",
+        "SELECT 1 FROM turn_usage WHERE (SELECT max(try_reflect('java.lang.Math', 'abs', -1)) FROM scan_state) = '1'",
+        "SELECT value FROM text.`/etc/hostname`",
+        "SELECT * FROM elsewhere",
+        "SELECT (SELECT max(id) FROM elsewhere) FROM turn_usage",
+        "SELECT 1 FROM turn_usage WHERE EXISTS (SELECT 1 FROM text.`/etc/hostname`)",
+        "WITH a AS (SELECT * FROM elsewhere) SELECT * FROM a",
+    ):
+        with pytest.raises(PermissionError):
+            query(spark, refused)
+    with pytest.raises(ValueError, match="time zone"):
+        register_views(spark, turns, turns, tz="Nowhere/Else")
 
     json_rows = as_json(spark.sql("SELECT 1 AS a, cast(null AS string) AS b"))
     assert json_rows.first()["value"] == '{"a":1,"b":null}'

@@ -28,6 +28,26 @@ def test_closed_files_and_replays(spark, tmp_path):
     assert ledger.quarantine().count() == 1
 
 
+def test_stream_deltas_keep_large_counters(spark, tmp_path):
+    values = [2**53 + 1, 2**53 + 4]
+    rows = [
+        usage(f"k{i}", "codex", "s", i, (v, 0, 0, 0, 0), i, cumulative=True) for i, v in enumerate(values)
+    ]
+    events(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events(spark, []).schema).parquet(f"{tmp_path}/in")
+    (
+        turn_stream(stream)
+        .writeStream.format("parquet")
+        .option("path", f"{tmp_path}/out")
+        .option("checkpointLocation", f"{tmp_path}/ck")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("line_no").collect()
+    assert [r["input_tokens"] for r in got] == [2**53 + 1, 3]
+
+
 def test_stream_deltas_match_the_batch_view(spark, tmp_path):
     rows = [
         usage(f"k{i}", "codex", f"s{i % 3}", i, tuple((i * 37 * (c + 3)) % 101 for c in range(5)), i, cumulative=i % 4 > 0)

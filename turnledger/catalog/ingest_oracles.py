@@ -91,6 +91,14 @@ _STORED = f"""stored AS (
 
 _ALL = (_A, _B, _B_TURNS, _C)
 
+_ADHOC = (
+    _with(_EV, _turns("ev", "line_no"))
+    + """SELECT tool, session_id, strftime(d, '%Y-W%W') AS week, CAST(d AS VARCHAR) AS day,
+  CAST(sum(output_tokens) AS BIGINT) AS output
+FROM (SELECT *, CAST(timezone('America/New_York', to_timestamp(ts)) AS DATE) AS d FROM turns)
+GROUP BY tool, session_id, d"""
+)
+
 INGEST_ORACLES: dict[str, str] = {
     "parse_a": _with(_A) + f"SELECT {_A_ROW} FROM a",
     "parse_b_context": _with(_B)
@@ -112,9 +120,17 @@ INGEST_ORACLES: dict[str, str] = {
   count(*) FILTER (WHERE outcome = 'malformed') AS malformed_lines,
   CAST(0 AS BIGINT) AS files_failed
 FROM outcomes GROUP BY tool""",
-    "append_idempotent": _with(*_ALL, _STORED)
-    + "SELECT tool, count(*) AS stored, count(*) AS keys, CAST(0 AS BIGINT) AS added "
-    "FROM stored GROUP BY tool",
+    "append_idempotent": _with(*_ALL, _STORED, _OUTCOMES)
+    + """SELECT tool, count(*) AS stored, count(*) AS keys, CAST(0 AS BIGINT) AS added,
+  any_value(malformed) AS malformed_lines, CAST(0 AS BIGINT) AS files_skipped,
+  any_value(malformed) AS quarantined
+FROM stored JOIN (SELECT tool, count(*) FILTER (WHERE outcome = 'malformed') AS malformed
+  FROM outcomes GROUP BY tool) USING (tool) GROUP BY tool""",
+    "sync_skipped": _with(*_ALL, _STORED)
+    + """SELECT tool, true AS all_skipped, CAST(0 AS BIGINT) AS files_scanned,
+  CAST(0 AS BIGINT) AS new_events, CAST(0 AS BIGINT) AS duplicates_ignored,
+  CAST(0 AS BIGINT) AS malformed_lines
+FROM stored GROUP BY tool""",
     "ledger_sessions": _with(*_ALL, _STORED)
     + f"SELECT tool, session_id, count(*) AS turns, {_SUMS} FROM stored GROUP BY tool, session_id",
     "coverage_report": _with(*_ALL, _STORED, _PRICES, _RATES.format(source="stored"))
@@ -143,12 +159,11 @@ SELECT source_file,
   CASE WHEN old_size IS NULL OR size < old_size OR mtime_ms < old_mtime THEN 0
        WHEN old_offset > size THEN 0 ELSE old_offset END AS start_offset
 FROM manifest LEFT JOIN state USING (key)""",
-    "adhoc_capped": _with(_EV, _turns("ev", "line_no"))
-    + """SELECT tool, session_id, strftime(d, '%Y-W%W') AS week, CAST(d AS VARCHAR) AS day,
-  CAST(sum(output_tokens) AS BIGINT) AS output
-FROM (SELECT *, CAST(timezone('America/New_York', to_timestamp(ts)) AS DATE) AS d FROM turns)
-GROUP BY tool, session_id, d ORDER BY output DESC, tool, session_id, day LIMIT 1000""",
+    "adhoc_capped": _ADHOC + " ORDER BY output DESC, tool, session_id, day LIMIT 1000",
+    "adhoc_all": _ADHOC,
+    "adhoc_truncated": "SELECT least(count(*), 1000) AS returned, count(*) > 1000 AS truncated, "
+    f"count(*) AS total_rows FROM ({_ADHOC})",
     "stream_ingest_logs": _with(_A) + f"SELECT {_A_ROW} FROM a WHERE copy = 0",
     "stream_deltas": _with(_EV, _turns("ev", "line_no"))
-    + f"SELECT line_no, {_TURN_LIST} FROM turns WHERE tool IN ('click', 'view')",
+    + f"SELECT line_no, {_TURN_LIST} FROM turns",
 }

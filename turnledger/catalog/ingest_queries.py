@@ -16,7 +16,7 @@ from turnledger.catalog.logs import (
     write_running_total_logs,
 )
 from turnledger.operators.deltas import turn_usage
-from turnledger.plans.adhoc import query, register_views
+from turnledger.plans.adhoc import ROW_CAP, query, register_views
 from turnledger.plans.coverage import all_unpriced_models, coverage, ledger_meta
 from turnledger.plans.read_logs import read_logs
 from turnledger.plans.sync import sync
@@ -122,14 +122,46 @@ def sync_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second sync that has lost its scan state stores nothing new."""
     sources, path, _ = _synced(spark, sf_dir)
-    # Without state every line is read again, so only the key check is left.
-    events = Ledger(spark, path).events()
-    again = Ledger(spark, path).unseen(events)
+    # Only events and quarantine are carried over, so every line is read again.
+    kept = scratch_path(spark, "ledger")
+    spark.read.parquet(f"{path}/events").write.partitionBy("tool", "key_bucket").parquet(f"{kept}/events")
+    spark.read.parquet(f"{path}/quarantine").write.parquet(f"{kept}/quarantine")
+    again = sync(spark, sources, kept, scanned_at=SCANNED_AT)
+    stored = Ledger(spark, kept).events().groupBy("tool").agg(
+        F.count(F.lit(1)).alias("stored"), F.countDistinct("dedupe_key").alias("keys")
+    )
+    damaged = (
+        Ledger(spark, kept)
+        .quarantine()
+        .join(list_files(spark, sources).select("tool", "source_file"), "source_file")
+        .groupBy("tool")
+        .agg(F.count(F.lit(1)).alias("quarantined"))
+    )
+    read = again.audit().select(
+        "tool", F.col("new_events").alias("added"), "malformed_lines", "files_skipped"
+    )
     return (
-        events.groupBy("tool")
-        .agg(F.count(F.lit(1)).alias("stored"), F.countDistinct("dedupe_key").alias("keys"))
-        .join(again.groupBy("tool").agg(F.count(F.lit(1)).alias("added")), "tool", "left")
-        .select("tool", "stored", "keys", F.coalesce("added", F.lit(0)).alias("added"))
+        stored.join(read, "tool")
+        .join(damaged, "tool", "left")
+        .select(
+            "tool", "stored", "keys", "added", "malformed_lines", "files_skipped",
+            F.coalesce("quarantined", F.lit(0)).alias("quarantined"),
+        )
+    )
+
+
+def sync_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second sync of unchanged logs reads no file."""
+    sources, path, first = _synced(spark, sf_dir)
+    again = sync(spark, sources, path, scanned_at=SCANNED_AT)
+    before = first.audit().select("tool", F.col("files_scanned").alias("files"))
+    return again.audit().join(before, "tool").select(
+        "tool",
+        (F.col("files_skipped") == F.col("files")).alias("all_skipped"),
+        "files_scanned",
+        "new_events",
+        "duplicates_ignored",
+        "malformed_lines",
     )
 
 
@@ -204,23 +236,38 @@ def incremental_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(manifest, state).select("source_file", "status", "start_offset")
 
 
-def adhoc_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's SQL over the named views, cut at the row cap."""
+_BUSY = """
+    WITH busy AS (
+      SELECT tool, session_id, week_label(ts) AS week, local_day(ts) AS local_date,
+             sum(output_tokens) AS output
+      FROM turn_usage GROUP BY ALL
+    )
+    SELECT tool, session_id, week, cast(local_date AS string) AS day, output
+    FROM busy ORDER BY output DESC, tool, session_id, day
+"""
+
+
+def _adhoc(spark: SparkSession, sf_dir: str, cap: int | None):
     events = usage_from_events(configure(spark), sf_dir)
     register_views(spark, events, turn_usage(events, EVENT_CUMULATIVE), tz="America/New_York")
-    result = query(
-        spark,
-        """
-        WITH busy AS (
-          SELECT tool, session_id, week_label(ts) AS week, local_day(ts) AS local_date,
-                 sum(output_tokens) AS output
-          FROM turn_usage GROUP BY ALL
-        )
-        SELECT tool, session_id, week, cast(local_date AS string) AS day, output
-        FROM busy ORDER BY output DESC, tool, session_id, day
-        """,
-    )
-    return result.rows
+    return query(spark, _BUSY, cap)
+
+
+def adhoc_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's SQL over the named views, cut at the row cap."""
+    return _adhoc(spark, sf_dir, ROW_CAP).rows
+
+
+def adhoc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same SQL with every row."""
+    return _adhoc(spark, sf_dir, None).rows
+
+
+def adhoc_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cap leaves: rows returned, whether there are more, and all rows."""
+    result = _adhoc(spark, sf_dir, ROW_CAP)
+    row = (len(result.fetch()), result.truncated(), result.total_rows())
+    return spark.createDataFrame([row], "returned bigint, truncated boolean, total_rows bigint")
 
 
 def stream_ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +285,7 @@ def stream_ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals arriving in three time slices, differenced with state."""
-    events = usage_from_events(configure(spark), sf_dir).filter("is_cumulative")
+    events = usage_from_events(configure(spark), sf_dir)
     base = scratch_path(spark, "stream-deltas")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
     step = (high - low) // 3 + 1
@@ -274,12 +321,15 @@ INGEST_QUERIES: dict[str, Query] = {
         line_offsets,
         sync_audit,
         append_idempotent,
+        sync_skipped,
         ledger_sessions,
         coverage_report,
         coverage_unpriced,
         meta,
         incremental_status,
         adhoc_capped,
+        adhoc_all,
+        adhoc_truncated,
         stream_ingest_logs,
         stream_deltas,
     )

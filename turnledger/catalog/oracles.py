@@ -183,6 +183,23 @@ ORACLES: dict[str, str] = {
     + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in TOKEN_COLS)
     + f", CAST(coalesce(sum({_TOTAL}), 0) AS BIGINT) AS total_tokens, "
     f"{_USD.format(_STRICT)} AS cost_usd FROM folded",
+    "daily_totals_all": _with(*_EV_TURNS, _daily(_DAY))
+    + f"SELECT 'TOTAL' AS date, '' AS tool, "
+    + ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in TOKEN_COLS)
+    + f", CAST(coalesce(sum({_TOTAL}), 0) AS BIGINT) AS total_tokens, "
+    f"{_USD.format(_STRICT)} AS cost_usd FROM folded",
+    "unknown_models_all": _with(*_EV_TURNS, _daily(_DAY))
+    + "SELECT DISTINCT model FROM costed WHERE prefix IS NULL",
+    "price_file": """WITH listed AS (
+  SELECT s_suppkey % 50 AS k, 'm-' || k AS prefix, max(s_suppkey) / 4 AS input_rate,
+    CAST(min(s_suppkey) AS DOUBLE) AS output_rate,
+    CASE WHEN k % 3 <> 0 THEN max(s_suppkey) / 8 END AS cache_write_rate,
+    CAST(0.125 AS DOUBLE) AS cache_read_rate
+  FROM supplier GROUP BY k
+), models AS (SELECT c_custkey, 'm-' || c_custkey AS model FROM customer)
+SELECT model, prefix AS matched_prefix, input_rate, output_rate, cache_write_rate, cache_read_rate
+FROM models LEFT JOIN listed ON starts_with(model, prefix)
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY length(prefix) DESC) = 1""",
     "daily_filtered": _with(*_EV_TURNS, _daily(_DAY, _RANGE + " AND tool = 'click'")) + _DAILY_ROWS,
     "daily_recent": _with(
         *_EV_TURNS,

@@ -17,13 +17,13 @@ from turnledger.catalog.adapters import (
 from turnledger.functions.dates import local_day
 from turnledger.functions.paths import project_label
 from turnledger.functions.tokens import sum_tokens
-from turnledger.operators.costs import floor_sum, resolve_rates, strict_sum, usd
+from turnledger.operators.costs import floor_sum, resolve_rates, strict_sum, usd, with_rates
 from turnledger.operators.dedupe import first_wins
 from turnledger.operators.deltas import turn_usage
 from turnledger.plans import recipes, reports
 from turnledger.schema import TOKEN_COLS, TURN_COLS
-from turnledger.session import configure
-from turnledger.sources.pricing import bundled_pricing
+from turnledger.session import configure, scratch_path
+from turnledger.sources.pricing import RATE_COLS, bundled_pricing, load_pricing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -137,6 +137,46 @@ def unknown_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.unknown_models
 
 
+def daily_totals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.daily_report(event_turns(spark, sf_dir), bundled_pricing(spark), REPORT_TZ).totals
+
+
+def unknown_models_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.daily_report(
+        event_turns(spark, sf_dir), bundled_pricing(spark), REPORT_TZ
+    ).unknown_models
+
+
+def price_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of customers' models from a JSON price file made of the suppliers."""
+    spark = configure(spark)
+    key = F.col("s_suppkey") % 50
+    rates = F.struct(
+        (F.max("s_suppkey") / 4).alias("input"),
+        F.min("s_suppkey").cast("double").alias("output"),
+        F.when(key % 3 != 0, F.max("s_suppkey") / 8).alias("cache_write"),
+        F.lit(0.125).alias("cache_read"),
+    )
+    listed = table(spark, sf_dir, "supplier").groupBy(key).agg(
+        F.concat(F.lit("m-"), key).alias("prefix"), rates.alias("rates")
+    )
+    models = F.map_from_entries(F.collect_list(F.struct("prefix", "rates")))
+    body = listed.agg(models.alias("models")).select(
+        F.to_json(F.struct(F.lit("2026-01-01").alias("updated"), "models")).alias("value")
+    )
+    path = scratch_path(spark, "price-file")
+    body.coalesce(1).write.text(path)
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("m-"), F.col("c_custkey")).alias("model")
+    )
+    priced = with_rates(customers, load_pricing(spark, path))
+    return priced.select(
+        "model",
+        F.col("rates.matched_prefix").alias("matched_prefix"),
+        *[F.col(f"rates.{c}").cast("double").alias(f"{c}_rate") for c in RATE_COLS],
+    )
+
+
 def _joined_models(sessions: DataFrame) -> DataFrame:
     """Models as one text column: array columns compare badly across engines."""
     return sessions.withColumn("models", F.concat_ws(",", "models"))
@@ -270,6 +310,9 @@ QUERIES: dict[str, Query] = {
         daily,
         daily_lines,
         daily_totals,
+        daily_totals_all,
+        unknown_models_all,
+        price_file,
         daily_filtered,
         daily_recent,
         unknown_models,

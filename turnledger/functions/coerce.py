@@ -18,12 +18,28 @@ BLANKS = (
 )
 # Numeric timestamps above this are milliseconds.
 MILLISECONDS_FROM = 100_000_000_000
-# ISO dates and date-times; other date spellings give no timestamp.
+# ISO dates and date-times.
 ISO_TIMESTAMP = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+# Two more spellings: "Thu, 15 Jan 2026 10:00:00 GMT", and dates with slashes.
+HTTP_TIMESTAMP = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} GMT$"
+SLASHED_TIMESTAMP = r"^\d{4}/\d{1,2}/\d{1,2}( \d{2}:\d{2}:\d{2})?$"
+# Seconds of the years 1 to 9999; what lies outside is no time.
+FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+# Counts above this are damage, and sums of counts below it stay within 64 bits.
+MAX_COUNT = 1_000_000_000_000
 # ----------------------------------------------------------------------------
 
+# Lines are read whole: no limit on the length of a string or on nesting.
+_STRICT_JSON = {
+    "maxStringLen": str(2**31 - 1),
+    "maxNestingDepth": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "allowNonNumericNumbers": "false",
+    "allowSingleQuotes": "false",
+}
+
 
 def stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
@@ -35,7 +51,7 @@ def parse_line(line: Column) -> Column:
     The brackets make trailing text after the object an error.
     """
     looks_like_object = line.startswith("{") & line.endswith("}")
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    wrapped = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "variant", _STRICT_JSON)
     return F.when(looks_like_object, wrapped)
 
 
@@ -86,21 +102,29 @@ def as_true(value: str) -> Column:
 
 
 def as_count(value: str) -> Column:
-    """A finite, non-negative JSON number rounded down; anything else counts as zero."""
+    """A finite, non-negative JSON number rounded down; null above ``MAX_COUNT``, which
+    makes the line malformed; anything else counts as zero."""
     number = _number_sql(value)
     return F.expr(
-        f"CASE WHEN {number} >= 0 AND {number} < double('Infinity') "
+        f"CASE WHEN {number} > {MAX_COUNT} AND {number} < double('Infinity') THEN NULL "
+        f"WHEN {number} >= 0 AND {number} < double('Infinity') "
         f"THEN cast(floor({number}) AS bigint) ELSE 0L END"
     )
 
 
 def as_timestamp(value: str) -> Column:
-    """Unix seconds of an ISO string or an epoch number in seconds or milliseconds."""
+    """Unix seconds of a date string or an epoch number in seconds or milliseconds; null
+    outside the years 1 to 9999."""
     number, text = _number_sql(value), _string_sql(value)
+    seconds = f"if({number} > {MILLISECONDS_FROM}, {number} / 1000, {number})"
     return F.expr(
-        f"CASE WHEN abs({number}) < double('Infinity') THEN cast(floor("
-        f"if({number} > {MILLISECONDS_FROM}, {number} / 1000, {number})) AS bigint) "
-        f"WHEN {text} RLIKE r'{ISO_TIMESTAMP}' THEN unix_seconds(try_cast({text} AS timestamp)) END"
+        f"CASE WHEN {seconds} BETWEEN {FIRST_SECOND} AND {LAST_SECOND} "
+        f"THEN cast(floor({seconds}) AS bigint) "
+        f"WHEN {text} RLIKE r'{ISO_TIMESTAMP}' THEN unix_seconds(try_cast({text} AS timestamp)) "
+        f"WHEN {text} RLIKE r'{HTTP_TIMESTAMP}' "
+        f"THEN unix_seconds(try_to_timestamp(substring({text}, 6), 'd MMM yyyy HH:mm:ss zzz')) "
+        f"WHEN {text} RLIKE r'{SLASHED_TIMESTAMP}' THEN unix_seconds(coalesce("
+        f"try_to_timestamp({text}, 'yyyy/M/d HH:mm:ss'), try_to_timestamp({text}, 'yyyy/M/d'))) END"
     )
 
 

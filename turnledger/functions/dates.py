@@ -8,12 +8,16 @@ import datetime as dt
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from turnledger.functions.coerce import FIRST_SECOND, LAST_SECOND
+
 _DAY_SECONDS = 86_400
 
 
 def local_day(ts: Column, tz: str = "UTC") -> Column:
-    """Calendar day of a unix-seconds column as seen in ``tz``."""
-    utc = F.timestamp_seconds(ts).cast("timestamp_ntz")
+    """Calendar day of a unix-seconds column as seen in ``tz``; null outside the years
+    1 to 9999."""
+    dated = F.when(ts.between(FIRST_SECOND, LAST_SECOND), ts)
+    utc = F.timestamp_seconds(dated).cast("timestamp_ntz")
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc))
 
 
@@ -47,17 +51,29 @@ def last_days(as_of: str, days: int) -> str:
     return (dt.date.fromisoformat(as_of) - dt.timedelta(days=days - 1)).isoformat()
 
 
+def valid_zone(spark: SparkSession, tz: str) -> str:
+    """The zone if Spark knows it; raises ``ValueError`` otherwise."""
+    try:
+        spark.sql(
+            "SELECT convert_timezone('UTC', :tz, timestamp_ntz'2000-01-01 00:00:00')", args={"tz": tz}
+        ).first()
+    except Exception as error:
+        raise ValueError(f"unknown time zone: {tz!r}") from error
+    return tz
+
+
 def register_sql_functions(spark: SparkSession, tz: str = "UTC") -> None:
     """``local_day(ts)`` and ``week_label(ts)`` for ad-hoc SQL.
 
     SQL functions are inlined into the plan as plain expressions.
     """
-    zone = tz.replace("'", "")
+    zone = valid_zone(spark, tz)
     # The parameter must not be called like the column it is given: the optimizer drops
     # such an alias and then fails on a second function over the same column.
     day = (
         f"to_date(convert_timezone('UTC', '{zone}', "
-        "cast(timestamp_seconds(unix_ts) as timestamp_ntz)))"
+        f"cast(timestamp_seconds(if(unix_ts between {FIRST_SECOND} and {LAST_SECOND}, "
+        "unix_ts, null)) as timestamp_ntz)))"
     )
     week = f"floor((dayofyear({day}) + 6 - weekday({day})) / 7)"
     label = (

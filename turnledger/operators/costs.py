@@ -45,7 +45,7 @@ def inline_rates(model: str, inline: tuple[tuple, ...]) -> Column:
     branches = []
     for prefix, *rates in sorted(inline, key=lambda row: -len(row[0])):
         fields = ", ".join(
-            f"'{name}', cast('{rate}' AS {RATE_TYPE.simpleString()})"
+            f"'{name}', cast({'NULL' if rate is None else repr(str(rate))} AS {RATE_TYPE.simpleString()})"
             for name, rate in zip(RATE_COLS, rates, strict=True)
         )
         text = _sql_text(prefix)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +20,18 @@ EVENTS_VIEW, TURNS_VIEW, STATE_VIEW = "usage_events", "turn_usage", "scan_state"
 # ----------------------------------------------------------------------------
 
 
+# Functions that call into the JVM.
+_JVM_CALLS = ("reflect", "java_method", "try_reflect")
+
+
 @dataclass(frozen=True)
 class QueryResult:
-    """The rows up to the cap, their column names, and whether more exist."""
+    """The rows up to the cap (all rows without one) and their column names."""
 
     rows: DataFrame
     columns: list[str]
     _all: DataFrame
-    _cap: int
-
-    def truncated(self) -> bool:
-        """Whether the query has more rows than the cap."""
-        return self._all.limit(self._cap + 1).count() > self._cap
+    _cap: int | None
 
     def total_rows(self) -> int:
         """All rows of the query."""
@@ -35,7 +39,19 @@ class QueryResult:
 
     def fetch(self) -> list[Row]:
         """The rows up to the cap."""
-        return self.rows.collect()
+        return self._fetched[0]
+
+    def truncated(self) -> bool:
+        """Whether the query has more rows than the cap."""
+        return self._fetched[1]
+
+    @cached_property
+    def _fetched(self) -> tuple[list[Row], bool]:
+        """Rows and flag from one run of the statement, which asks for one row more."""
+        if self._cap is None:
+            return self._all.collect(), False
+        rows = self._all.limit(self._cap + 1).collect()
+        return rows[: self._cap], len(rows) > self._cap
 
 
 def register_views(
@@ -54,17 +70,53 @@ def register_views(
         state.createOrReplaceTempView(STATE_VIEW)
 
 
-def query(spark: SparkSession, sql: str, cap: int = ROW_CAP) -> QueryResult:
-    """Run one SELECT; columns are known even when no rows come back.
+def query(spark: SparkSession, sql: str, cap: int | None = ROW_CAP) -> QueryResult:
+    """Run one SELECT over the named relations; columns are known even without rows.
 
-    The statement runs as a subquery, so the parser itself rejects anything that is
-    not a query.
+    ``cap=None`` gives every row. The statement runs as a subquery, so the parser itself
+    rejects anything that is not a query. Files, other tables and calls into the JVM are
+    refused with ``PermissionError`` before anything runs.
     """
     statement = sql.strip().rstrip(";")
     if not statement.strip():
         raise ValueError("provide a SQL statement")
-    result = spark.sql(f"SELECT * FROM (\n{statement}\n)")
-    return QueryResult(result.limit(cap), result.columns, result, cap)
+    wrapped = f"SELECT * FROM (\n{statement}\n)"
+    with _whole_plan_texts(spark):
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(wrapped).toString()
+        _refuse_jvm_calls(parsed)
+        _refuse_other_relations(parsed)
+        result = spark.sql(wrapped)
+        # Once more by what the names stand for.
+        _refuse_jvm_calls(result._jdf.queryExecution().analyzed().toString())
+    return QueryResult(result if cap is None else result.limit(cap), result.columns, result, cap)
+
+
+@contextmanager
+def _whole_plan_texts(spark: SparkSession) -> Iterator[None]:
+    """Spark shortens long lists in plan texts unless told otherwise."""
+    name = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _refuse_other_relations(parsed: str) -> None:
+    """The parsed plan names its relations before any is looked up."""
+    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed))
+    named |= set(re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", parsed))
+    common = {n.strip().lower() for c in re.findall(r"\bCTE \[([^\]]*)\]", parsed) for n in c.split(",")}
+    for name in named:
+        if name.lower() not in {EVENTS_VIEW, TURNS_VIEW, STATE_VIEW, *common}:
+            raise PermissionError(f"only the named relations can be read, not {name}")
+
+
+def _refuse_jvm_calls(plan: str) -> None:
+    for name in _JVM_CALLS:
+        if re.search(rf"\b{name}\(", plan.lower()):
+            raise PermissionError(f"{name} calls into the JVM and is refused")
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -174,7 +174,7 @@ def _commit(
     malformed = kept.filter(F.col("outcome") == MALFORMED)
 
     ledger.append_events(events)
-    ledger.append_quarantine(malformed.withColumn("reason", F.lit("not a JSON object")), batch)
+    ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
     consumed = fresh.groupBy("source_file").agg(F.max("end").alias("consumed"))
     ledger.append_state(
         complete.join(consumed, "source_file", "left").select(

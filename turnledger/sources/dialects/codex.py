@@ -65,7 +65,9 @@ def _facts(line: Column, at: Field) -> dict[str, Column]:
         "ts": F.coalesce(as_timestamp(at("timestamp")), fallback_time()),
         # The input total includes cached input; split them so that cache reads are
         # not billed twice.
-        "input_tokens": F.greatest(whole_input - cached, no_count()),
+        "input_tokens": F.when(
+            whole_input.isNotNull() & cached.isNotNull(), F.greatest(whole_input - cached, no_count())
+        ),
         "output_tokens": as_count(at("payload.info.total_token_usage.output_tokens")),
         "cache_write_tokens": no_count(),
         "cache_read_tokens": cached,

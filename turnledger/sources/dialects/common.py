@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,12 +80,15 @@ def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) ->
         *[field(F.col("parsed"), path).alias(name) for path, name in names.items()],
     )
     facts = dialect.facts(F.col("line"), names.__getitem__)
+    columns = {name: facts.get(name, F.lit(None)) for name in FACT_COLS}
+    # A count too large to be one is damage: the line is set aside, never rounded to fit.
+    damaged = reduce(lambda a, b: a | b, (columns[name].isNull() for name in TOKEN_COLS))
     outcome = (
         F.when(F.col("line") == "", F.lit(IGNORED))
         .when(~F.col("single"), F.lit(MALFORMED))
+        .when((facts["outcome"] == EVENT) & damaged, F.lit(MALFORMED))
         .otherwise(facts["outcome"])
     )
-    columns = {name: facts.get(name, F.lit(None)) for name in FACT_COLS}
     columns["outcome"] = outcome
     return text.select(
         *keep,

@@ -42,24 +42,53 @@ class Source:
 
 
 def discover(spark: SparkSession, sources: Iterable[Source]) -> tuple[DataFrame, dict[str, bool]]:
-    """Manifest of all log files, and per tool whether any of its roots exists.
+    """Manifest of all log files, and per tool whether any of its roots exists."""
+    listed, present = list_sources(spark, sources)
+    found = {source.tool for source in present}
+    return listed, {source.tool: source.tool in found for source in sources}
+
+
+def list_sources(
+    spark: SparkSession, sources: Iterable[Source]
+) -> tuple[DataFrame, list[Source]]:
+    """Manifest of all log files, and the sources cut down to the roots that exist.
 
     Each root is listed once. Only file status is read, never content. A root that does
     not exist adds nothing.
     """
-    detected: dict[str, bool] = {}
-    present = []
+    listings, present = [], []
     for source in sources:
         for root in source.roots:
             files = _list_root(spark, source, root)
-            detected[source.tool] = detected.get(source.tool, False) or files is not None
             if files is not None:
-                present.append(files)
-    if not present:
-        return spark.createDataFrame([], _LISTED), detected
+                listings.append(files)
+                present.append(Source(source.tool, (root,), source.glob))
+    if not listings:
+        return spark.createDataFrame([], _LISTED), present
     # A file reached through two roots is one file.
-    listed = reduce(DataFrame.unionByName, present)
-    return listed.dropDuplicates(["tool", "source_file"]), detected
+    listed = reduce(DataFrame.unionByName, listings)
+    return listed.dropDuplicates(["tool", "source_file"]), present
+
+
+def outermost_roots(sources: Iterable[Source]) -> dict[tuple[str, str], list[str]]:
+    """Roots by tool and file name pattern, without those that lie below another one."""
+    grouped: dict[tuple[str, str], set[str]] = {}
+    for source in sources:
+        own = grouped.setdefault((source.tool, source.glob), set())
+        own.update(root.rstrip("/") or "/" for root in source.roots)
+    for tool, glob in grouped:
+        for other, pattern in grouped:
+            clash = tool == other and glob != pattern
+            if clash and any(_below(a, b) for a in grouped[tool, glob] for b in grouped[other, pattern]):
+                raise ValueError(f"{tool}: one folder is given with two file name patterns")
+    return {
+        key: sorted(r for r in roots if not any(r != o and _below(r, o) for o in roots))
+        for key, roots in grouped.items()
+    }
+
+
+def _below(path: str, root: str) -> bool:
+    return path == root or path.startswith(root.rstrip("/") + "/")
 
 
 def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:

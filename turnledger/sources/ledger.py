@@ -7,6 +7,7 @@ makes the next sync read the same lines again, which the key check turns into a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,7 +120,14 @@ class Ledger:
         self._append("scan_state", rows.select(*SCAN_STATE.names), batch)
 
     def append_quarantine(self, rows: DataFrame, batch: int) -> None:
-        self._append("quarantine", rows.select(*QUARANTINE.names), batch)
+        """Append malformed lines not stored yet: a line is its file, number and digest."""
+        place = ["source_file", "line_no", "raw_md5"]
+        stored = self.quarantine().select(*place).distinct()
+        new = rows.select(*QUARANTINE.names).dropDuplicates(place).alias("new")
+        same = reduce(
+            lambda a, b: a & b, (F.col(f"new.{c}").eqNullSafe(F.col(f"stored.{c}")) for c in place)
+        )
+        self._append("quarantine", new.join(stored.alias("stored"), same, "left_anti"), batch)
 
     def _append(self, name: str, rows: DataFrame, batch: int) -> None:
         (

@@ -15,7 +15,8 @@ from turnledger.sources.price_list import PRICE_LIST, PRICE_LIST_UPDATED
 RATE_COLS = ("input", "output", "cache_write", "cache_read")
 RATE_TYPE = T.DecimalType(12, 6)
 
-# Tables up to this many prefixes are planned as literals; larger ones are joined.
+# Tables up to this many prefixes are planned as literals; larger ones are joined. Both give
+# the same rates: a prefix has one row, and a missing rate is null in either.
 MAX_INLINE_PREFIXES = 500
 
 PRICES = T.StructType(
@@ -53,7 +54,17 @@ class Pricing:
 
 
 def pricing_from_table(updated: str, table: DataFrame) -> Pricing:
-    """Wrap a price DataFrame, inlining its rows when they are few."""
+    """Wrap a price DataFrame, inlining its rows when they are few.
+
+    Of rows with the same prefix the one with the greatest rates counts, null lowest.
+    """
+    rates = F.struct(*RATE_COLS)
+    table = (
+        table.where(F.col("prefix").isNotNull())
+        .groupBy("prefix")
+        .agg(F.max(rates).alias("rates"))
+        .select("prefix", *[F.col(f"rates.{c}").cast(RATE_TYPE).alias(c) for c in RATE_COLS])
+    )
     head = [tuple(r) for r in table.limit(MAX_INLINE_PREFIXES + 1).collect()]
     if len(head) <= MAX_INLINE_PREFIXES:
         return Pricing(table.sparkSession, updated, tuple(head))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -39,11 +40,10 @@ def _session_step(
 ) -> Iterator[pd.DataFrame]:
     tokens = list(TOKEN_COLS)
     rows = pd.concat(list(chunks)).sort_values(["ts", *ORDER_COLS])
-    before = list(state.get) if state.exists else [0] * len(tokens)
-    readings = rows[tokens]
-    previous = readings.shift(1)
-    previous.iloc[0] = before
-    deltas = (readings - previous).clip(lower=0).astype("int64")
-    rows[tokens] = deltas.where(rows["is_cumulative"], readings)
-    state.update(tuple(int(v) for v in readings.iloc[-1]))
+    before = np.array([state.get if state.exists else [0] * len(tokens)], dtype=np.int64)
+    readings = rows[tokens].to_numpy(dtype=np.int64)
+    # Integers throughout: as floats, counters above 2**53 would lose their last digits.
+    deltas = np.maximum(readings - np.concatenate([before, readings[:-1]]), 0)
+    rows[tokens] = np.where(rows[["is_cumulative"]].to_numpy(dtype=bool), deltas, readings)
+    state.update(tuple(int(v) for v in readings[-1]))
     yield rows[list(TURNS.names)]
