@@ -265,6 +265,12 @@ def test_language_model(small, docs):
     assert sum(r["score"] for r in own) > 1.02 * sum(r["base_score"] for r in own)
 
 
+def test_model_beats_counts_on_held_out_texts(spark):
+    rows = lm_scoring.score_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4))
+    row = rows.where("held_out").selectExpr("sum(score) AS model", "sum(base_score) AS base").first()
+    assert row["model"] > 0.97 * row["base"]
+
+
 def test_rare_words_are_joined(small, monkeypatch):
     whole = by_id(lm_scoring.score_texts(small))
     monkeypatch.setattr(lm_scoring, "HEAD_WORDS", 300)
@@ -288,12 +294,13 @@ def test_model_is_normalised():
 
 def test_model_learns_a_pattern():
     rng = np.random.default_rng(2)
-    first = rng.integers(2, 12, 40_000)
-    triples = np.stack([np.full_like(first, 1), first, (first - 2 + 3) % 10 + 2], axis=1)
+    first = rng.integers(70, 80, 40_000)
+    triples = np.stack([np.full_like(first, lm_scoring.START), first, (first - 70 + 3) % 10 + 70], axis=1)
     noise = np.bincount(triples[:, 2], minlength=lm_scoring.CLASSES) / len(first)
     model = lm_scoring.LogBilinear.start(noise * len(first))
-    for _ in range(10):
-        model.train(triples, np.ones(len(first)), noise, rng)
+    slopes = np.zeros_like(model.flat)
+    for _ in range(3):
+        model.train(triples, np.ones(len(first)), noise, rng, slopes)
     score = model.context(triples[:, 0], triples[:, 1]) @ model.next.T + model.bias
     right = score[np.arange(len(first)), triples[:, 2]] - model.log_norms(triples[:, 0], triples[:, 1])
     assert right.mean() > math.log(0.5)

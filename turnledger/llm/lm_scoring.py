@@ -1,11 +1,11 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
 Words are counted over all training texts. The most frequent ones are the model's
-vocabulary; the rest share one class, inside which a word has its smoothed share of the
-counts. A context of two classes predicts the next one: the context vector is the sum of
-two class vectors, scaled per position, and the score of a class is its product with the
-class's output vector plus a bias. Every partition trains on all its tokens with numpy,
-and parameters are averaged by tokens.
+vocabulary; the rest share classes by their ending, inside which a word has its smoothed
+share of the counts. A context of two classes predicts the next one: the context vector is
+the sum of two class vectors, scaled per position, and the score of a class is its product
+with the class's output vector plus a bias. Every partition trains on all its tokens with
+numpy, and parameters are averaged by tokens after each round.
 
 Counts of frequent words are broadcast, at most ``HEAD_WORDS`` of them; the others meet
 their counts in a join, so the vocabulary may grow without bound.
@@ -29,16 +29,22 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 HEAD_WORDS = 1 << 18
 CLASSES = 512
 WIDTH = 16
-OTHER, START = 0, 1
+#: Classes of words outside the vocabulary come first, then the start of a text.
+OTHERS = 64
+START = OTHERS
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 NOISE = 32
 BATCH = 1024
-RATE = 0.2
+RATE = 0.1
+ROUNDS = 2
 TRAIN_TOKENS = 1 << 20
 CONTEXTS_AT_ONCE = 4096
 SEED = 6
 
 _CODES = byte_codes(fold_case=True)
+_OTHER_BITS = np.uint64(OTHERS - 1)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
 
 
 def held_out() -> Column:
@@ -46,13 +52,20 @@ def held_out() -> Column:
 
 
 def tokens(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all documents with an end after each, and the bounds."""
+    """Hashes of the words of all documents with an end after each, and the bounds.
+
+    The low bits of a hash are the class of the word's last two bytes.
+    """
     found = words(part, WHITESPACE, _CODES)
+    last = _LOWER[part.data[found.ends - 1]]
+    ending = last * np.uint64(257) + _LOWER[part.data[np.maximum(found.ends - 2, found.starts)]]
+    ending = (ending * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    hashes = (found.hashes & ~_OTHER_BITS) | (ending & _OTHER_BITS)
     bounds = found.bounds + np.arange(len(found.bounds))
     out = np.full(bounds[-1], END_HASH, dtype=np.uint64)
     inner = np.ones(bounds[-1], dtype=bool)
     inner[bounds[1:] - 1] = False
-    out[inner] = found.hashes
+    out[inner] = hashes
     return out, bounds
 
 
@@ -72,7 +85,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Head:
-    """Frequent words, sorted by hash, with counts and model classes, and the totals of all."""
+    """Frequent words, sorted by hash, with counts and model classes, and the totals of all:
+    ``other_counts`` and ``other_words`` by class of ending, the vocabulary left out."""
 
     word: np.ndarray
     count: np.ndarray
@@ -80,6 +94,8 @@ class Head:
     least: int
     total: int
     distinct: int
+    other_counts: np.ndarray
+    other_words: np.ndarray
 
     def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each token among the frequent words, and whether it is there."""
@@ -89,19 +105,19 @@ class Head:
         return at, there
 
     def classes(self, found: np.ndarray) -> np.ndarray:
+        ending = (found & _OTHER_BITS).astype(np.int64)
         at, there = self.find(found)
-        return np.where(there, self.klass[at], OTHER) if len(self.word) else np.zeros(len(found), dtype=np.int64)
+        return np.where(there, self.klass[at], ending) if len(self.word) else ending
 
     def class_counts(self) -> np.ndarray:
         own = np.bincount(self.klass, weights=self.count, minlength=CLASSES)
-        own[OTHER] = self.total - own[OTHER + 1 :].sum()
+        own[:OTHERS] = self.other_counts
         own[START] = 0
         return own
 
-    def other_norm(self) -> float:
-        """Counts and distinct words of the shared class, plus one for an unseen word."""
-        named = int((self.klass != OTHER).sum())
-        return float(self.class_counts()[OTHER]) + (self.distinct - named) + 1
+    def other_norms(self) -> np.ndarray:
+        """Counts and distinct words of each shared class, plus one for an unseen word."""
+        return self.other_counts + self.other_words + 1.0
 
 
 def frequent_words(counts: DataFrame) -> Head:
@@ -118,18 +134,24 @@ def frequent_words(counts: DataFrame) -> Head:
             break
         held, least = held + row["words"], row["step"]
     total, distinct = sum(r["tokens"] for r in rows), sum(r["words"] for r in rows)
+    other_counts, other_words = np.zeros(OTHERS), np.zeros(OTHERS)
+    ending = F.col("word").bitwiseAND(F.lit(OTHERS - 1)).cast("int").alias("ending")
+    for row in counts.groupBy(ending).agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect():
+        other_counts[row["ending"]], other_words[row["ending"]] = row["tokens"], row["words"]
     if least is None:
         none = np.zeros(0, dtype=np.int64)
-        return Head(none.astype(np.uint64), none, none, 2**62, total, distinct)
+        return Head(none.astype(np.uint64), none, none, 2**62, total, distinct, other_counts, other_words)
     found = counts.where(step >= least).toArrow()
     word = found["word"].to_numpy().view(np.uint64)
     n = found["n"].to_numpy()
     order = np.argsort(word)
     word, n = word[order], n[order]
-    klass = np.full(len(word), OTHER, dtype=np.int64)
-    named = np.lexsort((word, -n))[: CLASSES - 2]
-    klass[named] = np.arange(2, 2 + len(named))
-    return Head(word, n, klass, int(n.min()), total, distinct)
+    klass = (word & _OTHER_BITS).astype(np.int64)
+    named = np.lexsort((word, -n))[: CLASSES - OTHERS - 1]
+    other_counts -= np.bincount(klass[named], weights=n[named], minlength=OTHERS)
+    other_words -= np.bincount(klass[named], minlength=OTHERS)
+    klass[named] = START + 1 + np.arange(len(named))
+    return Head(word, n, klass, int(n.min()), total, distinct, other_counts, other_words)
 
 
 class LogBilinear:
@@ -169,15 +191,20 @@ class LogBilinear:
             out[own] = top + np.log(np.exp(score).sum(axis=1, dtype=np.float64))
         return out
 
-    def train(self, triples: np.ndarray, weights: np.ndarray, noise_p: np.ndarray, rng: np.random.Generator) -> None:
-        """One pass of noise-contrastive steps over weighted triples (before, last, next)."""
+    def train(
+        self, triples: np.ndarray, weights: np.ndarray, noise_p: np.ndarray, rng: np.random.Generator, seen: np.ndarray
+    ) -> None:
+        """One pass of noise-contrastive steps over weighted triples (before, last, next).
+
+        ``seen`` sums squared slopes; a parameter's steps shrink with it.
+        """
         cumulative = np.cumsum(noise_p)
         log_noise = np.log(NOISE * np.maximum(noise_p, 1e-12)).astype(np.float32)
         order = rng.permutation(len(weights))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
             before, last, word = triples[own].T
-            weight = (weights[own] / weights[own].sum()).astype(np.float32)[:, None]
+            weight = weights[own].astype(np.float32)[:, None]
             drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), CLASSES - 1)
             hidden = self.context(before, last)
             true_score = (hidden * self.next[word]).sum(axis=1) + self.bias[word] - log_noise[word]
@@ -185,19 +212,17 @@ class LogBilinear:
             true_pull = weight * (1 - _sigmoid(true_score))[:, None]
             false_pull = -weight * _sigmoid(false_score)
             pull = true_pull * self.next[word] + false_pull @ self.next[drawn]
-            grown = np.zeros_like(self.next)
-            np.add.at(grown, word, true_pull * hidden)
-            np.add.at(grown, drawn, false_pull.T @ hidden)
-            seen = np.zeros_like(self.seen)
-            np.add.at(seen, before, pull * self.scale[0])
-            np.add.at(seen, last, pull * self.scale[1])
-            self.scale[0] += RATE * (pull * self.seen[before]).sum(axis=0)
-            self.scale[1] += RATE * (pull * self.seen[last]).sum(axis=0)
-            self.bias += RATE * (
-                np.bincount(word, true_pull[:, 0], CLASSES) + np.bincount(drawn, false_pull.sum(axis=0), CLASSES)
-            ).astype(np.float32)
-            self.next += RATE * grown * 8
-            self.seen += RATE * seen * 8
+            slope = LogBilinear(np.zeros_like(self.flat))
+            np.add.at(slope.next, word, true_pull * hidden)
+            np.add.at(slope.next, drawn, false_pull.T @ hidden)
+            np.add.at(slope.seen, before, pull * self.scale[0])
+            np.add.at(slope.seen, last, pull * self.scale[1])
+            slope.scale[0] = (pull * self.seen[before]).sum(axis=0)
+            slope.scale[1] = (pull * self.seen[last]).sum(axis=0)
+            slope.bias[:] = np.bincount(word, true_pull[:, 0], CLASSES)
+            slope.bias[:] += np.bincount(drawn, false_pull.sum(axis=0), CLASSES)
+            seen += slope.flat**2
+            self.flat += RATE * slope.flat / np.sqrt(seen + 1e-6)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,52 +241,59 @@ def contexts(klass: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fit(docs: DataFrame, head: Head) -> LogBilinear:
-    """Train on all tokens of ``docs``: every task passes once over its own, averages follow."""
+    """Train on all tokens of ``docs``: in every round each task passes over its own, starting
+    from the averages of the round before."""
     class_counts = head.class_counts()
-    first = LogBilinear.start(class_counts)
+    model = LogBilinear.start(class_counts)
     if not head.total:
-        return first
-    shared = docs.sparkSession.sparkContext.broadcast((head, first.flat, class_counts / class_counts.sum()))
-
+        return model
+    bodies = docs.select(text_bytes().alias("body"))
+    for round_no in range(ROUNDS):
+        shared = docs.sparkSession.sparkContext.broadcast((head, model.flat, class_counts / class_counts.sum()))
+        trained = bodies.mapInArrow(_trainer(shared, round_no), "flat array<float>, seen long")
+        means = (
+            trained.select("seen", F.posexplode("flat").alias("at", "x"))
+            .groupBy("at")
+            .agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x"))
+            .toArrow()
+        )
+        flat = np.empty(LogBilinear.SIZE, dtype=np.float32)
+        flat[means["at"].to_numpy()] = means["x"].to_numpy()
+        model = LogBilinear(flat)
+    return model
+
+
+def _trainer(shared, round_no: int):
     def train(batches):
-        own_head, flat, noise_p = shared.value
-        model, seen = LogBilinear(flat.copy()), 0
-        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        head, flat, noise_p = shared.value
+        model, slopes, n_tokens = LogBilinear(flat.copy()), np.zeros_like(flat), 0
+        rng = np.random.default_rng([SEED, round_no, TaskContext.get().partitionId()])
         held, size = [], 0
 
         def learn():
             code, n = np.unique(np.concatenate(held), return_counts=True)
             triples = np.stack([code // CLASSES**2, code // CLASSES % CLASSES, code % CLASSES], axis=1)
-            model.train(triples, n, noise_p, rng)
+            model.train(triples, n, noise_p, rng, slopes)
 
         for batch in batches:
             for part in slices(batch.column("body")):
                 found, bounds = tokens(part)
-                klass = own_head.classes(found)
+                klass = head.classes(found)
                 before, last = contexts(klass, bounds)
                 held.append((before * CLASSES + last) * CLASSES + klass)
                 size += len(klass)
-                seen += len(klass)
+                n_tokens += len(klass)
                 if size >= TRAIN_TOKENS:
                     learn()
                     held, size = [], 0
         if size:
             learn()
-        if seen:
+        if n_tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([model.flat.tolist()], pa.list_(pa.float32())), pa.array([seen])], names=["flat", "seen"]
+                [pa.array([model.flat.tolist()], pa.list_(pa.float32())), pa.array([n_tokens])], names=["flat", "seen"]
             )
 
-    trained = docs.select(text_bytes().alias("body")).mapInArrow(train, "flat array<float>, seen long")
-    means = (
-        trained.select("seen", F.posexplode("flat").alias("at", "x"))
-        .groupBy("at")
-        .agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x"))
-        .toArrow()
-    )
-    flat = np.empty(LogBilinear.SIZE, dtype=np.float32)
-    flat[means["at"].to_numpy()] = means["x"].to_numpy()
-    return LogBilinear(flat)
+    return train
 
 
 SCORED = [
@@ -270,7 +302,6 @@ SCORED = [
     ("known", T.LongType(), pa.int64()),
     ("logs", T.DoubleType(), pa.float64()),
     ("model_log", T.DoubleType(), pa.float64()),
-    ("others", T.LongType(), pa.int64()),
     ("rare", T.ArrayType(T.LongType()), pa.list_(pa.int64())),
 ]
 
@@ -281,6 +312,7 @@ class Scorer:
     def __init__(self, head: Head, model: LogBilinear):
         self.head, self.model = head, model
         self.norms = np.full(CLASSES * CLASSES, np.nan)
+        self.other_logs = np.log10(head.other_norms())
 
     def norm(self, code: np.ndarray) -> np.ndarray:
         new = np.unique(code[np.isnan(self.norms[code])])
@@ -293,14 +325,14 @@ class Scorer:
         hand, and the hashes of the rare words whose counts are not."""
         found, bounds = tokens(part)
         at, there = self.head.find(found)
-        klass = np.where(there, self.head.klass[at], OTHER) if len(self.head.word) else np.zeros(len(found), np.int64)
+        klass = self.head.classes(found)
         before, last = contexts(klass, bounds)
         model = self.model
         raw = (model.context(before, last) * model.next[klass]).sum(axis=1) + model.bias[klass]
         model_log = (raw - self.norm(before * CLASSES + last)) / np.log(10)
         logs = np.where(there, np.log10(self.head.count[at] + 1.0), 0.0) if len(self.head.word) else np.zeros(len(found))
-        in_other = klass == OTHER
-        model_log += np.where(in_other, logs, 0.0)
+        shared = klass < OTHERS
+        model_log[shared] += logs[shared] - self.other_logs[klass[shared]]
         rare = np.flatnonzero(~there)
         offsets = np.searchsorted(rare, bounds).astype(np.int32)
         return [
@@ -308,7 +340,6 @@ class Scorer:
             pa.array(per_document(there.astype(np.int64), bounds, np.add, 0)),
             pa.array(per_document(logs, bounds, np.add, 0.0)),
             pa.array(per_document(model_log, bounds, np.add, 0.0)),
-            pa.array(per_document(in_other.astype(np.int64), bounds, np.add, 0)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(as_long(found[rare]))),
         ]
 
@@ -359,7 +390,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_logs"))
     )
     base_norm = F.log10(F.lit(float(head.total + head.distinct + 1)))
-    other_norm = F.log10(F.lit(head.other_norm()))
     rare_logs = F.coalesce("rare_logs", F.lit(0.0))
     return scored.drop("rare").join(rare, "row_id", "left").select(
         "doc_id",
@@ -368,7 +398,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(head.total).cast("long").alias("train_tokens"),
         (F.col("logs") + rare_logs - F.col("n_tokens") * base_norm).alias("base_score"),
-        (F.col("model_log") + rare_logs - F.col("others") * other_norm).alias("score"),
+        (F.col("model_log") + rare_logs).alias("score"),
     )
 
 
