@@ -2,8 +2,9 @@
 
 Rows are grouped by the length of their normalised text, rows of lengths that occur more
 than once by a hash of its beginning, and only rows that still share both by a hash of
-the full content. Every step works on one thin row per document: a hot group is counted
-map-side, no group is gathered and no text is shuffled.
+the full content. Every step works on one thin row per document and counts map-side before
+it shuffles, so a hot length or group arrives as one row per task; no group is gathered and
+no text is shuffled.
 """
 
 from __future__ import annotations
@@ -44,10 +45,6 @@ def _features(docs: DataFrame) -> DataFrame:
     )
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-
-
 def refine(docs: DataFrame, digest_all: bool) -> DataFrame:
     """Thin rows ``doc_id, n_points, n_normal, prefix_hash, text_sha256``.
 
@@ -74,9 +71,10 @@ def refine(docs: DataFrame, digest_all: bool) -> DataFrame:
 
 
 def _survivors(features: DataFrame) -> DataFrame:
-    """Pairs of length and prefix hash that more than one row has."""
-    lengths = _repeated(features, ["n_normal"])
-    return _repeated(features.join(lengths, "n_normal", "left_semi"), ["n_normal", "prefix_hash"])
+    """Pairs of length and prefix hash that more than one row has, among repeated lengths."""
+    counted = features.groupBy("n_normal", "prefix_hash").agg(F.count("*").alias("n"))
+    lengths = counted.groupBy("n_normal").agg(F.sum("n").alias("n")).where("n > 1")
+    return counted.where("n > 1").join(lengths, "n_normal", "left_semi").drop("n")
 
 
 def exact_dedup(docs: DataFrame, digest_all: bool = True) -> DataFrame:
@@ -90,13 +88,13 @@ def exact_dedup(docs: DataFrame, digest_all: bool = True) -> DataFrame:
     rows = refine(docs, digest_all)
     survivors = _survivors(rows)
     same = (
-        rows.join(survivors, ["n_normal", "prefix_hash"], "left_semi")
-        .groupBy("n_normal", "prefix_hash", "text_sha256")
+        rows.groupBy("n_normal", "prefix_hash", "text_sha256")
         .agg(
             F.count("*").alias("group_size"),
             F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id")).alias("first"),
         )
-        .where("group_size > 1")
+        .where("group_size > 1 AND text_sha256 IS NOT NULL")
+        .join(survivors, ["n_normal", "prefix_hash"], "left_semi")
         .select(
             "text_sha256",
             "group_size",
