@@ -27,6 +27,8 @@ UNDETERMINED = "und"
 #: The pipeline drops undetermined texts and those whose best language is less sure than this.
 MIN_SCORE = 0.3
 FOLDS, HELD_OUT_FOLD = 4, 2
+#: Bytes of text turned into symbols at once; a symbol takes some sixty bytes meanwhile.
+PART_BYTES = 1 << 19
 
 _SPACE = 0x20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -84,7 +86,7 @@ def _counter(n_buckets: int):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
             languages = batch.column("lang").to_pylist()
-            for part in slices(batch.column("body")):
+            for part in slices(batch.column("body"), PART_BYTES):
                 own = languages[part.first : part.last]
                 names = sorted(set(own))
                 code = np.array([names.index(x) for x in own])
@@ -181,7 +183,7 @@ def predictor(docs: DataFrame, model: LanguageModel):
     @F.arrow_udf("lang_pred string, score double")
     def predict(body: pa.Array) -> pa.Array:
         names, scores = [], [np.zeros(0)]
-        for part in slices(body):
+        for part in slices(body, PART_BYTES):
             some, sure = shared.value.score(part)
             names += some
             scores.append(sure)
