@@ -1,16 +1,21 @@
 import json
 import os
+from dataclasses import replace
 
 import pytest
 from helpers import assistant, session_meta, totals, turn_context, write_log
 
 from pyspark.sql import functions as F
 
+from turnledger.operators import normalize
 from turnledger.operators.deltas import turn_usage
 from turnledger.plans.read_logs import read_logs
 from turnledger.plans.reports import daily_report
 from turnledger.schema import TOKEN_COLS, USAGE_COLS
+from turnledger.plans.sync import sync
+from turnledger.sources import dialects, files
 from turnledger.sources.files import Source, read_lines
+from turnledger.sources.ledger import Ledger
 from turnledger.sources.pricing import bundled_pricing
 
 
@@ -266,6 +271,23 @@ def test_flat_entries(spark, tmp_path):
     assert len(last["dedupe_key"]) == 35
 
 
+def test_a_further_dialect_needs_one_entry(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dialects, "DIALECTS", dict(dialects.DIALECTS))
+    monkeypatch.setattr(dialects, "TOOL_RANK", dict(dialects.TOOL_RANK))
+    for module in (normalize, files):
+        for name in ("DIALECTS", "TOOL_RANK"):
+            monkeypatch.setattr(module, name, getattr(dialects, name))
+    dialects.register(replace(dialects.CLAUDE_CODE, tool="house"))
+    assert dialects.tools() == ("claude_code", "codex", "opencode", "house")
+    write_log(str(tmp_path / "logs/p/s.jsonl"), [assistant("m", None, {"output_tokens": 3})])
+    sources = [Source("house", (str(tmp_path / "logs"),))]
+    result = sync(spark, sources, str(tmp_path / "ledger"))
+    audit = {r["tool"]: (r["detected"], r["new_events"]) for r in result.audit().collect()}
+    assert audit["house"] == (True, 1) and audit["codex"] == (False, 0)
+    row = Ledger(spark, str(tmp_path / "ledger")).turns().first()
+    assert (row["tool"], row["tool_rank"], row["output_tokens"]) == ("house", 3, 3)
+
+
 def test_layouts(spark, tmp_path):
     line = [assistant("m", None, {})]
     write_log(str(tmp_path / "root.jsonl"), line)
@@ -275,5 +297,5 @@ def test_layouts(spark, tmp_path):
     write_log(str(tmp_path / "p/1/2/3/4/5/6/ok.jsonl"), line)
     write_log(str(tmp_path / "p/1/2/3/4/5/6/7/deep.jsonl"), line)
     names = [os.path.basename(r["source_file"]) for r in read(spark, tmp_path, "claude_code")]
-    assert sorted(names) == ["agent-1.jsonl", "ok.jsonl", "s.jsonl"]
+    assert sorted(names) == ["agent-1.jsonl", "deep.jsonl", "ok.jsonl", "s.jsonl"]
     assert len(read(spark, tmp_path, "codex")) == 5

@@ -178,12 +178,12 @@ def test_coverage(spark):
     pricing = bundled_pricing(spark)
     got = [
         tuple(r)
-        for r in coverage(events(spark, rows), state, manifest, sources, pricing).collect()
+        for r in coverage(events(spark, rows), state, manifest, sources, pricing, {"codex": True}).collect()
     ]
     assert got == [
-        ("claude_code", 0, 0, [], []),
-        ("codex", 2, 1, ["gpt-5", "house"], ["house"]),
-        ("opencode", 0, 0, [], []),
+        ("claude_code", 0, 0, [], [], False, []),
+        ("codex", 2, 1, ["gpt-5", "house"], ["house"], True, ["/l/codex"]),
+        ("opencode", 0, 0, [], [], False, []),
     ]
     assert tuple(ledger_meta(events(spark, rows), state, pricing).first())[:2] == (2, 70)
     never = ledger_meta(events(spark, []), spark.createDataFrame([], SCAN_STATE), pricing).first()

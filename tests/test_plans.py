@@ -12,7 +12,7 @@ from turnledger.operators.file_order import in_file_order
 from turnledger.operators.normalize import read_facts
 from turnledger.plans import reports
 from turnledger.plans.sync import sync
-from turnledger.schema import CUMULATIVE_TOOLS
+from turnledger.sources.dialects import cumulative_tools
 from turnledger.sources.files import Source, read_lines
 from turnledger.sources.ledger import Ledger
 from turnledger.sources.pricing import bundled_pricing
@@ -103,4 +103,4 @@ def test_file_context_is_joined_in_place(spark, tmp_path):
 
 def test_small_frames_skip_the_hot_session_split(spark):
     rows = [usage("a", "codex", "s", 1, (1, 1, 1, 1, 1), cumulative=True)]
-    assert "Join" not in plan(turn_usage(events(spark, rows), CUMULATIVE_TOOLS))
+    assert "Join" not in plan(turn_usage(events(spark, rows), cumulative_tools()))

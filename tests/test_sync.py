@@ -71,6 +71,27 @@ def test_append_then_skip_then_partial_line(world):
     assert world.offset() == os.path.getsize(world.file)
 
 
+def test_scratch_tables_are_deleted(world):
+    folder = os.path.join(world.spark.conf.get("spark.checkpoint.dir"), "turnledger")
+
+    def labels():
+        names = os.listdir(folder) if os.path.isdir(folder) else []
+        return sorted(n.rsplit("-", 1)[0] for n in names)
+
+    before = labels()
+    write_log(world.file, [world.message("a", 1), "{bad"])
+    world.sync()
+    added = labels()
+    for label in before:
+        added.remove(label)
+    assert set(added) <= {"manifest", "read-files"}
+    assert world.ledger.events().count() == 1 and world.ledger.quarantine().count() == 1
+    # Read again from the start: the malformed line is the one already set aside.
+    touch(world.file, -60)
+    assert world.sync()["claude_code"].duplicates_ignored == 1
+    assert world.ledger.quarantine().count() == 1
+
+
 def test_truncated_and_replaced_files(world):
     write_log(world.file, [world.message(n, v) for n, v in (("a", 10), ("b", 20), ("c", 30))])
     world.sync()

@@ -134,7 +134,7 @@ FROM stored GROUP BY tool""",
     "ledger_sessions": _with(*_ALL, _STORED)
     + f"SELECT tool, session_id, count(*) AS turns, {_SUMS} FROM stored GROUP BY tool, session_id",
     "coverage_report": _with(*_ALL, _STORED, _PRICES, _RATES.format(source="stored"))
-    + """SELECT tool, true AS all_scanned, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
+    + """SELECT tool, true AS detected, CAST(1 AS BIGINT) AS n_roots, true AS all_scanned, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
   coalesce(string_agg(DISTINCT CASE WHEN prefix IS NULL THEN model END, ',' ORDER BY
     CASE WHEN prefix IS NULL THEN model END), '') AS unknown_models
 FROM stored JOIN rates USING (model) GROUP BY tool""",

@@ -20,9 +20,10 @@ from turnledger.plans.adhoc import ROW_CAP, query, register_views
 from turnledger.plans.coverage import all_unpriced_models, coverage, ledger_meta
 from turnledger.plans.read_logs import read_logs
 from turnledger.plans.sync import sync
-from turnledger.schema import CUMULATIVE_TOOLS, TOKEN_COLS, TURN_COLS
+from turnledger.schema import TOKEN_COLS, TURN_COLS
 from turnledger.session import configure, scratch_path
-from turnledger.sources.files import classify, list_files
+from turnledger.sources.dialects import cumulative_tools
+from turnledger.sources.files import classify, discover, list_files
 from turnledger.sources.ledger import Ledger
 from turnledger.sources.pricing import bundled_pricing
 from turnledger.streaming.deltas import turn_stream
@@ -61,7 +62,7 @@ def parse_b_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same logs through the per-turn view."""
     rows = read_logs(spark, [write_running_total_logs(configure(spark), sf_dir)])
     events = _events_of(rows).withColumn("ingest_batch", F.lit(0).cast("bigint"))
-    return turn_usage(events, CUMULATIVE_TOOLS).select(*TURN_COLS)
+    return turn_usage(events, cumulative_tools()).select(*TURN_COLS)
 
 
 def parse_c(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,15 +181,14 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models and unpriced models per tool of a synced ledger; all files scanned."""
     sources, path, _ = _synced(spark, sf_dir)
     ledger = Ledger(spark, path)
+    listed, detected = discover(spark, sources)
     rows = coverage(
-        ledger.events(),
-        ledger.scan_state(),
-        list_files(spark, sources),
-        sources,
-        bundled_pricing(spark),
+        ledger.events(), ledger.scan_state(), listed, sources, bundled_pricing(spark), detected
     )
     return rows.select(
         "tool",
+        "detected",
+        F.size("roots").cast("bigint").alias("n_roots"),
         (F.col("log_files") == F.col("scanned_files")).alias("all_scanned"),
         F.concat_ws(",", "models").alias("models"),
         F.concat_ws(",", "unknown_models").alias("unknown_models"),

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from turnledger.operators.costs import with_cost
 from turnledger.plans.reports import unpriced_models
-from turnledger.schema import TOKEN_COLS, TOOLS
+from turnledger.schema import TOKEN_COLS
+from turnledger.sources.dialects import tools as known_tools
 from turnledger.sources.files import Source
 from turnledger.sources.pricing import Pricing
 
@@ -33,15 +34,18 @@ def coverage(
     manifest: DataFrame,
     sources: Sequence[Source],
     pricing: Pricing,
+    detected: dict[str, bool] | None = None,
 ) -> DataFrame:
-    """Per tool: log files found, files scanned, models, models without a rate."""
+    """Per tool: roots and whether one of them exists (null unless ``detected`` is given),
+    log files found, files scanned, models, models without a rate."""
     spark = events.sparkSession
-    roots = {t: [r for s in sources if s.tool == t for r in s.roots] for t in TOOLS}
+    registry = known_tools()
+    roots = {t: [r for s in sources if s.tool == t for r in s.roots] for t in registry}
     found = manifest.groupBy("tool").agg(F.count(F.lit(1)).alias("log_files"))
     # One pass over the state counts for all tools; a file may count for several.
     scanned = state.agg(
-        *[F.count_if(under_roots(F.col("source_file"), roots[t])).alias(t) for t in TOOLS]
-    ).unpivot([], list(TOOLS), "tool", "scanned_files")
+        *[F.count_if(under_roots(F.col("source_file"), roots[t])).alias(t) for t in registry]
+    ).unpivot([], list(registry), "tool", "scanned_files")
     models = (
         priced_models(events.select("tool", "model").distinct(), pricing)
         .groupBy("tool")
@@ -52,7 +56,10 @@ def coverage(
             ).alias("unknown_models"),
         )
     )
-    tools = spark.createDataFrame([(t, i) for i, t in enumerate(TOOLS)], "tool string, rank int")
+    tools = spark.createDataFrame(
+        [(t, i, None if detected is None else detected.get(t, False), roots[t]) for i, t in enumerate(registry)],
+        "tool string, rank int, detected boolean, roots array<string>",
+    )
     none = F.array().cast("array<string>")
     return (
         tools.join(found, "tool", "left")
@@ -65,6 +72,8 @@ def coverage(
             F.coalesce("scanned_files", F.lit(0)).alias("scanned_files"),
             F.coalesce("models", none).alias("models"),
             F.coalesce("unknown_models", none).alias("unknown_models"),
+            "detected",
+            "roots",
         )
     )
 

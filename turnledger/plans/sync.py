@@ -15,8 +15,9 @@ from turnledger.functions.paths import plain_path
 from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, new_complete_lines
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
-from turnledger.schema import TOOLS, USAGE_EVENTS
-from turnledger.session import configure, is_missing_path
+from turnledger.schema import USAGE_EVENTS
+from turnledger.session import configure, is_missing_path, scratch_scope
+from turnledger.sources.dialects import tools
 from turnledger.sources.dialects.common import EVENT, MALFORMED
 from turnledger.sources.files import (
     SCANNED,
@@ -73,10 +74,22 @@ def sync(
     writes events, then state; an interrupted sync continues with the next run.
     """
     configure(spark)
+    # The failures of the result are read later.
+    with scratch_scope(spark, keep=("manifest", "read-files")):
+        return _sync(spark, sources, ledger_path, files_per_batch, scanned_at)
+
+
+def _sync(
+    spark: SparkSession,
+    sources: Sequence[Source],
+    ledger_path: str,
+    files_per_batch: int,
+    scanned_at: int | None,
+) -> SyncResult:
     started = time.monotonic()
     ledger = Ledger(spark, ledger_path)
     listed, detected = discover(spark, sources)
-    audits = {t: ToolAudit(t, detected.get(t, False)) for t in TOOLS}
+    audits = {t: ToolAudit(t, detected.get(t, False)) for t in tools()}
 
     manifest = pin(classify(listed, ledger.scan_state()), "manifest")
     for row in manifest.filter(F.col("status") == SKIPPED).groupBy("tool").count().collect():
@@ -91,7 +104,7 @@ def sync(
     for part in failures:
         failed = failed.unionByName(part)
     elapsed = int((time.monotonic() - started) * 1000)
-    return SyncResult(elapsed, [audits[t] for t in TOOLS], failed, spark)
+    return SyncResult(elapsed, [audits[t] for t in tools()], failed, spark)
 
 
 @dataclass

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
-# Tool ids in registry order; the position is the tool's rank in the ledger order.
-TOOLS = ("claude_code", "codex", "opencode")
-# Tools whose counters are running totals per session.
-CUMULATIVE_TOOLS = ("codex",)
 UNKNOWN_MODEL = "unknown"
 # ----------------------------------------------------------------------------
 
@@ -50,7 +46,7 @@ USAGE_EVENTS = T.StructType(
     ]
 )
 
-# The twelve columns of the per-turn view, the order tuple standing in for the id.
+# The eleven columns of the per-turn view, the order tuple standing in for the id.
 TURN_COLS = (
     "tool",
     "session_id",

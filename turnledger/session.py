@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -42,9 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: ContextVar[list[str] | None] = ContextVar("scratch paths made in the open scope", default=None)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/turnledger/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/turnledger/{label}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Delete the scratch tables made inside when it ends, but those with a label in ``keep``."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            if path.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def is_missing_path(error: AnalysisException) -> bool:

@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from turnledger.schema import CUMULATIVE_TOOLS, TOOLS
 from turnledger.sources.dialects.claude_code import CLAUDE_CODE
 from turnledger.sources.dialects.codex import CODEX
 from turnledger.sources.dialects.common import Dialect
 from turnledger.sources.dialects.opencode import OPENCODE
 
-DIALECTS: dict[str, Dialect] = {d.tool: d for d in (CLAUDE_CODE, CODEX, OPENCODE)}
-TOOL_RANK: dict[str, int] = {tool: rank for rank, tool in enumerate(DIALECTS)}
+DIALECTS: dict[str, Dialect] = {}
+# Position of a tool in the registry: its rank in the ledger order.
+TOOL_RANK: dict[str, int] = {}
 
-assert tuple(DIALECTS) == TOOLS
-assert tuple(t for t, d in DIALECTS.items() if d.cumulative) == CUMULATIVE_TOOLS
+
+def register(dialect: Dialect) -> None:
+    """Add a dialect after those known; a tool already known keeps its rank."""
+    DIALECTS[dialect.tool] = dialect
+    TOOL_RANK.setdefault(dialect.tool, len(TOOL_RANK))
+
+
+def tools() -> tuple[str, ...]:
+    """Tool ids in registry order."""
+    return tuple(DIALECTS)
+
+
+def cumulative_tools() -> tuple[str, ...]:
+    """Tools whose counters are running totals per session."""
+    return tuple(tool for tool, dialect in DIALECTS.items() if dialect.cumulative)
+
+
+for _dialect in (CLAUDE_CODE, CODEX, OPENCODE):
+    register(_dialect)

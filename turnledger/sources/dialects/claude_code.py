@@ -86,7 +86,7 @@ def _bind() -> dict[str, Column]:
 CLAUDE_CODE = Dialect(
     tool="claude_code",
     # A project folder, then nested session folders.
-    layout=Layout(min_folders=1, max_folders=7),
+    layout=Layout(min_folders=1),
     fields=_FIELDS,
     facts=_facts,
     bind=_bind,

@@ -96,7 +96,7 @@ def _bind() -> dict[str, Column]:
 CODEX = Dialect(
     tool="codex",
     # Year, month and day folders.
-    layout=Layout(min_folders=0, max_folders=8),
+    layout=Layout(min_folders=0),
     fields=_FIELDS,
     facts=_facts,
     bind=_bind,

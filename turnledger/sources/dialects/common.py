@@ -35,10 +35,10 @@ FACT_COLS = (
 @dataclass(frozen=True)
 class Layout:
     """Where a tool keeps its logs below a root: folder names and depth of a file,
-    counted in folders between the root and the file."""
+    counted in folders between the root and the file, without an upper bound by default."""
 
     min_folders: int
-    max_folders: int
+    max_folders: int | None = None
     top_folders: tuple[str, ...] = ()
 
 

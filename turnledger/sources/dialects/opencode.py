@@ -84,7 +84,6 @@ OPENCODE = Dialect(
     tool="opencode",
     layout=Layout(
         min_folders=1,
-        max_folders=7,
         top_folders=("storage", "session", "sessions", "message"),
     ),
     fields=_FIELDS,

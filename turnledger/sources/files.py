@@ -132,7 +132,9 @@ def _in_layout(path: Column, root: str, layout: Layout) -> Column:
     below = F.substring(path, F.locate(anchor, path) + F.lit(len(anchor)), F.length(path))
     parts = F.split(below, "/")
     folders = F.size(parts) - 1
-    fits = folders.between(layout.min_folders, layout.max_folders)
+    fits = folders >= layout.min_folders
+    if layout.max_folders is not None:
+        fits = fits & (folders <= layout.max_folders)
     if layout.top_folders:
         fits = fits & F.element_at(parts, 1).isin(*layout.top_folders)
     return fits

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from turnledger.operators.dedupe import first_wins
 from turnledger.operators.deltas import turn_usage
-from turnledger.schema import CUMULATIVE_TOOLS, QUARANTINE, SCAN_STATE, USAGE_EVENTS
+from turnledger.schema import QUARANTINE, SCAN_STATE, USAGE_EVENTS
 from turnledger.session import is_missing_path
+from turnledger.sources.dialects import cumulative_tools
 
 # --- fixed values -----------------------------------------------------------
 # Part of the storage format: changing it would hide stored keys from the key check.
@@ -62,7 +63,7 @@ class Ledger:
 
     def turns(self) -> DataFrame:
         """The per-turn view."""
-        return turn_usage(self.events(), CUMULATIVE_TOOLS)
+        return turn_usage(self.events(), cumulative_tools())
 
     def scan_state(self) -> DataFrame:
         """Latest state of every log file."""

@@ -10,7 +10,7 @@ from turnledger.functions.paths import plain_path
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
 from turnledger.schema import USAGE_EVENTS
-from turnledger.session import configure
+from turnledger.session import configure, scratch_scope
 from turnledger.sources.dialects.common import EVENT, MALFORMED
 from turnledger.sources.files import LOG_GLOB, literal_path
 from turnledger.sources.ledger import Ledger
@@ -67,26 +67,27 @@ def stream_ingest(
 
 def append_closed_files(lines: DataFrame, tool: str, ledger: Ledger) -> None:
     """Normalise the lines of complete files and append what is new."""
-    numbered = lines.withColumn("row_id", F.monotonically_increasing_id())
-    facts = read_facts({tool: numbered}, keep=("size",))
-    files = (
-        facts.groupBy("file_path")
-        .agg(F.max("size").alias("size"))
-        .select(
-            plain_path(F.col("file_path")).alias("source_file"),
-            "size",
-            F.lit(0).cast("bigint").alias("start_offset"),
+    with scratch_scope(lines.sparkSession):
+        numbered = lines.withColumn("row_id", F.monotonically_increasing_id())
+        facts = read_facts({tool: numbered}, keep=("size",))
+        files = (
+            facts.groupBy("file_path")
+            .agg(F.max("size").alias("size"))
+            .select(
+                plain_path(F.col("file_path")).alias("source_file"),
+                "size",
+                F.lit(0).cast("bigint").alias("start_offset"),
+            )
         )
-    )
-    batch = ledger.next_batch()
-    kept = pin(
-        place_and_bind(facts.drop("size"), files)
-        .filter(F.col("outcome").isin(EVENT, MALFORMED))
-        .withColumn("ingest_batch", F.lit(batch).cast("bigint")),
-        "stream-lines",
-    )
-    ledger.append_events(
-        kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
-    )
-    malformed = kept.filter(F.col("outcome") == MALFORMED)
-    ledger.append_quarantine(malformed.withColumn("reason", F.lit("not a JSON object")), batch)
+        batch = ledger.next_batch()
+        kept = pin(
+            place_and_bind(facts.drop("size"), files)
+            .filter(F.col("outcome").isin(EVENT, MALFORMED))
+            .withColumn("ingest_batch", F.lit(batch).cast("bigint")),
+            "stream-lines",
+        )
+        ledger.append_events(
+            kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
+        )
+        malformed = kept.filter(F.col("outcome") == MALFORMED)
+        ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
