@@ -3,7 +3,7 @@ import random
 import pytest
 from helpers import events, usage
 
-from turnledger.operators.deltas import difference_in_chunks, turn_usage
+from turnledger.operators.deltas import difference_in_chunks, turn_usage, turns_between
 from turnledger.schema import TOKEN_COLS
 
 
@@ -95,3 +95,20 @@ def test_split_sessions_match_brute_force(spark, seed):
         turn_usage(df, hot_session_rows=50, chunk_rows=20),
     ):
         assert {r["line_no"]: tuple(r[c] for c in TOKEN_COLS) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("low, high", [(None, 120), (110, None), (110, 125), (130, 131), (0, 500)])
+def test_a_range_equals_the_filtered_view(spark, low, high):
+    rng = random.Random(8)
+    rows = [
+        usage(f"k{i}", tool, f"s{i % 4}", 100 + rng.randrange(40), tuple(rng.randrange(90) for _ in range(5)), i, tool == "codex")
+        for i, tool in enumerate(rng.choices(("codex", "opencode"), k=150))
+    ]
+    frame = events(spark, rows)
+    whole = turn_usage(frame, ("codex",))
+    if low is not None:
+        whole = whole.filter(f"ts >= {low}")
+    if high is not None:
+        whole = whole.filter(f"ts < {high}")
+    part = turns_between(frame, ("codex",), low, high)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))

@@ -70,12 +70,24 @@ def test_date_range_reaches_the_ledger_scan(spark, ledger):
     bypass = [s for s in scans if "NOT (tool" in s]
     assert len(scans) == 2 and len(bypass) == 1
     assert "GreaterThanOrEqual(ts," in bypass[0] and "LessThan(ts," in bypass[0]
-    # Readings before the range are needed for the deltas inside it.
+    # Of a view over all days, readings before the range are needed for the deltas inside it.
     assert "(ts," not in [s for s in scans if s not in bypass][0]
     assert "source_file" not in bypass[0].split("ReadSchema")[1]
     assert report.rows.count() == 1
 
 
+def test_a_ranged_view_windows_its_range_only(spark, ledger):
+    days = ("2023-11-01", "2023-11-30")
+    turns = ledger.turns(*days)
+    scans = [line for line in plan(turns).splitlines() if "FileScan parquet" in line]
+    assert scans and all("LessThan(ts," in s for s in scans)
+    seeds = [s for s in scans if "GreaterThanOrEqual(ts," not in s]
+    # Earlier rows are only combined to one a session.
+    assert len(seeds) == 1 and "partial_max_by" in plan(turns)
+    report = reports.daily_report(turns, bundled_pricing(spark), "Asia/Tokyo", *days)
+    assert report.rows.count() == 1
+
+
 def test_one_tool_reads_its_partition_without_a_window(ledger):
     text = plan(reports.filter_turns(ledger.turns(), tool="claude_code"))
     assert "Window" not in text and "Exchange" not in text

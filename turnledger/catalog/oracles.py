@@ -160,6 +160,8 @@ ORACLES: dict[str, str] = {
     "turn_deltas": _TURN_DELTAS,
     "turn_deltas_one_window": _TURN_DELTAS,
     "turn_deltas_split_sessions": _TURN_DELTAS,
+    "turn_deltas_range": _TURN_DELTAS
+    + f" WHERE ts >= epoch(DATE '{SINCE}') - 86400 AND ts < epoch(DATE '{UNTIL}') + 172800",
     "delta_totals": _with(_LI, _turns("li", "source_file, line_no"))
     + f"SELECT tool, is_sidechain, count(*) AS turns, {_SUMS} FROM turns GROUP BY ALL",
     "price_match": _with(

@@ -14,12 +14,12 @@ from turnledger.catalog.adapters import (
     usage_from_events,
     usage_from_lineitem,
 )
-from turnledger.functions.dates import local_day
+from turnledger.functions.dates import day_bounds, local_day
 from turnledger.functions.paths import project_label
 from turnledger.functions.tokens import sum_tokens
 from turnledger.operators.costs import floor_sum, resolve_rates, strict_sum, usd, with_rates
 from turnledger.operators.dedupe import first_wins
-from turnledger.operators.deltas import turn_usage
+from turnledger.operators.deltas import turn_usage, turns_between
 from turnledger.plans import recipes, reports
 from turnledger.schema import TOKEN_COLS, TURN_COLS
 from turnledger.session import configure, scratch_path
@@ -66,6 +66,13 @@ def turn_deltas_split_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("line_no", *TURN_COLS)
 
 
+def turn_deltas_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view of some days, made of their rows and one earlier row a session."""
+    low, high = day_bounds(SINCE, UNTIL)
+    rows = usage_from_events(configure(spark), sf_dir)
+    return turns_between(rows, EVENT_CUMULATIVE, low, high).select("line_no", *TURN_COLS)
+
+
 def delta_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_turns(spark, sf_dir).groupBy("tool", "is_sidechain").agg(
         F.count(F.lit(1)).alias("turns"), *sum_tokens()
@@ -304,6 +311,7 @@ QUERIES: dict[str, Query] = {
         turn_deltas,
         turn_deltas_one_window,
         turn_deltas_split_sessions,
+        turn_deltas_range,
         delta_totals,
         price_match,
         cost_strict_floor,

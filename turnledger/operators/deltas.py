@@ -44,7 +44,16 @@ def turn_usage(
     if cumulative_tools is None:
         return _difference(events, sized, hot_session_rows, chunk_rows)
     in_list = F.col("tool").isin(*cumulative_tools)
-    bypass = events.filter(~in_list).select(
+    return _passed_through(events.filter(~in_list)).unionByName(
+        _difference(
+            events.filter(in_list), sized.filter(in_list), hot_session_rows, chunk_rows
+        )
+    )
+
+
+def _passed_through(events: DataFrame) -> DataFrame:
+    """Rows of tools without running totals, whose counts are per turn as they are."""
+    return events.select(
         *[
             F.when(
                 F.col("is_cumulative"),
@@ -57,11 +66,34 @@ def turn_usage(
             for c in (*TURN_COLS, *ORDER_COLS)
         ]
     )
-    return bypass.unionByName(
-        _difference(
-            events.filter(in_list), sized.filter(in_list), hot_session_rows, chunk_rows
-        )
+
+
+def turns_between(
+    events: DataFrame, cumulative_tools: Sequence[str], low: int | None, high: int | None
+) -> DataFrame:
+    """The per-turn view of rows with ``low <= ts < high`` without windowing other rows.
+
+    A delta only looks back, so later rows are left out of the scan. Of the earlier rows of a
+    session only the last is needed: it is found map-side and stands in for all of them.
+    """
+    if high is not None:
+        events = events.filter(F.col("ts") < high)
+    if low is None:
+        return turn_usage(events, cumulative_tools)
+    others = [c for c in events.columns if c not in SESSION_KEY]
+    in_list = F.col("tool").isin(*cumulative_tools)
+    last = (
+        events.filter(in_list & (F.col("ts") < low))
+        .groupBy(*SESSION_KEY)
+        .agg(F.max_by(F.struct(*others), F.struct(*_TURN_ORDER)).alias("row"))
+        .select(*SESSION_KEY, *[F.col(f"row.{c}").alias(c) for c in others])
+    )
+    inside = events.filter(F.col("ts") >= low)
+    # A session's one earlier row does not matter for its size.
+    differenced = _difference(
+        inside.filter(in_list).unionByName(last), inside.filter(in_list), HOT_SESSION_ROWS, CHUNK_ROWS
     )
+    return _passed_through(inside.filter(~in_list)).unionByName(differenced.filter(F.col("ts") >= low))
 
 
 def _difference(

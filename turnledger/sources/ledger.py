@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnledger.functions.dates import day_bounds
 from turnledger.operators.dedupe import first_wins
-from turnledger.operators.deltas import turn_usage
+from turnledger.operators.deltas import turns_between
 from turnledger.schema import QUARANTINE, SCAN_STATE, USAGE_EVENTS
 from turnledger.session import is_missing_path
 from turnledger.sources.dialects import cumulative_tools
@@ -61,9 +62,13 @@ class Ledger:
         """Raw usage rows as parsed, running totals included."""
         return self._read("events", _STORED_EVENTS).select(*USAGE_EVENTS.names)
 
-    def turns(self) -> DataFrame:
-        """The per-turn view."""
-        return turn_usage(self.events(), cumulative_tools())
+    def turns(self, since: str | None = None, until: str | None = None) -> DataFrame:
+        """The per-turn view; with days, only what a report on that range can use.
+
+        The range is a day wider on both sides, for any time zone; reports take the same
+        days and filter exactly.
+        """
+        return turns_between(self.events(), cumulative_tools(), *day_bounds(since, until))
 
     def scan_state(self) -> DataFrame:
         """Latest state of every log file."""
