@@ -1,9 +1,10 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers vote good, bad or nothing on every text, in SQL. Expectation-
-maximisation over the counts of vote patterns estimates how often each labeller is right on
-good and on bad texts, and with that the posterior label of a text. A linear scorer over
-hashed byte n-grams learns the posteriors and generalises to texts the labellers pass over.
+Heuristic labellers vote good, bad or nothing on every text, from counts that numpy takes over
+many texts at once. Expectation-maximisation over the counts of vote patterns estimates how
+often each labeller is right on good and on bad texts, and with that the posterior label of a
+text. A linear scorer over hashed byte n-grams learns the posteriors and generalises to texts
+the labellers pass over.
 """
 
 from __future__ import annotations
@@ -12,15 +13,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.frames import prepare, text_bytes
-from turnledger.llm.text import Slice, slices
+from turnledger.llm.text import WHITESPACE, Slice, Words, byte_codes, per_document, slices, words
 
 SYMBOLS = "#$%&*@|<>{}[]\\^~_=+!"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜ"
-DIGITS = "0123456789"
+#: Marks that are neither letters nor faults.
+PUNCTUATION = ".,;:-"
+
+LABELLERS = (
+    "symbols",
+    "marked_words",
+    "letters",
+    "capitals",
+    "repeated_words",
+    "few_words",
+    "repeated_lines",
+    "sentences",
+    "word_length",
+    "digits",
+    "length",
+)
+
 #: Votes: 0 bad, 1 good, 2 none.
 BAD, GOOD, NONE = 0, 1, 2
 
@@ -32,51 +48,83 @@ SAMPLE = 4096
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 EM_ROUNDS = 100
 THRESHOLD = 0.5
+#: Bytes of text judged at once; features take a row of numbers for each of its texts.
+PART_BYTES = 1 << 18
 #: n-grams at which a text's own features count half.
 EVIDENCE = 100
 
 
-def _votes(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
-
-
-def labellers() -> dict[str, Column]:
-    """Votes by labeller. Texts without words get no votes but the one on length."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    chars = F.length(text)
-
-    def count_of(characters: str) -> Column:
-        return chars - F.length(F.translate(text, characters, ""))
-
-    spaced = F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
-    n_words = F.size(spaced)
-    lines = F.array_remove(F.split(text, "\n"), "")
-    n_lines = F.size(lines)
-    letters = F.greatest(chars - count_of(SYMBOLS + DIGITS + " .,;:-\n"), F.lit(1))
-    ends = count_of(".?")
-    some = n_words >= 5
-    symbol_share = count_of(SYMBOLS) / F.greatest(chars, F.lit(1))
-    upper_share = count_of(UPPER) / letters
-    digit_share = count_of(DIGITS) / F.greatest(chars, F.lit(1))
-    distinct = F.size(F.array_distinct(spaced)) / F.greatest(n_words, F.lit(1))
-    distinct_lines = F.size(F.array_distinct(lines)) / F.greatest(n_lines, F.lit(1))
-    word_length = letters / F.greatest(n_words, F.lit(1))
-    words_an_end = n_words / F.greatest(ends, F.lit(1))
-    marked = F.size(F.filter(spaced, lambda w: F.translate(w, SYMBOLS, "") != w)) / F.greatest(n_words, F.lit(1))
-    letter_share = letters / F.greatest(chars - count_of(" \n"), F.lit(1))
-    return {
-        "symbols": _votes(some & (symbol_share > 0.05), some & (symbol_share < 0.01)),
-        "marked_words": _votes(some & (marked > 0.2), some & (marked < 0.05)),
-        "letters": _votes(some & (letter_share < 0.85), some & (letter_share > 0.93)),
-        "capitals": _votes(some & (upper_share > 0.5), some & (upper_share < 0.2)),
-        "repeated_words": _votes((n_words >= 20) & (distinct < 0.1), (n_words >= 20) & (distinct > 0.3)),
-        "few_words": _votes((n_words >= 60) & (distinct < 0.2), (n_words >= 60) & (distinct > 0.25)),
-        "repeated_lines": _votes((n_lines >= 3) & (distinct_lines < 0.5), (n_lines >= 3) & (distinct_lines > 0.9)),
-        "sentences": _votes((n_words >= 40) & (words_an_end > 120), some & (words_an_end <= 40) & (ends > 0)),
-        "word_length": _votes(some & ((word_length > 14) | (word_length < 1.5)), some & word_length.between(2.5, 9)),
-        "digits": _votes(some & (digit_share > 0.25), some & (digit_share < 0.02)),
-        "length": _votes(n_words < 1, F.lit(False)),
+def _bytes(characters: str) -> np.ndarray:
+    own = np.zeros(256, dtype=bool)
+    own[list(characters.encode())] = True
+    return own
+
+
+_SYMBOL, _DIGIT, _MARK, _END = (_bytes(c) for c in (SYMBOLS, "0123456789", PUNCTUATION, ".?"))
+_BLANK, _BREAK, _UPPER = _bytes(" \n"), _bytes("\n"), _bytes("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CODES = byte_codes(fold_case=False)
+
+
+def _upper(data: np.ndarray) -> np.ndarray:
+    """Capitals of ASCII and of Latin-1, the latter at the second of their two bytes."""
+    own = _UPPER[data]
+    own[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    return own
+
+
+def _distinct(found: Words) -> np.ndarray:
+    """Distinct words of each document, by hashes cut to the bits the document leaves."""
+    n = len(found.bounds) - 1
+    row = np.repeat(np.arange(n, dtype=np.uint64), found.counts)
+    key = np.sort((row << np.uint64(44)) | (found.hashes >> np.uint64(20)))
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    return np.bincount((key[first] >> np.uint64(44)).astype(np.int64), minlength=n)
+
+
+def votes(part: Slice) -> np.ndarray:
+    """Votes of the ``LABELLERS`` on each document. Texts without words get only the last."""
+    data, offsets = part.data, part.offsets
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(mask) + 1, dtype=np.int64)
+        np.cumsum(mask, out=sums[1:])
+        return sums[offsets[1:]] - sums[offsets[:-1]]
+
+    chars = count((data & 0xC0) != 0x80)
+    symbol = _SYMBOL[data]
+    symbols, digits, ends, upper = count(symbol), count(_DIGIT[data]), count(_END[data]), count(_upper(data))
+    blanks = count(_BLANK[data])
+    letters = np.maximum(chars - symbols - digits - blanks - count(_MARK[data]), 1)
+    found, lines = words(part, WHITESPACE, _CODES), words(part, _BREAK, _CODES)
+    n_words, n_lines = found.counts, lines.counts
+    with_symbol = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(symbol, out=with_symbol[1:])
+    marked = per_document(
+        (with_symbol[found.ends] > with_symbol[found.starts]).astype(np.int64), found.bounds, np.add, 0
+    )
+    per_char, per_word = np.maximum(chars, 1), np.maximum(n_words, 1)
+    distinct, distinct_lines = _distinct(found) / per_word, _distinct(lines) / np.maximum(n_lines, 1)
+    letter_share = letters / np.maximum(chars - blanks, 1)
+    words_an_end, word_length = n_words / np.maximum(ends, 1), letters / per_word
+    some, none = n_words >= 5, np.zeros(len(chars), dtype=bool)
+    bad_good = {
+        "symbols": (some & (symbols / per_char > 0.05), some & (symbols / per_char < 0.01)),
+        "marked_words": (some & (marked / per_word > 0.2), some & (marked / per_word < 0.05)),
+        "letters": (some & (letter_share < 0.85), some & (letter_share > 0.93)),
+        "capitals": (some & (upper / letters > 0.5), some & (upper / letters < 0.2)),
+        "repeated_words": ((n_words >= 20) & (distinct < 0.1), (n_words >= 20) & (distinct > 0.3)),
+        "few_words": ((n_words >= 60) & (distinct < 0.2), (n_words >= 60) & (distinct > 0.25)),
+        "repeated_lines": ((n_lines >= 3) & (distinct_lines < 0.5), (n_lines >= 3) & (distinct_lines > 0.9)),
+        "sentences": ((n_words >= 40) & (words_an_end > 120), some & (words_an_end <= 40) & (ends > 0)),
+        "word_length": (
+            some & ((word_length > 14) | (word_length < 1.5)),
+            some & (word_length >= 2.5) & (word_length <= 9),
+        ),
+        "digits": (some & (digits / per_char > 0.25), some & (digits / per_char < 0.02)),
+        "length": (n_words < 1, none),
     }
+    return np.stack([np.where(b, BAD, np.where(g, GOOD, NONE)) for b, g in map(bad_good.get, LABELLERS)], axis=1)
 
 
 @dataclass
@@ -105,12 +153,9 @@ class LabelModel:
     def log_odds(self, patterns: np.ndarray) -> np.ndarray:
         return self.prior() + self.ratios()[np.arange(len(self.names)), patterns].sum(axis=1)
 
-    def posterior(self) -> Column:
-        """Probability that a text is good, from columns named like the labellers."""
-        odds = F.lit(self.prior())
-        for name, row in zip(self.names, self.ratios(), strict=True):
-            odds = odds + F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col(name) + 1)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        """Probability that a text is good."""
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -700, 700)))
 
 
 def fit_labels(names: list[str], patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
@@ -126,7 +171,7 @@ def fit_labels(names: list[str], patterns: np.ndarray, counts: np.ndarray) -> La
         return model
     held = max(1.0, counts.sum() / 1000)
     for _ in range(EM_ROUNDS):
-        good = 1 / (1 + np.exp(-model.log_odds(patterns)))
+        good = model.posterior(patterns)
         for side, weight in enumerate(((1 - good) * counts, good * counts)):
             yes = weight @ (patterns == GOOD)
             no = weight @ (patterns == BAD)
@@ -193,19 +238,33 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, prior: float) -> LinearScorer:
     return LinearScorer(weight, bias)
 
 
-def _with_votes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", *[vote.alias(f"vote_{name}") for name, vote in labellers().items()])
+def _count_patterns(batches):
+    """How often each vote pattern occurs in a partition, a pattern written in base 3."""
+    base = 3 ** np.arange(len(LABELLERS))
+    totals: dict[int, int] = {}
+    for batch in batches:
+        for part in slices(batch.column("body"), PART_BYTES):
+            for code, n in zip(*np.unique(votes(part) @ base, return_counts=True), strict=True):
+                totals[int(code)] = totals.get(int(code), 0) + int(n)
+    yield pa.RecordBatch.from_pydict(
+        {"pattern": pa.array(list(totals), pa.int64()), "n": pa.array(list(totals.values()), pa.int64())}
+    )
+
 
+def _sampled(labels: LabelModel):
+    def rows(batches):
+        for batch in batches:
+            for part in slices(batch.column("body"), PART_BYTES):
+                x = pa.array(features(part).reshape(-1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(labels.posterior(votes(part))),
+                        pa.FixedSizeListArray.from_arrays(x, FEATURES).cast(pa.list_(pa.float32())),
+                    ],
+                    names=["posterior", "x"],
+                )
 
-def _feature_rows(bodies):
-    for batch in bodies:
-        for part in slices(batch.column("body")):
-            x = features(part)
-            posterior = batch.column("posterior").slice(part.first, part.last - part.first)
-            yield pa.RecordBatch.from_arrays(
-                [posterior, pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))],
-                names=["posterior", "x"],
-            )
+    return rows
 
 
 def train(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
@@ -213,19 +272,18 @@ def train(docs: DataFrame) -> tuple[LabelModel, LinearScorer]:
 
     At most ``3 ** labellers`` pattern counts and ``2 * SAMPLE`` feature rows reach the driver.
     """
-    voted = _with_votes(docs)
-    names = [c for c in voted.columns if c.startswith("vote_")]
-    rows = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()
-    patterns = np.array([[r[c] for c in names] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
-    counts = np.array([r["n"] for r in rows], dtype=np.float64)
-    labels = fit_labels(names, patterns, counts)
+    bodies = docs.select(text_bytes().alias("body"))
+    found = bodies.mapInArrow(_count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    code, counts = found["pattern"].to_numpy(), found["n"].to_numpy().astype(np.float64)
+    patterns = code[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    labels = fit_labels(list(LABELLERS), patterns, counts)
     share = min(1.0, SAMPLE / max(counts.sum(), 1.0))
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(np.ceil(share * (1 << 20))))
     sample = (
-        voted.where(chosen)
+        docs.where(chosen)
         .limit(2 * SAMPLE)
-        .select(text_bytes().alias("body"), labels.posterior().alias("posterior"))
-        .mapInArrow(_feature_rows, "posterior double, x array<float>")
+        .select(text_bytes().alias("body"))
+        .mapInArrow(_sampled(labels), "posterior double, x array<float>")
         .toArrow()
     )
     x = sample["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
@@ -242,17 +300,24 @@ def classify(docs: DataFrame) -> DataFrame:
     """
     prepare(docs.sparkSession)
     labels, scorer = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    @F.arrow_udf("double")
-    def score(bodies: pa.Array) -> pa.Array:
-        parts = [shared.value.score(part) for part in slices(bodies, 1 << 18)]
-        return pa.array(np.concatenate([*parts, np.zeros(0)]))
+    shared = docs.sparkSession.sparkContext.broadcast((labels, scorer))
+
+    @F.arrow_udf("n_votes int, posterior double, score double")
+    def judge(bodies: pa.Array) -> pa.Array:
+        own_labels, own_scorer = shared.value
+        columns = [[np.zeros(0, np.int32)], [np.zeros(0)], [np.zeros(0)]]
+        for part in slices(bodies, PART_BYTES):
+            cast = votes(part)
+            columns[0].append((cast != NONE).sum(axis=1).astype(np.int32))
+            columns[1].append(own_labels.posterior(cast))
+            columns[2].append(own_scorer.score(part))
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(c)) for c in columns], names=["n_votes", "posterior", "score"]
+        )
 
-    n_votes = sum((F.when(F.col(c) != NONE, 1).otherwise(0) for c in labels.names), F.lit(0))
     return (
-        _with_votes(docs)
-        .select("doc_id", n_votes.alias("n_votes"), labels.posterior().alias("posterior"), score(text_bytes()).alias("score"))
+        docs.select("doc_id", judge(text_bytes()).alias("found"))
+        .select("doc_id", "found.*")
         .withColumn("kept", F.col("score") >= THRESHOLD)
     )
 
