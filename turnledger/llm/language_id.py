@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm.frames import boxed, crc_of_id, prepare, text_bytes, unboxed
-from turnledger.llm.text import Slice, per_document, slices
+from turnledger.llm.text import Slice, slices
 
 ORDERS = 3
 MAX_BUCKETS = 1 << 15
@@ -150,7 +150,9 @@ def train(docs: DataFrame) -> LanguageModel:
     ``MAX_CELLS`` cells whatever the table holds.
     """
     prepare(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text_bytes().alias("body"))
+    known = docs.where(F.col("lang").isNotNull()).select(
+        F.col("lang").cast("string").alias("lang"), text_bytes().alias("body")
+    )
     n_languages = known.agg(F.countDistinct("lang").alias("n")).first()["n"]
     n_buckets = MAX_BUCKETS
     while n_buckets > 1 and n_buckets * n_languages > MAX_CELLS:
