@@ -33,10 +33,10 @@ WIDTH = 16
 OTHERS = 64
 START = OTHERS
 END_HASH = np.uint64(0x5851F42D4C957F2D)
-NOISE = 32
+NOISE = 64
 BATCH = 1024
 RATE = 0.1
-ROUNDS = 2
+ROUNDS = 1
 TRAIN_TOKENS = 1 << 20
 CONTEXTS_AT_ONCE = 4096
 SEED = 6
@@ -213,10 +213,10 @@ class LogBilinear:
             false_pull = -weight * _sigmoid(false_score)
             pull = true_pull * self.next[word] + false_pull @ self.next[drawn]
             slope = LogBilinear(np.zeros_like(self.flat))
-            np.add.at(slope.next, word, true_pull * hidden)
-            np.add.at(slope.next, drawn, false_pull.T @ hidden)
-            np.add.at(slope.seen, before, pull * self.scale[0])
-            np.add.at(slope.seen, last, pull * self.scale[1])
+            _add_rows(slope.next, word, true_pull * hidden)
+            _add_rows(slope.next, drawn, false_pull.T @ hidden)
+            _add_rows(slope.seen, before, pull * self.scale[0])
+            _add_rows(slope.seen, last, pull * self.scale[1])
             slope.scale[0] = (pull * self.seen[before]).sum(axis=0)
             slope.scale[1] = (pull * self.seen[last]).sum(axis=0)
             slope.bias[:] = np.bincount(word, true_pull[:, 0], CLASSES)
@@ -225,6 +225,14 @@ class LogBilinear:
             self.flat += RATE * slope.flat / np.sqrt(seen + 1e-6)
 
 
+def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """``out[index] += rows`` with repeated indices, by sums over runs of equal ones."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    out[index[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
