@@ -221,6 +221,41 @@ def test_a_hot_group_of_near_copies(spark):
     assert all((r["n_links"] > 0) == (r["class_size"] > 1) for r in rows.values())
 
 
+def exact_links(texts):
+    """Per text how many other texts, different in their words, are similar enough."""
+    own = {i: tuple(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
+    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in set(own.values())}
+    links = Counter()
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+            links[a] += 1
+            links[b] += 1
+    return {i: links[w] for i, w in own.items()}
+
+
+@pytest.mark.parametrize("blocks", [1, 8])
+def test_links_are_counted_in_full(spark, monkeypatch, blocks):
+    """Near copies that are all alike, some repeated, and a chain of ever further versions."""
+    monkeypatch.setattr(ngram_jaccard, "MEMBER_SHINGLES", ngram_jaccard.MEMBER_SHINGLES // (32 * blocks))
+    monkeypatch.setattr(ngram_jaccard, "RESIDUAL_SHINGLES", ngram_jaccard.RESIDUAL_SHINGLES // (8 * blocks))
+    base, texts = BASE.split(), {}
+    for i in range(90):
+        words = list(base)
+        words[1 + i % 80] = f"v{i}"
+        texts[i] = " ".join(words)
+    texts |= {90 + i: texts[i] + " " for i in range(5)}
+    chain = prose(9, 120).split()
+    for i in range(20):
+        chain[5 * i + 3] = f"c{i}"
+        texts[100 + i] = " ".join(chain)
+    texts |= {200: prose(20, 50), 201: prose(20, 50) + " one"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = by_id(ngram_jaccard.ngram_jaccard(frame))
+    assert {i: r["n_links"] for i, r in got.items()} == exact_links(texts)
+    assert got[0]["n_links"] == 89
+
+
 def test_prefix_is_shortened_to_the_recall():
     depth = ngram_jaccard.shortest_prefix()
     assert 1 - (1 - 0.8**depth) ** ngram_jaccard.TREES >= ngram_jaccard.TARGET_RECALL

@@ -10,6 +10,9 @@ What a centre leaves apart is resolved exactly as well: where members of one sho
 prefix still lie in different components, those outside the largest are compared with all
 members of other components, in blocks of bounded size that emit verified links only.
 Classes therefore equal those of comparing all pairs that share a shortest prefix.
+
+Links are counted, not listed: within a class all texts are compared with all, in blocks of
+bounded size that return one partial count per text.
 """
 
 from __future__ import annotations
@@ -239,6 +242,20 @@ def _first_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) ->
     return pa.table({"a": pa.array(found_a, pa.binary()), "b": pa.array(found_b, pa.binary())})
 
 
+def _dealt(
+    rows: DataFrame, sets: DataFrame, own_block: str, other_block: str, blocks: list[str], held: list[str]
+) -> DataFrame:
+    """``rows`` with their sets, each in one block of its own side and in all of the other's."""
+    body = sets.select(F.col("node").alias("found"), "own", "first_keys")
+    return (
+        rows.withColumn(own_block, F.pmod(F.xxhash64(F.lit(own_block), "node"), F.col(f"{own_block}s")).cast("int"))
+        .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(f"{other_block}s") - 1)))
+        .join(body, F.col("node") == body["found"])
+        # New column references, as both sides of the cogroup come from the same rows.
+        .select(*[F.col(c).alias(c) for c in (*blocks, "node", *held)])
+    )
+
+
 def residual_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links between components that share a shortest prefix but that no centre has joined."""
     first = KEYS[0]
@@ -269,22 +286,9 @@ def residual_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
         )
     )
     rows = pin(rows.join(open_buckets, first), "residual-rows")
-    blocks = ["tree", first, "residual_block", "member_block"]
-
-    def dealt(row: DataFrame, own_block: str, own_count: str, other_block: str, other_count: str) -> DataFrame:
-        body = sets.select(F.col("node").alias("held"), "own", "first_keys")
-        return (
-            row.withColumn(own_block, F.pmod(F.xxhash64(F.lit(own_block), "node"), F.col(own_count)).cast("int"))
-            .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)))
-            .join(body, F.col("node") == body["held"])
-            # New column references, as both sides of the cogroup come from the same rows.
-            .select(*[F.col(c).alias(c) for c in (*blocks, "node", "label", "n", "own", "first_keys")])
-        )
-
-    left = dealt(
-        rows.where(F.col("label") != F.col("main")), "residual_block", "residual_blocks", "member_block", "member_blocks"
-    )
-    right = dealt(rows, "member_block", "member_blocks", "residual_block", "residual_blocks")
+    blocks, held = ["tree", first, "residual_block", "member_block"], ["label", "n", "own", "first_keys"]
+    left = _dealt(rows.where(F.col("label") != F.col("main")), sets, "residual_block", "member_block", blocks, held)
+    right = _dealt(rows, sets, "member_block", "residual_block", blocks, held)
     return (
         left.groupBy(*blocks)
         .cogroup(right.groupBy(*blocks))
@@ -293,8 +297,55 @@ def residual_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
     )
 
 
-def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signed rows, and per node its class: ``node, class_row, class_size, n_links``."""
+def _count_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each left node, how many other nodes of the right block are similar enough."""
+    counts = np.zeros(left.num_rows, dtype=np.int64)
+    if left.num_rows and right.num_rows:
+        n_a, n_b = left["n"].to_numpy(), right["n"].to_numpy()
+        flat = right["own"].combine_chunks().flatten().to_numpy()
+        mine = left["own"].combine_chunks().flatten().to_numpy()
+        shingle, place = np.unique(flat, return_inverse=True)
+        near = np.minimum(np.searchsorted(shingle, mine), len(shingle) - 1)
+        there = shingle[near] == mine
+        opens_a, opens_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+        own_place = {x: i for i, x in enumerate(right["node"].to_pylist())}
+        marked = np.zeros(len(shingle), dtype=np.int64)
+        for i, node in enumerate(left["node"].to_pylist()):
+            span = slice(opens_a[i], opens_a[i] + n_a[i])
+            held = near[span][there[span]]
+            marked[held] = 1
+            both = np.add.reduceat(marked[place], opens_b)
+            marked[held] = 0
+            counts[i] = np.count_nonzero(both / (n_a[i] + n_b - both) >= SIMILARITY) - (node in own_place)
+    return pa.table({"node": left["node"], "n_links": counts})
+
+
+def link_counts(labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """``node, n_links`` of every labelled node: the other nodes of its class that are similar."""
+    sizes = sets.select(F.col("node").alias("sized"), "n")
+    rows = labels.join(sizes, F.col("node") == sizes["sized"]).select("node", "label", "n")
+    classes = (
+        rows.groupBy("label")
+        .agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        .select(
+            F.col("label").alias("class"),
+            "members",
+            F.ceil(F.col("shingles") / MEMBER_SHINGLES).cast("int").alias("member_blocks"),
+            F.ceil(F.col("shingles") / RESIDUAL_SHINGLES).cast("int").alias("residual_blocks"),
+        )
+    )
+    rows = pin(rows.join(classes, F.col("label") == F.col("class")).drop("class"), "link-rows")
+    blocks, open_rows = ["label", "residual_block", "member_block"], rows.where("members > 2")
+    left = _dealt(open_rows, sets, "residual_block", "member_block", blocks, ["n", "own"])
+    right = _dealt(open_rows, sets, "member_block", "residual_block", blocks, ["n", "own"])
+    counted = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(_count_links, "node binary, n_links long")
+    # Two nodes in a class are linked to each other.
+    pairs = rows.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    return pairs.union(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signed rows, per node its class ``node, class_row, class_size``, labels of linked nodes, and sets."""
     prepare(docs.sparkSession)
     signed = pin(signatures(docs), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
@@ -311,9 +362,6 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if further.take(1):
         links = links.union(further).distinct()
         labels = components(links)
-    degree = (
-        links.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("n_links"))
-    )
     own = labels.withColumnRenamed("node", "named")
     labelled = (
         nodes.select("node", "row", "copies")
@@ -324,10 +372,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     per_node = (
         labelled.select("node", "label")
         .join(classes, "label")
-        .join(degree, F.col("node") == degree["linked"], "left")
-        .select("node", "class_row", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("node", "class_row", "class_size")
     )
-    return signed, per_node
+    return signed, per_node, labels, sets
 
 
 def ngram_jaccard(docs: DataFrame) -> DataFrame:
@@ -335,13 +382,15 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
 
     Words are runs of ``[^\\x20\\x09-\\x0D]``; a text of fewer than five words is one shingle.
     Documents are in one class if a chain of pairs with Jaccard similarity of 0.8 or more
-    joins them; ``class_id`` is the smallest id in it, null last. ``n_links`` counts the
-    verified links to other texts on record, which connect the class without listing every
-    pair in it; copies share the links of their text. Null texts and texts without words are
+    joins them; ``class_id`` is the smallest id in it, null last. ``n_links`` counts all
+    other texts of the class with that similarity; copies share the links of their text. Null texts and texts without words are
     alone. Repeated rows are copies; an empty table gives no rows; other columns are ignored.
     """
-    signed, per_node = _classes(docs)
-    named = per_node.withColumnRenamed("node", "named")
+    signed, per_node, labels, sets = _classes(docs)
+    degree = link_counts(labels, sets).withColumnRenamed("node", "linked")
+    named = per_node.join(degree, F.col("node") == degree["linked"], "left").select(
+        F.col("node").alias("named"), "class_row", "class_size", "n_links"
+    )
     return signed.join(named, signed["node"] == named["named"], "left").select(
         signed["doc_id"],
         F.when(F.col("named").isNull(), signed["doc_id"]).otherwise(F.col("class_row.doc_id")).alias("class_id"),
@@ -352,7 +401,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with one row of each class; texts without words stay."""
-    signed, per_node = _classes(docs)
+    signed, per_node, _, _ = _classes(docs)
     named = per_node.where("class_size > 1").withColumnRenamed("node", "named")
     verdict = (
         signed.join(named, signed["node"] == named["named"])
