@@ -269,6 +269,16 @@ def test_components(spark):
     assert got == {**{f"{i:03}": "000" for i in range(41)}, "x": "x", "y": "x", "z": "x"}
 
 
+def test_components_of_long_shuffled_chains(spark, interpreted):
+    """Chains in random order, as digests are, and one in order, with a link repeated both ways."""
+    order = np.random.default_rng(5).permutation(3_000).tolist()
+    chains = [order[:2_000], order[2_000:], list(range(5_000, 6_000)), [9_001, 9_000, 9_001], [9_002, 9_002]]
+    links = [link for c in chains for link in itertools.pairwise(c)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = [tuple(r) for r in components(frame).collect()]
+    assert sorted(got) == sorted((x, min(c)) for c in chains for x in set(c))
+
+
 # --- exact duplicates ------------------------------------------------------------------
 
 

@@ -7,37 +7,51 @@ from pyspark.sql import functions as F
 
 from turnledger.llm.frames import pin
 
-MAX_ROUNDS = 60
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least")).withColumnRenamed("a", "node")
+    return (
+        both.where("b > a")
+        .join(least, F.col("a") == F.col("node"))
+        .select(F.col("least").alias("a"), "b")
+        .distinct()
+    )
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are linked to the least of them."""
+    least = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
+    smaller = links.join(least, F.col("b") == F.col("node")).where("a <> least").select("least", "a")
+    return smaller.union(least.select("least", "node")).toDF("a", "b").distinct()
+
+
+def _unsettled(links: DataFrame) -> DataFrame:
+    """Nodes that keep the links from being stars around their least nodes."""
+    ends = links.select(F.col("b").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(
+        links.select("a", F.lit(0), F.lit(1))
+    )
+    return ends.groupBy("node").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where(
+        "above > 1 OR (above = 1 AND below = 1)"
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every end of the links ``a, b``; the label is the least node.
 
-    Each round takes the least label among the neighbours and then the label of that label,
-    so a chain halves. Labels are written every round; only a count reaches the driver.
+    Large and small stars alternate until every component is one star around its least node.
+    Neither makes more links than it is given, and the number of rounds grows with the
+    logarithm of the nodes, long chains included; so there is no limit of rounds. Links are
+    written every round; no more than one row reaches the driver.
     """
-    both = pin(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links-both")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(MAX_ROUNDS):
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-        )
-        lowered = pin(
-            labels.join(near, labels["node"] == near["a"], "left").select(
-                "node", F.least("label", "near").alias("label"), F.col("label").alias("old")
-            ),
-            "labels-lowered",
-        )
-        target = lowered.select(F.col("node").alias("target"), F.col("label").alias("jumped"))
-        found = pin(
-            lowered.join(target, lowered["label"] == target["target"], "left").select(
-                "node", F.coalesce("jumped", "label").alias("label"), "old"
-            ),
-            "labels",
-        )
-        labels = found.select("node", "label")
-        if not found.where("label <> old").take(1):
-            return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    alone = links.where("a = b").select("a").distinct()
+    found = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pin(found, "stars")
+    while _unsettled(found).take(1):
+        found = pin(_small_star(pin(_large_star(found), "stars-large")), "stars")
+    labels = found.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    roots = found.select("a").union(alone).distinct()
+    return labels.union(
+        roots.join(labels.select("node"), F.col("a") == F.col("node"), "left_anti").select("a", F.col("a").alias("label"))
+    )
