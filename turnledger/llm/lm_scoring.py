@@ -36,7 +36,7 @@ END_HASH = np.uint64(0x5851F42D4C957F2D)
 NOISE = 64
 BATCH = 1024
 RATE = 0.1
-ROUNDS = 1
+ROUNDS = 2
 TRAIN_TOKENS = 1 << 20
 CONTEXTS_AT_ONCE = 4096
 SEED = 6
