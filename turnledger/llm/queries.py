@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from turnledger.llm import (
+    collocations,
     exact_dedup,
     language_id,
     license_scan,
@@ -26,9 +27,11 @@ LLM_QUERIES = {
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": language_id.op10_language_id,
+    "op11_collocations": collocations.op11_collocations,
 }
 
 LLM_ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
+    "op11_collocations": collocations.ORACLE,
 }
