@@ -6,6 +6,7 @@ from turnledger.llm import (
     collocations,
     exact_dedup,
     language_id,
+    lexical_search,
     license_scan,
     lm_scoring,
     mixing,
@@ -28,10 +29,12 @@ LLM_QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_language_id": language_id.op10_language_id,
     "op11_collocations": collocations.op11_collocations,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 LLM_ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
     "op11_collocations": collocations.ORACLE,
+    "op12_lexical_search": lexical_search.ORACLE,
 }
