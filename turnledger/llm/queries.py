@@ -15,6 +15,7 @@ from turnledger.llm import (
     quality,
     sharding,
     topk_search,
+    toxicity,
 )
 
 LLM_QUERIES = {
@@ -30,6 +31,7 @@ LLM_QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_collocations": collocations.op11_collocations,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 LLM_ORACLES = {
