@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import duck_rows, oracle_connection, spark_rows
 from conftest import BASE, SF_DIR, prose
@@ -155,9 +156,72 @@ def test_template_labels_and_scores():
     assert (twice["n_base"], twice["first_word"], twice["last_word"]) == (2, 0, 4)
 
 
+WHOLE = {
+    "mit": """The MIT License (MIT). Copyright (c) 2011 Ada B. Permission is hereby granted, free of charge, to any person
+    obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+    restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+    and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+    following conditions: The above copyright notice and this permission notice shall be included in all copies or
+    substantial portions of the Software.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+    provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+    above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+    materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+    AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+    hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "apache-2": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+    required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+    "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+    specific language governing permissions and limitations under the License.""",
+    "gpl-3": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+    Public License as published by the Free Software Foundation, either version 3 of the License.""",
+    "mpl-2": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.""",
+}
+THIRD = """ 3. Neither the name of the Ada B Society nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_whole_notices(label):
+    scanner, text = license_scan.Scanner(), "some prose before. " + WHOLE[label] + " and prose after"
+    found = scanner.scan(text.encode())
+    assert label in found["labels"].split(",") and found["n_template"] >= 1 and 0 < found["score"] <= 1
+    # One mandatory word changed, and the template no longer accepts the place.
+    for word, other in (("granted", "given"), ("permitted", "allowed"), ("terms", "rules"), ("Unless", "If")):
+        if label != "apache-2" or word == "Unless":
+            text = text.replace(word, other)
+    assert scanner.scan(text.encode())["n_template"] == (label == "apache-2")
+
+
+def test_clauses_tell_licenses_apart():
+    scanner = license_scan.Scanner()
+    two = WHOLE["bsd-2-clause"]
+    three = two.replace("THIS SOFTWARE IS", THIRD + " THIS SOFTWARE IS")
+    assert scanner.scan(two.encode())["labels"] == "bsd-2-clause"
+    assert scanner.scan(three.encode())["labels"] == "bsd-3-clause"
+    sentence = b"This work is licensed under the GNU General Public License, version 3."
+    assert scanner.scan(sentence)["labels"] == "gpl-3" and scanner.scan(sentence)["base_labels"] == ""
+    assert scanner.scan(sentence.replace(b"General", b"Lesser General"))["labels"] == "lgpl"
+
+
+def test_templates_add_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text LIKE '%General Public License, version 3%'")
+    rows = license_scan.scan_licenses(docs).collect()
+    assert len(rows) == 79 and all("gpl-3" in r["labels"].split(",") and r["labels"] != r["base_labels"] for r in rows)
+
+
 # --- quality ---------------------------------------------------------------------------
 
 
+def test_texts_without_words_are_bad(awkward):
+    rows = [r for r in quality.classify(awkward).collect() if r["doc_id"] in (3, 4, 5)]
+    assert [(r["posterior"], r["score"], r["kept"]) for r in rows] == [(0.0, 0.0, False)] * 3
+
+
 def test_quality_against_labels(spark):
     sf = "/root/testdata/sf0.01"
     rows = by_id(quality.classify(spark.read.parquet(f"{sf}/documents.parquet")))
@@ -222,15 +286,16 @@ def test_a_hot_group_of_near_copies(spark):
 
 
 def exact_links(texts):
-    """Per text how many other texts, different in their words, are similar enough."""
+    """Per document how many other documents are similar enough, those of the same words included."""
     own = {i: tuple(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in texts.items()}
-    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in set(own.values())}
-    links = Counter()
+    copies = Counter(own.values())
+    sets = {w: {w[k : k + 5] for k in range(max(1, len(w) - 4))} for w in copies}
+    links = Counter({w: n - 1 for w, n in copies.items()})
     for a, b in itertools.combinations(sets, 2):
         both = len(sets[a] & sets[b])
         if both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
-            links[a] += 1
-            links[b] += 1
+            links[a] += copies[b]
+            links[b] += copies[a]
     return {i: links[w] for i, w in own.items()}
 
 
@@ -250,10 +315,12 @@ def test_links_are_counted_in_full(spark, monkeypatch, blocks):
         chain[5 * i + 3] = f"c{i}"
         texts[100 + i] = " ".join(chain)
     texts |= {200: prose(20, 50), 201: prose(20, 50) + " one"}
+    texts |= dict.fromkeys([210, 211, 212], prose(21, 50)) | {213: prose(21, 50) + " one"}
+    texts |= dict.fromkeys([220, 221], prose(22, 50))
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = by_id(ngram_jaccard.ngram_jaccard(frame))
     assert {i: r["n_links"] for i, r in got.items()} == exact_links(texts)
-    assert got[0]["n_links"] == 89
+    assert [got[i]["n_links"] for i in (0, 201, 210, 213, 220)] == [94, 1, 3, 3, 1]
 
 
 def test_prefix_is_shortened_to_the_recall():
@@ -376,6 +443,34 @@ def test_search_in_many_chunks_and_blocks(spark, monkeypatch):
     assert [tuple(r) for r in got] == expected
 
 
+@pytest.mark.parametrize("bits", [24, 27, 30, 34, 45])
+def test_search_of_great_scores(spark, monkeypatch, bits):
+    """Scores from below 2^53 to beyond 2^63, against Python's integers."""
+    monkeypatch.setattr(topk_search, "ROWS_PER_CHUNK", 40)
+    draw = np.random.default_rng(bits)
+    data = [(i, [float(x) for x in np.floor(draw.normal(0, 2.0 ** (bits - 10), 8))]) for i in range(300)]
+    data += [(1001 + i, list(v)) for i, v in data[:30]]
+    x = {i: [int(e) * 1024 for e in v] for i, v in data}
+    expected = []
+    for q in (0, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(x[i], x[q], strict=True)), i) for i in x if i != q)[:10]
+        expected += [(q, k + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for k, (s, i) in enumerate(best)]
+    got = topk_search.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == expected
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = [(7, "the same text", "en", "a", 1)] * 8000 + [(i, f"text {i}", "en", "a", 1) for i in range(10, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sharding.shard_documents(docs, 16)
+    load = [r["bytes"] for r in got.groupBy("shard").sum("size").toDF("shard", "bytes").collect()]
+    assert got.count() == 8990 and len(load) == 16 and max(load) - min(load) < 0.02 * max(load)
+    places = defaultdict(list)
+    for r in got.collect():
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_shards(small, docs):
     rows = by_id(sharding.shard_documents(small, 4))
     load, places = Counter(), defaultdict(list)
@@ -474,6 +569,22 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_very_many_languages(spark):
+    """The model's matrix and what a text meets of it stay bounded; both ways of summing agree."""
+    rows = [(i, f"wort{i % 5000} und noch wort{i % 5000}", f"l{i % 5000}", "a", 1) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    model = language_id.train(docs)
+    assert model.logs.size <= language_id.MAX_CELLS and len(model.languages) == 5000
+    (part,) = text.slices(pa.array([r[1].encode() for r in rows[:40]], pa.binary()))
+    held = list(language_id.buckets(part, model.n_buckets))
+    assert np.allclose(model.looked_up(held, 40)[7:30], model.counted(held, 7, 30))
+    long = ("wort17 " * 200_000).encode()
+    (part,) = text.slices(pa.array([b"", long], pa.binary()))
+    names, sure = model.score(part)
+    assert names[0] == "und" and names[1].startswith("l") and 0 < sure[1] <= 1
+    assert language_id.identify(docs).count() == 10_000
+
+
 def test_no_letter_is_undetermined(awkward):
     rows = language_id.identify(awkward).where("doc_id IN (3, 4, 5, 9)").collect()
     assert {(r["lang_pred"], r["score"]) for r in rows} == {("und", 0.0)} and len(rows) == 4

@@ -27,6 +27,8 @@ UNDETERMINED = "und"
 #: The pipeline drops undetermined texts and those whose best language is less sure than this.
 MIN_SCORE = 0.3
 FOLDS, HELD_OUT_FOLD = 4, 2
+#: Cells of the counts and of the sums of documents scored together.
+PART_CELLS = 1 << 22
 #: Bytes of text turned into symbols at once; a symbol takes some sixty bytes meanwhile.
 PART_BYTES = 1 << 19
 
@@ -129,18 +131,41 @@ class LanguageModel:
         n = part.last - part.first
         if not self.languages:
             return [UNDETERMINED] * n, np.zeros(n)
-        sums = np.tile(self.prior, (n, 1))
-        lettered = np.zeros(n, dtype=bool)
-        for bucket, bounds in buckets(part, self.n_buckets):
-            lettered |= np.diff(bounds) > 0
+        held = list(buckets(part, self.n_buckets))
+        lettered = np.any([np.diff(bounds) > 0 for _, bounds in held], axis=0)
+        best, sure = np.zeros(n, dtype=np.int64), np.zeros(n)
+        n_languages = len(self.languages)
+        few = n_languages * max(n, *(len(bucket) for bucket, _ in held)) <= PART_CELLS
+        step = n if few else max(1, PART_CELLS // max(n_languages, self.n_buckets))
+        for first in range(0, n, step):
+            own = slice(first, min(first + step, n))
+            sums = self.prior + (self.looked_up(held, n) if few else self.counted(held, own.start, own.stop))
+            best[own] = sums.argmax(axis=1)
+            sums -= sums.max(axis=1, keepdims=True)
+            sure[own] = np.where(lettered[own], 1.0 / np.exp(sums).sum(axis=1), 0.0)
+        names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
+        return names, sure
+
+    def looked_up(self, held, n: int) -> np.ndarray:
+        """Sums over the n-grams of ``n`` documents, taking one row of the matrix for each n-gram."""
+        sums = np.zeros((n, len(self.languages)))
+        for bucket, bounds in held:
             full = np.flatnonzero(np.diff(bounds) > 0)
             if len(full):
                 sums[full] += np.add.reduceat(self.logs[bucket], bounds[full], axis=0, dtype=np.float64)
-        best = sums.argmax(axis=1)
-        sums -= sums.max(axis=1, keepdims=True)
-        sure = np.where(lettered, 1.0 / np.exp(sums).sum(axis=1), 0.0)
-        names = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
-        return names, sure
+        return sums
+
+    def counted(self, held, first: int, last: int) -> np.ndarray:
+        """The same sums for documents ``first`` to ``last``, counting n-grams by bucket before.
+
+        Memory is bounded by documents times buckets or languages, whatever the number of n-grams.
+        """
+        counts = np.zeros((last - first) * self.n_buckets)
+        for bucket, bounds in held:
+            a, b = bounds[first], bounds[last]
+            row = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
+            counts += np.bincount(row * self.n_buckets + bucket[a:b], minlength=len(counts))
+        return counts.reshape(last - first, self.n_buckets) @ self.logs.astype(np.float64)
 
 
 def train(docs: DataFrame) -> LanguageModel:

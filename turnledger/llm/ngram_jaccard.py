@@ -298,7 +298,7 @@ def residual_links(members: DataFrame, sets: DataFrame, labels: DataFrame) -> Da
 
 
 def _count_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each left node, how many other nodes of the right block are similar enough."""
+    """For each left node, how many texts of other nodes of the right block are similar enough."""
     counts = np.zeros(left.num_rows, dtype=np.int64)
     if left.num_rows and right.num_rows:
         n_a, n_b = left["n"].to_numpy(), right["n"].to_numpy()
@@ -308,7 +308,8 @@ def _count_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) ->
         near = np.minimum(np.searchsorted(shingle, mine), len(shingle) - 1)
         there = shingle[near] == mine
         opens_a, opens_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
-        own_place = {x: i for i, x in enumerate(right["node"].to_pylist())}
+        copies = right["copies"].to_numpy()
+        own_copies = dict(zip(right["node"].to_pylist(), copies.tolist(), strict=True))
         marked = np.zeros(len(shingle), dtype=np.int64)
         for i, node in enumerate(left["node"].to_pylist()):
             span = slice(opens_a[i], opens_a[i] + n_a[i])
@@ -316,31 +317,41 @@ def _count_links(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) ->
             marked[held] = 1
             both = np.add.reduceat(marked[place], opens_b)
             marked[held] = 0
-            counts[i] = np.count_nonzero(both / (n_a[i] + n_b - both) >= SIMILARITY) - (node in own_place)
+            similar = both / (n_a[i] + n_b - both) >= SIMILARITY
+            counts[i] = copies[similar].sum() - own_copies.get(node, 0)
     return pa.table({"node": left["node"], "n_links": counts})
 
 
-def link_counts(labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """``node, n_links`` of every labelled node: the other nodes of its class that are similar."""
+def link_counts(labels: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """``node, n_links`` of every labelled node: the texts of other nodes of its class that are similar.
+
+    ``copies`` tells how many texts a ``node`` stands for.
+    """
     sizes = sets.select(F.col("node").alias("sized"), "n")
-    rows = labels.join(sizes, F.col("node") == sizes["sized"]).select("node", "label", "n")
+    held = copies.select(F.col("node").alias("held"), "copies")
+    rows = (
+        labels.join(sizes, F.col("node") == sizes["sized"])
+        .join(held, F.col("node") == held["held"])
+        .select("node", "label", "n", "copies")
+    )
     classes = (
         rows.groupBy("label")
-        .agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+        .agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.sum("copies").alias("texts"))
         .select(
             F.col("label").alias("class"),
             "members",
+            "texts",
             F.ceil(F.col("shingles") / MEMBER_SHINGLES).cast("int").alias("member_blocks"),
             F.ceil(F.col("shingles") / RESIDUAL_SHINGLES).cast("int").alias("residual_blocks"),
         )
     )
     rows = pin(rows.join(classes, F.col("label") == F.col("class")).drop("class"), "link-rows")
     blocks, open_rows = ["label", "residual_block", "member_block"], rows.where("members > 2")
-    left = _dealt(open_rows, sets, "residual_block", "member_block", blocks, ["n", "own"])
-    right = _dealt(open_rows, sets, "member_block", "residual_block", blocks, ["n", "own"])
+    left = _dealt(open_rows, sets, "residual_block", "member_block", blocks, ["n", "copies", "own"])
+    right = _dealt(open_rows, sets, "member_block", "residual_block", blocks, ["n", "copies", "own"])
     counted = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInArrow(_count_links, "node binary, n_links long")
     # Two nodes in a class are linked to each other.
-    pairs = rows.where("members = 2").select("node", F.lit(1).cast("long").alias("n_links"))
+    pairs = rows.where("members = 2").select("node", (F.col("texts") - F.col("copies")).alias("n_links"))
     return pairs.union(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")))
 
 
@@ -370,9 +381,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     )
     classes = labelled.groupBy("label").agg(F.min("row").alias("class_row"), F.sum("copies").alias("class_size"))
     per_node = (
-        labelled.select("node", "label")
+        labelled.select("node", "label", "copies")
         .join(classes, "label")
-        .select("node", "class_row", "class_size")
+        .select("node", "class_row", "class_size", "copies")
     )
     return signed, per_node, labels, sets
 
@@ -383,14 +394,15 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     Words are runs of ``[^\\x20\\x09-\\x0D]``; a text of fewer than five words is one shingle.
     Documents are in one class if a chain of pairs with Jaccard similarity of 0.8 or more
     joins them; ``class_id`` is the smallest id in it, null last. ``n_links`` counts all
-    other texts of the class with that similarity; copies share the links of their text. Null texts and texts without words are
+    other documents of the class with that similarity, those of the same words included. Null texts and texts without words are
     alone. Repeated rows are copies; an empty table gives no rows; other columns are ignored.
     """
     signed, per_node, labels, sets = _classes(docs)
-    degree = link_counts(labels, sets).withColumnRenamed("node", "linked")
+    degree = link_counts(labels, sets, per_node).withColumnRenamed("node", "linked")
     named = per_node.join(degree, F.col("node") == degree["linked"], "left").select(
-        F.col("node").alias("named"), "class_row", "class_size", "n_links"
-    )
+        F.col("node").alias("named"), "class_row", "class_size",
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     return signed.join(named, signed["node"] == named["named"], "left").select(
         signed["doc_id"],
         F.when(F.col("named").isNull(), signed["doc_id"]).otherwise(F.col("class_row.doc_id")).alias("class_id"),

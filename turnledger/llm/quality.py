@@ -127,6 +127,11 @@ def votes(part: Slice) -> np.ndarray:
     return np.stack([np.where(b, BAD, np.where(g, GOOD, NONE)) for b, g in map(bad_good.get, LABELLERS)], axis=1)
 
 
+def wordless(patterns: np.ndarray) -> np.ndarray:
+    """Whether the votes are those on a text without words."""
+    return patterns[:, LABELLERS.index("length")] == BAD
+
+
 @dataclass
 class LabelModel:
     """Share of good texts, and the probability of a good vote given a bad or a good text.
@@ -154,8 +159,9 @@ class LabelModel:
         return self.prior() + self.ratios()[np.arange(len(self.names)), patterns].sum(axis=1)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability that a text is good."""
-        return 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -700, 700)))
+        """Probability that a text is good; one without words is bad for certain."""
+        out = 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -700, 700)))
+        return np.where(wordless(patterns), 0.0, out)
 
 
 def fit_labels(names: list[str], patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
@@ -294,8 +300,9 @@ def classify(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id, n_votes, posterior, score, kept``.
 
     ``posterior`` is the label model's probability that the text is good, ``score`` the
-    linear scorer's; ``kept`` is a score of at least one half. Null and empty texts are
-    voted bad. Repeated rows are scored alike, an empty table gives no rows, other columns
+    linear scorer's; ``kept`` is a score of at least one half. Null, empty and
+    blank texts have posterior and score 0. Texts are read whole, a few times their size in
+    memory. Repeated rows are scored alike, an empty table gives no rows, other columns
     are ignored.
     """
     prepare(docs.sparkSession)
@@ -310,7 +317,7 @@ def classify(docs: DataFrame) -> DataFrame:
             cast = votes(part)
             columns[0].append((cast != NONE).sum(axis=1).astype(np.int32))
             columns[1].append(own_labels.posterior(cast))
-            columns[2].append(own_scorer.score(part))
+            columns[2].append(np.where(wordless(cast), 0.0, own_scorer.score(part)))
         return pa.StructArray.from_arrays(
             [pa.array(np.concatenate(c)) for c in columns], names=["n_votes", "posterior", "score"]
         )

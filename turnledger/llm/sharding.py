@@ -33,6 +33,21 @@ def with_slots(docs: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
     ).withColumn("virtual_slot", F.pmod(F.col("record_hash"), F.lit(n_slots)).cast("int"))
 
 
+def spread_repeats(rows: DataFrame, n_slots: int) -> DataFrame:
+    """Deal the second and further copies of a row in a written part to slots of their own.
+
+    Rows that agree in id and text would all lie in one slot, which no map can split. The first
+    copy in each part keeps the record's slot; the others are hashed with their part and number.
+    """
+    part = pin(rows.withColumn("part", F.spark_partition_id()), "shard-hashes")
+    copy = F.row_number().over(Window.partitionBy("part", "record_hash").orderBy("doc_id", "size"))
+    dealt = F.pmod(F.xxhash64("record_hash", "part", "copy"), F.lit(n_slots)).cast("int")
+    return part.withColumn("copy", copy).select(
+        "doc_id", "size", "text_crc32", "record_hash",
+        F.when(F.col("copy") == 1, F.col("virtual_slot")).otherwise(dealt).alias("virtual_slot"),
+    )
+
+
 def slot_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("slot_bytes"), F.count("*").alias("slot_rows"))
 
@@ -115,14 +130,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, slot_map: SlotMap | Non
     ``size`` is the UTF-8 length of the text (null: 0) plus 1, ``slot`` the place in the
     shard without gaps from 0. Version 1 of the map deals slots round robin, version 2 is
     its edit for the bytes found; shard sizes then differ by less than a slot. A stored map
-    is edited from its latest version instead. Rows that agree in id and text share a
-    virtual slot; their places are interchangeable. Null ids are hashed like any other
-    value. An empty table gives no rows, other columns are ignored.
+    is edited from its latest version instead. Rows that agree in id and text are
+    interchangeable; their copies are dealt over all slots, by where they lie in the input, so
+    that no slot grows with them. Null ids are hashed like any other value. Texts are only
+    measured and hashed, however long. An empty table gives no rows, other columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     stored = slot_map is not None
     slot_map = slot_map or SlotMap(spark)
-    rows = pin(with_slots(docs, slot_map.n_slots), "shard-rows")
+    rows = pin(spread_repeats(with_slots(docs, slot_map.n_slots), slot_map.n_slots), "shard-rows")
     sizes, counts = totals_by_slot(rows, slot_map.n_slots)
     if stored:
         version = slot_map.read().first()["version"]

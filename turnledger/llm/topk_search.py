@@ -12,6 +12,8 @@ rows in one pass over the vectors.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +28,9 @@ QUERIES_PER_BLOCK = 1024
 ROWS_PER_CHUNK = 4096
 LISTS = 4
 
+LEAST_LONG, MOST_LONG = -(2**63), 2**63 - 1
+WIDEST = 10**38 - 1
+
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
@@ -85,7 +90,6 @@ def leading_totals(parts: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np
     ``own`` marks a query's own row. Returns query numbers and totals, at most k a query.
     """
     n = parts[0].shape[0]
-    total = sum(parts)
     lead = min(k + 1, n)
     heads = [np.argpartition(-p, lead - 1, axis=0)[:lead] if lead < n else _all(p) for p in parts]
     index = np.sort(np.concatenate(heads), axis=0)
@@ -94,7 +98,7 @@ def leading_totals(parts: list[np.ndarray], own: np.ndarray, k: int) -> tuple[np
     column = np.broadcast_to(np.arange(index.shape[1]), index.shape)
     fresh &= ~own[index, column]
     at, query = index[fresh], column[fresh]
-    score = total[at, query]
+    score = sum(p[at, query] for p in parts)
     order = np.lexsort((-score, query))
     query, score = query[order], score[order]
     within = np.arange(len(query)) - np.searchsorted(query, query)
@@ -105,24 +109,37 @@ def _all(part: np.ndarray) -> np.ndarray:
     return np.broadcast_to(np.arange(part.shape[0])[:, None], part.shape)
 
 
-def sufficient(parts: list[np.ndarray], own: np.ndarray, cutoff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phases 2 and 3: rows with a partial of at least an equal share of the cutoff, resolved."""
-    share = cutoff / len(parts)
-    reached = parts[0] >= share
-    for part in parts[1:]:
-        reached |= part >= share
+def sufficient(
+    parts: list[np.ndarray], own: np.ndarray, cutoff: np.ndarray, known: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: rows with a partial of at least an equal share of the cutoff, resolved.
+
+    ``cutoff`` holds whole numbers; queries not ``known`` have none. The share is rounded down.
+    """
+    kind = parts[0].dtype
+    share = (cutoff // len(parts)).astype(kind)
+    reached = np.broadcast_to(~known, own.shape).copy()
+    for part in parts:
+        reached |= (part >= share).astype(bool)
     row, query = np.nonzero(reached & ~own)
     score = sum(p[row, query] for p in parts)
-    good = score >= cutoff[query]
+    good = ~known[query] | (score >= cutoff[query].astype(kind)).astype(bool)
     return row[good], query[good], score[good]
 
 
 def as_long(score: np.ndarray) -> pa.Array:
     if score.dtype == object:
-        score = np.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in score], dtype=np.int64)
+        score = np.array([min(max(int(s), LEAST_LONG), MOST_LONG) for s in score], dtype=np.int64)
     return pa.array(score.astype(np.int64))
 
 
+def as_whole(score: np.ndarray) -> pa.Array:
+    """Scores as decimals, so that those beyond a long still rank."""
+    if score.dtype == object:
+        return pa.array([Decimal(min(max(int(s), -WIDEST), WIDEST)) for s in score], pa.decimal128(38, 0))
+    return pa.array(score.astype(np.int64)).cast(pa.decimal128(38, 0))
+
+
 def _search_block(rows: DataFrame, block: pa.Table, width: int, k: int) -> DataFrame:
     spark = rows.sparkSession
     query_rows = block["row_id"].to_numpy()
@@ -147,18 +164,19 @@ def _search_block(rows: DataFrame, block: pa.Table, width: int, k: int) -> DataF
         .where(F.col("n") == k)
         .toArrow()
     )
-    cutoff = np.full(len(query_rows), -np.inf)
+    cutoff = np.full(len(query_rows), LEAST_LONG, dtype=np.int64)
     cutoff[safe["query"].to_numpy()] = safe["cutoff"].to_numpy()
-    sent = spark.sparkContext.broadcast(cutoff)
+    # The least long may stand for anything below it, so it cuts nothing off.
+    sent = spark.sparkContext.broadcast((cutoff, cutoff > LEAST_LONG))
 
     def resolve(batches):
         own_rows, own_vectors = shared.value
         for row_id, vec_id, x in chunks(batches, width):
             row, query, score = sufficient(
-                partial_scores(x, own_vectors), row_id[:, None] == own_rows[None, :], sent.value
+                partial_scores(x, own_vectors), row_id[:, None] == own_rows[None, :], *sent.value
             )
             yield pa.RecordBatch.from_arrays(
-                [pa.array(query), pa.array(row_id[row]), vec_id.take(pa.array(row)), as_long(score)],
+                [pa.array(query), pa.array(row_id[row]), vec_id.take(pa.array(row)), as_whole(score)],
                 names=["query", "row_id", "vec_id", "score"],
             )
 
@@ -167,10 +185,11 @@ def _search_block(rows: DataFrame, block: pa.Table, width: int, k: int) -> DataF
         pa.table({"query": np.arange(len(query_rows)), "query_id": block["vec_id"]})
     )
     return (
-        rows.mapInArrow(resolve, "query long, row_id long, vec_id long, score long")
+        rows.mapInArrow(resolve, "query long, row_id long, vec_id long, score decimal(38,0)")
         .withColumn("rank", F.row_number().over(ranked))
         .where(F.col("rank") <= k)
         .join(F.broadcast(names), "query")
+        .withColumn("score", F.least(F.greatest("score", F.lit(LEAST_LONG)), F.lit(MOST_LONG)).cast("long"))
         .select("query_id", "rank", "vec_id", "score")
     )
 
@@ -181,7 +200,8 @@ def search(vectors: DataFrame, k: int = K, query_every: int = QUERY_EVERY) -> Da
     Queries are the rows whose id is divisible by ``query_every``; candidates are all other
     rows, repeated ids included, with ties to the smaller id, null last. Vectors that are
     null or hold a null, NaN or infinity take no part; shorter vectors count as ending in
-    zeros. Scores beyond a long stop at its bounds. Rows with a null id are candidates only.
+    zeros. Scores beyond a long rank by their
+    exact value, up to 38 digits, and are returned as its bounds. Rows with a null id are candidates only.
     An empty table or one without queries gives no rows; other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
