@@ -91,6 +91,35 @@ _STORED = f"""stored AS (
 
 _ALL = (_A, _B, _B_TURNS, _C)
 
+# Running totals as stored from whole logs, and from what a rotated log still holds.
+_SEQUENCED = """sequenced AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS sequence,
+    turn + CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS line_no
+  FROM b_lines WHERE outcome = 'event'
+)"""
+_ROTATED = """left_lines AS (
+  SELECT *, last_value(CASE WHEN role = 'user' THEN CASE length(text) % 3 WHEN 0 THEN 'gpt-5-codex'
+      WHEN 1 THEN 'gpt-5-mini-2025' ELSE 'house-model-1' END END IGNORE NULLS)
+      OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS left_carried,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1
+      + CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 0 END AS left_line
+  FROM b_lines WHERE turn >= 2 + conv_id % 2
+), rotated AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS left_sequence
+  FROM left_lines WHERE outcome = 'event'
+)"""
+
+
+def _totals_row(session: str, sequence: str, model: str, project: str, line: str, batch: str) -> str:
+    return f"""SELECT {session} AS session_id, {sequence} AS sequence, coalesce({model}, 'unknown') AS model,
+  1704067200 + conv_id * 1000 + turn AS ts, {project} AS project, CAST({line} AS BIGINT) AS line_no,
+  CAST({batch} AS BIGINT) AS ingest_batch, heard AS input_tokens, said AS output_tokens,
+  CAST(0 AS BIGINT) AS cache_write_tokens, heard // 3 AS cache_read_tokens, thought AS reasoning_tokens"""
+
+
+_CONV, _PLACE = "'conv-' || conv_id", "'/w/' || (conv_id % 4)"
+_UNNAMED = "turn < 3 + conv_id % 3 AND conv_id % 2 = 1"
+
 _ADHOC = (
     _with(_EV, _turns("ev", "line_no"))
     + """SELECT tool, session_id, strftime(d, '%Y-W%W') AS week, CAST(d AS VARCHAR) AS day,
@@ -131,6 +160,24 @@ FROM stored JOIN (SELECT tool, count(*) FILTER (WHERE outcome = 'malformed') AS
   CAST(0 AS BIGINT) AS new_events, CAST(0 AS BIGINT) AS duplicates_ignored,
   CAST(0 AS BIGINT) AS malformed_lines
 FROM stored GROUP BY tool""",
+    "sync_grown": _with(_B, _SEQUENCED)
+    + _totals_row(
+        f"CASE WHEN {_UNNAMED} THEN 'stem' ELSE {_CONV} END", "sequence", "carried",
+        f"CASE WHEN {_UNNAMED} THEN NULL ELSE {_PLACE} END", "line_no",
+        "CASE WHEN turn < 3 + conv_id % 3 THEN 0 ELSE 1 END",
+    )
+    + " FROM sequenced",
+    "sync_rotated": _with(_B, _SEQUENCED, _ROTATED)
+    + _totals_row(_CONV, "sequence", "carried", _PLACE, "line_no", "0")
+    + " FROM sequenced UNION ALL "
+    + _totals_row(_CONV, "left_sequence", "left_carried", _PLACE, "left_line", "1")
+    + " FROM rotated JOIN (SELECT conv_id, turn, sequence FROM sequenced) USING (conv_id, turn)"
+    + " WHERE sequence <> left_sequence",
+    "state_after": _with(_B)
+    + f"""SELECT conv_id, true AS complete, CAST({SCANNED_AT + 60} AS BIGINT) AS scanned_at,
+  count(*) + 1 AS n_lines, count(*) FILTER (WHERE outcome = 'event') AS n_events,
+  arg_max(carried, turn) AS last_model, {_CONV} AS session_id, {_PLACE} AS project
+FROM b_lines GROUP BY conv_id""",
     "ledger_sessions": _with(*_ALL, _STORED)
     + f"SELECT tool, session_id, count(*) AS turns, {_SUMS} FROM stored GROUP BY tool, session_id",
     "coverage_report": _with(*_ALL, _STORED, _PRICES, _RATES.format(source="stored"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from turnledger.catalog.adapters import EVENT_CUMULATIVE, table, usage_from_events
 from turnledger.catalog.logs import (
     TEXT_GLOB,
+    overwrite_logs,
     write_all_logs,
     write_entry_logs,
     write_message_logs,
@@ -166,6 +167,56 @@ def sync_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Lines of a first sync, and those a rotated log still has.
+EARLY = "turn < 3 + conv_id % 3"
+LEFT = "turn < 0 OR turn >= 2 + conv_id % 2"
+
+
+def _synced_twice(spark: SparkSession, sf_dir: str, before: str, after: str) -> Ledger:
+    """A ledger after a sync of some lines of the logs and another of what they became."""
+    logs = write_running_total_logs(configure(spark), sf_dir, before)
+    path = scratch_path(spark, "ledger")
+    sync(spark, [logs], path, scanned_at=SCANNED_AT)
+    overwrite_logs(spark, logs, write_running_total_logs(spark, sf_dir, after))
+    sync(spark, [logs], path, scanned_at=SCANNED_AT + 60)
+    return Ledger(spark, path)
+
+
+def _stored_totals(ledger: Ledger) -> DataFrame:
+    named = F.when(F.col("session_id").startswith("conv-"), F.col("session_id")).otherwise("stem")
+    sequence = F.regexp_extract("dedupe_key", r":(\d+):[0-9a-f]{8}$", 1).cast("bigint")
+    return ledger.events().select(
+        named.alias("session_id"), sequence.alias("sequence"), "model", "ts", "project", "line_no",
+        "ingest_batch", *TOKEN_COLS,
+    )
+
+
+def sync_grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that grow between two syncs: the second reads what was appended, and goes on with
+    numbers, model and session from what the first has stored."""
+    return _stored_totals(_synced_twice(spark, sf_dir, EARLY, "true"))
+
+
+def sync_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs that are cut short between two syncs are read from their start again."""
+    return _stored_totals(_synced_twice(spark, sf_dir, "true", LEFT))
+
+
+def state_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of every file after its log has grown: one row each, with the last sync's values."""
+    states = _synced_twice(spark, sf_dir, EARLY, "true").file_states()
+    return states.select(
+        F.regexp_extract("source_file", r"conv_id=(\d+)", 1).cast("bigint").alias("conv_id"),
+        (F.col("byte_offset") == F.col("size")).alias("complete"),
+        "scanned_at",
+        "n_lines",
+        "n_events",
+        "last_model",
+        F.col("first_session.session_id").alias("session_id"),
+        F.col("first_session.project").alias("project"),
+    )
+
+
 def ledger_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-turn sums by session of a synced ledger."""
     _, path, _ = _synced(spark, sf_dir)
@@ -322,6 +373,9 @@ INGEST_QUERIES: dict[str, Query] = {
         sync_audit,
         append_idempotent,
         sync_skipped,
+        sync_grown,
+        sync_rotated,
+        state_after,
         ledger_sessions,
         coverage_report,
         coverage_unpriced,

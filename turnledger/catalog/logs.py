@@ -113,11 +113,12 @@ def write_message_logs(spark: SparkSession, sf_dir: str) -> Source:
     return Source("claude_code", (f"{root}/projects",), TEXT_GLOB)
 
 
-def write_running_total_logs(spark: SparkSession, sf_dir: str) -> Source:
+def write_running_total_logs(spark: SparkSession, sf_dir: str, kept: str = "true") -> Source:
     """``conversations`` as one file per conversation with running totals.
 
     User turns set the model, assistant turns report totals, system turns report a
-    rate limit only. The session line is last in every second file.
+    rate limit only. The session line is last in every second file. ``kept`` is a condition
+    on ``conv_id`` and ``turn`` that leaves lines out; the session line has turn -1 or 1,000,000.
     """
     order = Window.partitionBy("conv_id").orderBy("turn")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -185,6 +186,7 @@ def write_running_total_logs(spark: SparkSession, sf_dir: str) -> Source:
     root = scratch_path(spark, "total-logs")
     (
         body.unionByName(heads)
+        .where(kept)
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn")
         .select("conv_id", "value")
@@ -247,3 +249,26 @@ def write_all_logs(spark: SparkSession, sf_dir: str) -> list[Source]:
         write_running_total_logs(spark, sf_dir),
         write_entry_logs(spark, sf_dir),
     ]
+
+
+def overwrite_logs(spark: SparkSession, old: Source, new: Source) -> None:
+    """Put the files of ``new`` in the place of those of ``old`` in the same folders, as a writer
+    that goes on or rotates would leave them. Both have one file in a folder."""
+    jvm = spark._jvm
+    roots = [jvm.org.apache.hadoop.fs.Path(source.roots[0]) for source in (old, new)]
+    store = roots[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    places = {}
+    for status in store.listStatus(roots[0]):
+        if status.isDirectory():
+            for own in store.listStatus(status.getPath()):
+                places[status.getPath().getName()] = own.getPath()
+    for status in store.listStatus(roots[1]):
+        if status.isDirectory():
+            for own in store.listStatus(status.getPath()):
+                place = places.get(status.getPath().getName())
+                if place is None:
+                    place = jvm.org.apache.hadoop.fs.Path(roots[0], f"{status.getPath().getName()}/{own.getPath().getName()}")
+                    store.mkdirs(place.getParent())
+                else:
+                    store.delete(place, False)
+                store.rename(own.getPath(), place)

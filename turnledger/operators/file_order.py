@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.paths import file_stem, plain_path, project_from_path
+from turnledger.schema import FILE_CONTEXT
 from turnledger.sources.dialects.common import EVENT, MODEL, SESSION
 
 SPLIT_KEY = ("file_path", "split_start")
@@ -59,6 +60,14 @@ def carry_over_splits(summaries: DataFrame) -> DataFrame:
     )
 
 
+def with_context(files: DataFrame) -> DataFrame:
+    """``files`` with the columns that tell where reading began; by default at the start."""
+    if "read_from" in files.columns:
+        return files
+    none = {f.name: F.lit(None).cast(f.dataType) for f in FILE_CONTEXT.fields}
+    return files.withColumns({"read_from": F.lit(0).cast("bigint"), **none})
+
+
 def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Place every line in its file.
 
@@ -66,17 +75,26 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
     ``start_offset`` of the file, ``sequence`` (usage lines before this one),
     ``carried_model``, the file's first ``file_session``, and what its path says.
 
+    ``files`` may say that reading began at ``read_from`` and what was before; positions and
+    context then go on from there.
+
     The reader strips a byte order mark; the missing bytes show as a total below the
     file size and are put back.
     """
+    files = with_context(files)
     # Never null, so no null test on the decoded path is pushed down to every line.
     source_file = F.coalesce(plain_path(F.col("file_path")), F.lit(""))
     context = (
         carry_over_splits(split_summaries(facts))
         .withColumn("source_file", source_file)
-        .join(files.select("source_file", "size", "start_offset"), "source_file")
+        .join(files.select("source_file", "size", "start_offset", "read_from", *FILE_CONTEXT.names), "source_file")
         .withColumns(
             {
+                "lines_before": F.col("lines_before") + F.coalesce("n_lines", F.lit(0)),
+                "bytes_before": F.col("bytes_before") + F.col("read_from"),
+                "events_before": F.col("events_before") + F.coalesce("n_events", F.lit(0)),
+                "model_before": F.coalesce("model_before", "last_model"),
+                "file_session": F.coalesce("first_session", "file_session"),
                 "file_stem": file_stem(F.col("source_file")),
                 "file_project": project_from_path(F.col("source_file")),
             }
@@ -95,7 +113,8 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
             "_model": F.last(F.when(_is(MODEL), F.col("model")), ignorenulls=True).over(so_far),
         }
     ).join(context.hint("shuffle_hash"), [*SPLIT_KEY])
-    mark = F.when(F.col("file_bytes") < F.col("size"), BYTE_ORDER_MARK_BYTES).otherwise(0)
+    marked = (F.col("read_from") == 0) & (F.col("file_bytes") < F.col("size"))
+    mark = F.when(marked, BYTE_ORDER_MARK_BYTES).otherwise(0)
     end = F.col("bytes_before") + F.col("_bytes") + mark
     first_line = (F.col("lines_before") + F.col("_row")) == 1
     return placed.select(
@@ -125,3 +144,19 @@ def new_complete_lines(placed: DataFrame) -> DataFrame:
     return placed.filter(
         (F.col("start") >= F.col("start_offset")) & (F.col("end") <= F.col("size"))
     )
+
+
+def consumed_lines(placed: DataFrame) -> DataFrame:
+    """Per file, the end of its complete lines and the context they leave to later ones.
+
+    ``placed`` are complete lines in file order with the columns of ``in_file_order``.
+    """
+    is_event = F.when(_is(EVENT), 1).otherwise(0)
+    return placed.groupBy("source_file").agg(
+        F.max("end").alias("consumed"),
+        (F.max("line_no") + 1).alias("n_lines"),
+        F.max(F.col("sequence") + is_event).alias("n_events"),
+        F.max_by("carried_model", "line_no").alias("last_model"),
+        # A session line that was not complete at the time of reading does not count.
+        F.max(F.when(_is(SESSION), F.col("file_session"))).alias("first_session"),
+    )

@@ -47,9 +47,9 @@ def _bound_columns() -> dict[str, Column]:
 def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Facts in file order with the columns that depend on the file filled in.
 
-    ``files`` has ``source_file``, ``size`` and ``start_offset``. Context always comes
-    from the complete file, so reading a grown file gives the same rows as reading it
-    at once.
+    ``files`` has ``source_file``, ``size`` and ``start_offset``, and the context of the lines
+    before if reading began after them. Context so always comes from the complete file:
+    reading a grown file gives the same rows as reading it at once.
     """
     placed = in_file_order(facts, files)
     rank = reduce(
@@ -67,6 +67,9 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
         "size",
         "start_offset",
         "line_no",
+        "sequence",
+        "carried_model",
+        "file_session",
         rank.alias("tool_rank"),
         *[derived.get(c, F.col(c)).alias(c) for c in USAGE_COLS],
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions.paths import plain_path
-from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, new_complete_lines
+from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, consumed_lines, new_complete_lines
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
-from turnledger.schema import USAGE_EVENTS
+from turnledger.schema import FILE_CONTEXT, USAGE_EVENTS
 from turnledger.session import configure, is_missing_path, scratch_scope
 from turnledger.sources.dialects import tools
 from turnledger.sources.dialects.common import EVENT, MALFORMED
@@ -28,6 +29,7 @@ from turnledger.sources.files import (
     read_lines,
 )
 from turnledger.sources.ledger import Ledger
+from turnledger.sources.ranges import can_open, read_ranges
 
 # Files handled per commit; bounds the path list the driver holds.
 FILES_PER_BATCH = 100_000
@@ -91,7 +93,7 @@ def _sync(
     listed, detected = discover(spark, sources)
     audits = {t: ToolAudit(t, detected.get(t, False)) for t in tools()}
 
-    manifest = pin(classify(listed, ledger.scan_state()), "manifest")
+    manifest = pin(classify(listed, ledger.file_states()), "manifest")
     for row in manifest.filter(F.col("status") == SKIPPED).groupBy("tool").count().collect():
         audits[row["tool"]].files_skipped = row["count"]
 
@@ -109,8 +111,17 @@ def _sync(
 
 @dataclass
 class _Page:
+    """Files of one commit: those read whole by path, those grown by how much there is to read."""
+
     files: DataFrame
     uris: dict[str, list[str]]
+    grown: dict[str, _Grown]
+
+
+@dataclass
+class _Grown:
+    n_files: int = 0
+    n_bytes: int = 0
 
 
 def _pages(changed: DataFrame, size: int) -> Iterator[_Page]:
@@ -118,19 +129,43 @@ def _pages(changed: DataFrame, size: int) -> Iterator[_Page]:
     order = ("tool_rank", "source_file")
     rest = changed
     while True:
-        rows = rest.orderBy(*order).limit(size).select(*order, "tool", "uri").collect()
+        rows = rest.orderBy(*order).limit(size).select(*order, "tool", "uri", "read_from", "size").collect()
         if not rows:
             return
         last = F.struct(F.lit(rows[-1][0]).alias(order[0]), F.lit(rows[-1][1]).alias(order[1]))
-        uris = defaultdict(list)
+        uris, grown, known = defaultdict(list), defaultdict(_Grown), {}
+        whole = F.lit(False)
         for row in rows:
-            uris[row["tool"]].append(row["uri"])
-        yield _Page(rest.filter(F.struct(*order) <= last), dict(uris))
+            if row["read_from"] and _resumable(row["uri"], known):
+                grown[row["tool"]].n_files += 1
+                grown[row["tool"]].n_bytes += row["size"] - row["read_from"]
+            else:
+                uris[row["tool"]].append(row["uri"])
+        unread = [store for store, good in known.items() if not good]
+        for store in unread:
+            whole = whole | F.col("uri").startswith(store)
+        files = rest.filter(F.struct(*order) <= last)
+        if unread:
+            files = files.withColumns(
+                {
+                    "read_from": F.when(whole, F.lit(0).cast("bigint")).otherwise(F.col("read_from")),
+                    **{c: F.when(~whole, F.col(c)) for c in FILE_CONTEXT.names},
+                }
+            )
+        yield _Page(files, dict(uris), dict(grown))
         if len(rows) < size:
             return
         rest = rest.filter(F.struct(*order) > last)
 
 
+def _resumable(uri: str, known: dict[str, bool]) -> bool:
+    """Whether the store of ``uri`` (scheme and host) can be read from the middle of a file."""
+    store = re.match(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/", uri)[0]
+    if store not in known:
+        known[store] = can_open(uri)
+    return known[store]
+
+
 def _read_present(spark: SparkSession, uris: list[str]) -> DataFrame | None:
     """Lines of the files that still exist."""
     try:
@@ -159,7 +194,13 @@ def _commit(
     batch = ledger.next_batch()
     lines = {t: _read_present(spark, uris) for t, uris in page.uris.items()}
     lines = {t: df for t, df in lines.items() if df is not None}
-    files = page.files.select("tool", "source_file", "size", "mtime_ms", "start_offset")
+    for tool, grown in page.grown.items():
+        tails = page.files.filter((F.col("tool") == tool) & (F.col("read_from") > 0))
+        tails = read_ranges(tails, grown.n_files, grown.n_bytes)
+        lines[tool] = lines[tool].unionByName(tails) if tool in lines else tails
+    files = page.files.select(
+        "tool", "source_file", "size", "mtime_ms", "start_offset", "read_from", *FILE_CONTEXT.names
+    )
     if not lines:
         return _mark_failed(files, audits)
     facts = read_facts(lines)
@@ -170,35 +211,24 @@ def _commit(
         .agg(F.sum("line_bytes").alias("read_bytes"))
         .select(plain_path(F.col("file_path")).alias("source_file"), "read_bytes")
     )
-    arrived = F.coalesce(F.col("read_bytes"), F.lit(0)) >= F.col("size") - BYTE_ORDER_MARK_BYTES
+    wanted = F.col("size") - F.col("read_from") - F.when(F.col("read_from") == 0, BYTE_ORDER_MARK_BYTES).otherwise(0)
+    arrived = F.coalesce(F.col("read_bytes"), F.lit(0)) >= wanted
     checked = pin(
         files.join(read_bytes, "source_file", "left").withColumn("arrived", arrived), "read-files"
     )
     complete = checked.filter("arrived")
 
-    fresh = new_complete_lines(place_and_bind(facts, complete))
-    kept = pin(
-        fresh.filter(F.col("outcome").isin(EVENT, MALFORMED)).withColumn(
-            "ingest_batch", F.lit(batch).cast("bigint")
-        ),
-        "new-lines",
+    # Placed once: the rows to store and what each file has consumed are both read from it.
+    fresh = pin(new_complete_lines(place_and_bind(facts, complete)), "new-lines")
+    kept = fresh.filter(F.col("outcome").isin(EVENT, MALFORMED)).withColumn(
+        "ingest_batch", F.lit(batch).cast("bigint")
     )
     events = kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
     malformed = kept.filter(F.col("outcome") == MALFORMED)
 
     ledger.append_events(events)
     ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
-    consumed = fresh.groupBy("source_file").agg(F.max("end").alias("consumed"))
-    ledger.append_state(
-        complete.join(consumed, "source_file", "left").select(
-            "source_file",
-            "size",
-            "mtime_ms",
-            F.coalesce("consumed", "start_offset").alias("byte_offset"),
-            F.lit(stamp).cast("bigint").alias("scanned_at"),
-        ),
-        batch,
-    )
+    ledger.append_state(file_states_after(complete, consumed_lines(fresh), stamp), batch)
 
     stored = ledger.events().filter(F.col("ingest_batch") == batch).groupBy("tool").count()
     for row in complete.groupBy("tool").count().collect():
@@ -214,6 +244,27 @@ def _commit(
     return _mark_failed(checked.filter("NOT arrived"), audits)
 
 
+def file_states_after(files: DataFrame, consumed: DataFrame, stamp: int) -> DataFrame:
+    """States of ``files`` once the ``consumed`` lines are stored.
+
+    Without a new complete line the offset and its context stay; a context that is not known
+    stays unknown, and the file is read whole next time.
+    """
+    now = consumed.select("source_file", "consumed", F.struct(*FILE_CONTEXT.names).alias("now"))
+    some = F.col("consumed").isNotNull()
+    context = {c: F.when(some, F.col(f"now.{c}")).otherwise(F.col(c)) for c in FILE_CONTEXT.names}
+    # The first session of a file stays its session.
+    context["first_session"] = F.coalesce("first_session", "now.first_session")
+    return files.join(now, "source_file", "left").select(
+        "source_file",
+        "size",
+        "mtime_ms",
+        F.coalesce("consumed", "start_offset").alias("byte_offset"),
+        F.lit(stamp).cast("bigint").alias("scanned_at"),
+        *[column.alias(name) for name, column in context.items()],
+    )
+
+
 def _mark_failed(files: DataFrame, audits: dict[str, ToolAudit]) -> DataFrame:
     for row in files.groupBy("tool").count().collect():
         audits[row["tool"]].files_failed += row["count"]

@@ -67,6 +67,21 @@ SCAN_STATE = T.StructType(
     ]
 )
 
+# What later lines of a file need to know of the lines before its stored offset.
+FILE_CONTEXT = T.StructType(
+    [
+        T.StructField("n_lines", T.LongType()),
+        T.StructField("n_events", T.LongType()),
+        T.StructField("last_model", T.StringType()),
+        T.StructField(
+            "first_session",
+            T.StructType([T.StructField("session_id", T.StringType()), T.StructField("project", T.StringType())]),
+        ),
+    ]
+)
+
+FILE_STATE = T.StructType([*SCAN_STATE.fields, *FILE_CONTEXT.fields])
+
 MANIFEST = T.StructType(
     [
         T.StructField("tool", T.StringType()),

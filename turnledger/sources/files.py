@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.paths import local_path
-from turnledger.schema import MANIFEST
+from turnledger.schema import FILE_CONTEXT, MANIFEST
 from turnledger.session import is_missing_path
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
 from turnledger.sources.dialects.common import Layout
@@ -150,9 +150,14 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
 
     Same size and time: skipped. Shorter or older than before: replaced, read from the
     start. Otherwise only what follows the stored offset is new.
+
+    If the state has the context of the lines before its offset, it is added as well, with
+    ``read_from``: where to begin reading. A file without context is read from its start.
     """
+    context = [c for c in FILE_CONTEXT.names if c in state.columns]
     prior = state.select(
         "source_file",
+        *context,
         F.col("size").alias("_size"),
         F.col("mtime_ms").alias("_mtime"),
         F.col("byte_offset").alias("_offset"),
@@ -165,12 +170,19 @@ def classify(manifest: DataFrame, state: DataFrame) -> DataFrame:
         .when(F.col("_offset") > F.col("size"), zero)
         .otherwise(F.col("_offset"))
     )
-    return (
+    classified = (
         manifest.join(prior, "source_file", "left")
         .withColumn("status", F.when(unchanged, F.lit(SKIPPED)).otherwise(F.lit(SCANNED)))
         .withColumn("start_offset", start)
         .drop("_size", "_mtime", "_offset")
     )
+    if not context:
+        return classified
+    resumed = (F.col("start_offset") > 0) & F.col("n_lines").isNotNull()
+    read_from = F.when(resumed, F.col("start_offset")).otherwise(zero)
+    return classified.withColumns(
+        {"read_from": read_from, **{c: F.when(resumed, F.col(c)) for c in context}}
+    )
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str], glob: str | None = None) -> DataFrame:

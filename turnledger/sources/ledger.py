@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from turnledger.functions.dates import day_bounds
 from turnledger.operators.dedupe import first_wins
 from turnledger.operators.deltas import turns_between
-from turnledger.schema import QUARANTINE, SCAN_STATE, USAGE_EVENTS
+from turnledger.schema import FILE_STATE, QUARANTINE, SCAN_STATE, USAGE_EVENTS
 from turnledger.session import is_missing_path
 from turnledger.sources.dialects import cumulative_tools
 
@@ -30,7 +30,7 @@ _STORED_EVENTS = T.StructType(
     [*USAGE_EVENTS.fields, T.StructField("key_bucket", T.IntegerType())]
 )
 _STORED_STATE = T.StructType(
-    [*SCAN_STATE.fields, T.StructField("ingest_batch", T.LongType())]
+    [*FILE_STATE.fields, T.StructField("ingest_batch", T.LongType())]
 )
 _STORED_QUARANTINE = T.StructType(
     [*QUARANTINE.fields, T.StructField("ingest_batch", T.LongType())]
@@ -72,8 +72,12 @@ class Ledger:
 
     def scan_state(self) -> DataFrame:
         """Latest state of every log file."""
+        return self.file_states().select(*SCAN_STATE.names)
+
+    def file_states(self) -> DataFrame:
+        """The same with the context that the lines so far leave to those to come."""
         rows = self._read("scan_state", _STORED_STATE)
-        state = F.struct(*[c for c in SCAN_STATE.names if c != "source_file"])
+        state = F.struct(*[c for c in FILE_STATE.names if c != "source_file"])
         latest = rows.groupBy("source_file").agg(
             F.max_by(state, F.col("ingest_batch")).alias("state")
         )
@@ -123,7 +127,7 @@ class Ledger:
 
     def append_state(self, rows: DataFrame, batch: int) -> None:
         """Upsert file states: the row of the highest batch is a file's state."""
-        self._append("scan_state", rows.select(*SCAN_STATE.names), batch)
+        self._append("scan_state", rows.select(*FILE_STATE.names), batch)
 
     def append_quarantine(self, rows: DataFrame, batch: int) -> None:
         """Append malformed lines not stored yet: a line is its file, number and digest."""
