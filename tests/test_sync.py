@@ -47,28 +47,104 @@ def counts(audit):
     return (audit.files_scanned, audit.files_skipped, audit.new_events, audit.duplicates_ignored)
 
 
-def test_append_then_skip_then_partial_line(world):
-    write_log(world.file, [world.message("a", 10), world.message("b", 20)])
-    assert counts(world.sync()["claude_code"]) == (1, 0, 2, 0)
-    append(world.file, world.message("c", 30) + "\n")
-    assert counts(world.sync()["claude_code"]) == (1, 0, 1, 0)
-
-    # Unchanged size and time: skipped although the bytes differ.
-    stat = os.stat(world.file)
-    whole = open(world.file).read().replace('"c"', '"z"')
-    open(world.file, "w").write(whole)
-    os.utime(world.file, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+def test_a_log_written_in_pieces(world):
+    """Every sync stores the lines that got their break since the last one."""
+    pieces = [world.message(f"turn-{i}", 7 * i + 3) + "\n" for i in range(6)]
+    text = "".join(pieces)
+    os.makedirs(os.path.dirname(world.file))
+    written = 0
+    for stop in (5, len(pieces[0]), len(pieces[0]) + 1, len(text) - 1, len(text)):
+        with open(world.file, "a") as out:
+            out.write(text[written:stop])
+        touch(world.file, stop)
+        new = text[:stop].count("\n") - text[:written].count("\n")
+        assert counts(world.sync()["claude_code"]) == (1, 0, new, 0)
+        assert world.offset() == text[:stop].rfind("\n") + 1
+        written = stop
+    assert world.stored() == {f"turn-{i}": 7 * i + 3 for i in range(6)}
     assert counts(world.sync()["claude_code"]) == (0, 1, 0, 0)
+    lines = [r["line_no"] for r in world.ledger.events().orderBy("line_no").collect()]
+    assert lines == list(range(6))
 
-    done = os.path.getsize(world.file)
-    line = world.message("d", 40)
-    append(world.file, line[:20])
-    assert counts(world.sync()["claude_code"]) == (1, 0, 0, 0)
-    assert world.offset() == done
-    append(world.file, line[20:] + "\n")
-    assert counts(world.sync()["claude_code"]) == (1, 0, 1, 0)
-    assert world.stored() == {"a": 10, "b": 20, "c": 30, "d": 40}
-    assert world.offset() == os.path.getsize(world.file)
+
+def test_old_lines_are_not_read_again(world, monkeypatch):
+    import turnledger.plans.sync as sync_module
+
+    old = [world.message(f"old-{i}", i) for i in range(50)]
+    write_log(world.file, old)
+    world.sync()
+    # Were the old lines read, they would be malformed now.
+    size = os.path.getsize(world.file)
+    with open(world.file, "r+b") as out:
+        out.write(b"#" * (size - 1))
+    append(world.file, world.message("new", 1) + "\n{bad\n", 5)
+    parsed = []
+    real = sync_module.read_facts
+
+    def spy(lines):
+        parsed.append({tool: df.count() for tool, df in lines.items()})
+        return real(lines)
+
+    monkeypatch.setattr(sync_module, "read_facts", spy)
+    audit = world.sync()["claude_code"]
+    assert parsed == [{"claude_code": 2}]
+    assert counts(audit) == (1, 0, 1, 0) and audit.malformed_lines == 1
+    assert world.ledger.quarantine().first()["line_no"] == 51
+    assert world.ledger.events().filter("dedupe_key = 'cc:new'").first()["line_no"] == 50
+
+
+@pytest.mark.parametrize("how", ["small ranges", "no store", "no context"])
+def test_every_way_of_reading_a_grown_log_agrees(spark, tmp_path, monkeypatch, how):
+    import turnledger.plans.sync as sync_module
+    import turnledger.sources.ranges as ranges
+
+    if how == "small ranges":
+        monkeypatch.setattr(ranges, "RANGE_BYTES", 37)
+        monkeypatch.setattr(ranges, "TASK_BYTES", 100)
+    if how == "no store":
+        monkeypatch.setattr(sync_module, "can_open", lambda uri: False)
+    grown = Setup(spark, str(tmp_path / "grown"))
+    if how == "no context":
+        plain = Ledger.file_states
+        monkeypatch.setattr(
+            Ledger, "file_states", lambda self: plain(self).withColumn("n_lines", F.lit(None).cast("bigint"))
+        )
+    path, whole = f"{grown.base}/sessions/2026/01/15/r.jsonl", rollout(9)
+    # The model changes inside the second piece, a line is damaged in the third.
+    whole[6:6] = [turn_context("o3")]
+    whole[10:10] = ["{bad"]
+    for low, high in ((0, 4), (4, 8), (8, len(whole))):
+        if low:
+            append(path, "\n".join(whole[low:high]) + "\n", 3)
+        else:
+            write_log(path, whole[:high])
+        grown.sync()
+    once = Setup(spark, str(tmp_path / "once"))
+    write_log(f"{once.base}/sessions/2026/01/15/r.jsonl", whole)
+    once.sync()
+    assert turns(grown.ledger) == turns(once.ledger)
+
+    def keys(ledger):
+        rows = ledger.events().select("dedupe_key", "line_no").collect()
+        bad = ledger.quarantine().select("line_no", "raw_md5").collect()
+        return sorted(map(tuple, rows)), sorted(map(tuple, bad))
+
+    assert keys(grown.ledger) == keys(once.ledger)
+    state = grown.ledger.file_states().first()
+    assert (state["byte_offset"], state["last_model"]) == (os.path.getsize(path), "o3")
+    if how != "no context":
+        assert (state["n_lines"], state["n_events"], state["first_session"]["session_id"]) == (13, 9, "sess")
+
+
+def test_a_session_line_that_comes_late(spark, tmp_path):
+    world = Setup(spark, str(tmp_path))
+    path, lines = f"{world.base}/sessions/r.jsonl", rollout(3)
+    write_log(path, lines[1:3])
+    world.sync()
+    append(path, "\n".join([lines[0], *lines[3:]]) + "\n", 3)
+    world.sync()
+    rows = world.ledger.events().orderBy("line_no").select("session_id", "project", "model", "line_no").collect()
+    assert [tuple(r) for r in rows] == [("r", None, "gpt-5", 1), ("sess", "/w", "gpt-5", 3), ("sess", "/w", "gpt-5", 4)]
 
 
 def test_scratch_tables_are_deleted(world):
@@ -92,31 +168,33 @@ def test_scratch_tables_are_deleted(world):
     assert world.ledger.quarantine().count() == 1
 
 
-def test_truncated_and_replaced_files(world):
-    write_log(world.file, [world.message(n, v) for n, v in (("a", 10), ("b", 20), ("c", 30))])
+def test_rotated_logs_are_read_from_the_start(world):
+    old = [world.message(f"before-{i}", 100 + i) for i in range(8)]
+    write_log(world.file, old)
     world.sync()
-    write_log(world.file, [world.message("a", 10), world.message("d", 40)])
-    touch(world.file, 2)
-    assert counts(world.sync()["claude_code"]) == (1, 0, 1, 1)
-    assert sum(world.stored().values()) == 100
-    # Same size, older: read again from the start.
-    write_log(world.file, [world.message("x", 11), world.message("y", 22)])
-    touch(world.file, -60)
-    assert counts(world.sync()["claude_code"]) == (1, 0, 2, 0)
-    assert len(world.stored()) == 6
+    # Shorter: two old lines are met again, one is new.
+    write_log(world.file, [old[6], old[1], world.message("after-0", 5)])
+    touch(world.file, 9)
+    assert counts(world.sync()["claude_code"]) == (1, 0, 1, 2)
+    # As long as before but of an earlier time: another file in its place.
+    size = os.path.getsize(world.file)
+    write_log(world.file, [world.message("after-1", 6)])
+    with open(world.file, "a") as out:
+        out.write(" " * (size - os.path.getsize(world.file) - 1) + "\n")
+    touch(world.file, -3600)
+    assert os.path.getsize(world.file) == size
+    assert counts(world.sync()["claude_code"]) == (1, 0, 1, 0)
+    assert len(world.stored()) == 10 and world.offset() == size
 
 
-def test_no_complete_line_and_malformed_lines(world):
-    write_log(world.file, [world.message("a", 10)], end="")
-    audit = world.sync()["claude_code"]
-    assert counts(audit) == (1, 0, 0, 0) and world.offset() == 0
-    write_log(world.file, [world.message("a", 10), "{bad", world.message("b", 20)])
-    touch(world.file, 2)
+def test_damaged_lines_are_set_aside(world):
+    write_log(world.file, ["not json", world.message("fine", 1), "[1, 2]", '{"type": "assistant"'])
     audit = world.sync()["claude_code"]
-    assert counts(audit) == (1, 0, 2, 0) and audit.malformed_lines == 1
-    row = world.ledger.quarantine().first()
-    assert row.asDict().keys() == set(QUARANTINE.names)
-    assert (row["line_no"], len(row["raw_md5"])) == (1, 32)
+    assert counts(audit) == (1, 0, 1, 0) and audit.malformed_lines == 3
+    rows = world.ledger.quarantine().orderBy("line_no").collect()
+    assert [r["line_no"] for r in rows] == [0, 2, 3]
+    assert rows[0].asDict().keys() == set(QUARANTINE.names)
+    assert {len(r["raw_md5"]) for r in rows} == {32}
 
 
 def test_replayed_session_keeps_the_first_row(world):

@@ -135,15 +135,22 @@ def in_file_order(facts: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def new_complete_lines(placed: DataFrame) -> DataFrame:
-    """Lines past the stored offset that end in a line break.
+def complete_lines(placed: DataFrame) -> DataFrame:
+    """Lines that end in a line break.
 
     The line break assumed for an unterminated last line lies past the file size, as
     does anything appended after the file was listed.
     """
-    return placed.filter(
-        (F.col("start") >= F.col("start_offset")) & (F.col("end") <= F.col("size"))
-    )
+    return placed.filter(F.col("end") <= F.col("size"))
+
+
+def new_lines(placed: DataFrame) -> DataFrame:
+    """Lines past the stored offset."""
+    return placed.filter(F.col("start") >= F.col("start_offset"))
+
+
+def new_complete_lines(placed: DataFrame) -> DataFrame:
+    return new_lines(complete_lines(placed))
 
 
 def consumed_lines(placed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.functions.paths import plain_path
-from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, consumed_lines, new_complete_lines
+from turnledger.operators.file_order import BYTE_ORDER_MARK_BYTES, complete_lines, consumed_lines, new_lines
 from turnledger.operators.normalize import place_and_bind, read_facts
 from turnledger.operators.pinning import pin
 from turnledger.schema import FILE_CONTEXT, USAGE_EVENTS
@@ -219,8 +219,8 @@ def _commit(
     complete = checked.filter("arrived")
 
     # Placed once: the rows to store and what each file has consumed are both read from it.
-    fresh = pin(new_complete_lines(place_and_bind(facts, complete)), "new-lines")
-    kept = fresh.filter(F.col("outcome").isin(EVENT, MALFORMED)).withColumn(
+    placed = pin(complete_lines(place_and_bind(facts, complete)), "placed-lines")
+    kept = new_lines(placed).filter(F.col("outcome").isin(EVENT, MALFORMED)).withColumn(
         "ingest_batch", F.lit(batch).cast("bigint")
     )
     events = kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
@@ -228,7 +228,7 @@ def _commit(
 
     ledger.append_events(events)
     ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
-    ledger.append_state(file_states_after(complete, consumed_lines(fresh), stamp), batch)
+    ledger.append_state(file_states_after(complete, consumed_lines(placed), stamp), batch)
 
     stored = ledger.events().filter(F.col("ingest_batch") == batch).groupBy("tool").count()
     for row in complete.groupBy("tool").count().collect():
