@@ -163,6 +163,61 @@ def test_adhoc_queries(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"a":1,"b":null}'
 
 
+@pytest.fixture
+def views(spark):
+    turns = month_of_turns(spark)
+    register_views(spark, turns, turns, spark.createDataFrame([], SCAN_STATE))
+    spark.range(3).createOrReplaceTempView("elsewhere")
+    spark.range(3).createOrReplaceGlobalTempView("usage_events")
+    spark.udf.register("own_code", lambda x: x)
+    return spark
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+        "SELECT * FROM IDENTIFIER('else' || 'where')",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv', 'HOME')",
+        "SELECT * FROM json.`/etc/hostname`",
+        "SELECT * FROM turn_usage JOIN parquet.`/tmp` USING (line_no)",
+        "SELECT * FROM global_temp.usage_events",
+        "SELECT * FROM turn_usage, LATERAL (SELECT * FROM elsewhere)",
+        "SELECT line_no IN (SELECT id FROM elsewhere) FROM turn_usage",
+        "FROM elsewhere |> SELECT id",
+        "TABLE elsewhere",
+        "SELECT * FROM range(3)",
+        "WITH elsewhere AS (SELECT 1 AS id) SELECT * FROM (WITH b AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM b)",
+        "SELECT own_code(1)",
+        "SELECT sum(own_code(line_no)) OVER () FROM turn_usage",
+        "SELECT Java_Method('java.lang.Math', 'abs', -1) FROM turn_usage",
+        "SELECT max(line_no) FROM turn_usage HAVING reflect('java.lang.Math', 'abs', -1) = '1'",
+    ],
+)
+def test_statements_that_read_elsewhere_are_refused(views, statement):
+    with pytest.raises(PermissionError):
+        query(views, statement)
+
+
+@pytest.mark.parametrize(
+    "statement,first",
+    [
+        ("SELECT 'reflect(' AS x", "reflect("),
+        ("SELECT 'text.`/etc/hostname`' AS x, \"'UnresolvedRelation [elsewhere]\" AS y", "text.`/etc/hostname`"),
+        ("SELECT count(*) AS x FROM Turn_Usage t JOIN usage_events e USING (dedupe_key)", 30),
+        ("WITH elsewhere AS (SELECT 7 AS id) SELECT id AS x FROM elsewhere", 7),
+        ("SELECT * FROM VALUES (3), (4) AS v(x)", 3),
+        ("WITH RECURSIVE n(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM n WHERE x < 5) SELECT max(x) AS x FROM n", 5),
+        ("SELECT (SELECT max(line_no) FROM turn_usage) AS x", 29),
+        ("SELECT count(*) AS x FROM turn_usage WHERE EXISTS (SELECT 1 FROM usage_events)", 30),
+        ("SELECT count(*) AS x FROM (SELECT explode(sequence(1, 3)) FROM turn_usage)", 90),
+        ("SELECT max(local_day(ts) > DATE'1900-01-01') AS x FROM turn_usage", True),
+    ],
+)
+def test_statements_over_the_relations_run(views, statement, first):
+    assert query(views, statement).fetch()[0]["x"] == first
+
+
 def test_coverage(spark):
     rows = [
         usage("a", "codex", "s", 1, (1, 1, 1, 1, 1), model="gpt-5"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cached_property
 
+from py4j.java_gateway import is_instance_of
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +17,19 @@ from turnledger.session import configure
 # --- fixed values -----------------------------------------------------------
 ROW_CAP = 1_000
 EVENTS_VIEW, TURNS_VIEW, STATE_VIEW = "usage_events", "turn_usage", "scan_state"
+_VIEWS = (EVENTS_VIEW, TURNS_VIEW, STATE_VIEW)
 # ----------------------------------------------------------------------------
 
 
-# Functions that call into the JVM.
+# Functions that call into the JVM, by name and by what they become.
 _JVM_CALLS = ("reflect", "java_method", "try_reflect")
+_JVM_EXPRESSIONS = ("CallMethodViaReflection", "TryReflect")
+# Code of the session's users, which may do anything.
+_USER_CODE = ("PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDF", "ScalaUDAF", "ScalaAggregator")
+# What every subquery inside an expression is.
+_SUBQUERY = "org.apache.spark.sql.catalyst.expressions.PlanExpression"
+# Leaves that read nothing but what the statement itself spells out.
+_SPELLED_OUT = ("OneRowRelation", "LocalRelation", "CTERelationRef", "UnionLoopRef", "Range")
 
 
 @dataclass(frozen=True)
@@ -74,49 +82,99 @@ def query(spark: SparkSession, sql: str, cap: int | None = ROW_CAP) -> QueryResu
     """Run one SELECT over the named relations; columns are known even without rows.
 
     ``cap=None`` gives every row. The statement runs as a subquery, so the parser itself
-    rejects anything that is not a query. Files, other tables and calls into the JVM are
+    rejects anything that is not a query. What it reads is decided by the nodes of its plan:
+    every leaf must be one of the named relations or spelled out in the statement. Files,
+    other tables, names computed by ``IDENTIFIER``, user functions and calls into the JVM are
     refused with ``PermissionError`` before anything runs.
     """
     statement = sql.strip().rstrip(";")
     if not statement.strip():
         raise ValueError("provide a SQL statement")
     wrapped = f"SELECT * FROM (\n{statement}\n)"
-    with _whole_plan_texts(spark):
-        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(wrapped).toString()
-        _refuse_jvm_calls(parsed)
-        _refuse_other_relations(parsed)
-        result = spark.sql(wrapped)
-        # Once more by what the names stand for.
-        _refuse_jvm_calls(result._jdf.queryExecution().analyzed().toString())
+    # Resolving a file as a table may read it, so names are judged before they are resolved.
+    _check_names(spark._jsparkSession.sessionState().sqlParser().parsePlan(wrapped), frozenset())
+    result = spark.sql(wrapped)
+    _check_leaves(result._jdf.queryExecution().analyzed())
     return QueryResult(result if cap is None else result.limit(cap), result.columns, result, cap)
 
 
-@contextmanager
-def _whole_plan_texts(spark: SparkSession) -> Iterator[None]:
-    """Spark shortens long lists in plan texts unless told otherwise."""
-    name = "spark.sql.debug.maxToStringFields"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(2**31 - 1))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _refuse_other_relations(parsed: str) -> None:
-    """The parsed plan names its relations before any is looked up."""
-    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", parsed))
-    named |= set(re.findall(r"'UnresolvedTableValuedFunction \[([^\]]*)\]", parsed))
-    common = {n.strip().lower() for c in re.findall(r"\bCTE \[([^\]]*)\]", parsed) for n in c.split(",")}
-    for name in named:
-        if name.lower() not in {EVENTS_VIEW, TURNS_VIEW, STATE_VIEW, *common}:
-            raise PermissionError(f"only the named relations can be read, not {name}")
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _items(sequence) -> Iterator:
+    """Elements of a Scala sequence."""
+    return (sequence.apply(i) for i in range(sequence.size()))
+
+
+def _expressions(node) -> Iterator:
+    """All expressions of a plan node, nested ones included, but not the plans inside them."""
+    todo = list(_items(node.expressions()))
+    while todo:
+        expression = todo.pop()
+        yield expression
+        todo.extend(_items(expression.children()))
 
 
-def _refuse_jvm_calls(plan: str) -> None:
-    for name in _JVM_CALLS:
-        if re.search(rf"\b{name}\(", plan.lower()):
-            raise PermissionError(f"{name} calls into the JVM and is refused")
+def _inner_plans(node) -> Iterator:
+    """Plans of the subqueries among a node's expressions."""
+    for expression in _expressions(node):
+        if is_instance_of(_gateway(), expression, _SUBQUERY):
+            yield expression.plan()
+
+
+def _gateway():
+    return SparkContext._active_spark_context._gateway
+
+
+def _check_names(node, common: frozenset[str]) -> None:
+    """Refuse relations, functions and computed names of a parsed plan; ``common`` are names of
+    common table expressions in force."""
+    kind = _kind(node)
+    if kind == "UnresolvedWith":
+        for entry in _items(node.cteRelations()):
+            own = common | {entry._1().lower()}
+            # A recursive definition may name itself.
+            _check_names(entry._2(), own)
+            common = own
+    elif kind in ("UnresolvedRelation", "UnresolvedTableValuedFunction"):
+        parts = node.multipartIdentifier() if kind == "UnresolvedRelation" else node.name()
+        name = ".".join(_items(parts))
+        if name.lower() not in {*_VIEWS, *common}:
+            raise PermissionError(f"only the named relations can be read, not {name}")
+    elif "UnresolvedIdentifier" in kind:
+        raise PermissionError("relations must be named, not computed")
+    for expression in _expressions(node):
+        own = _kind(expression)
+        if "UnresolvedIdentifier" in own:
+            raise PermissionError("names must be spelled out, not computed")
+        if own == "UnresolvedFunction":
+            function = list(_items(expression.nameParts()))[-1].lower()
+            if function in _JVM_CALLS:
+                raise PermissionError(f"{function} calls into the JVM and is refused")
+    for plan in (*_items(node.children()), *_inner_plans(node)):
+        _check_names(plan, common)
+
+
+def _check_leaves(node) -> None:
+    """Refuse an analysed plan that reads more than the named relations."""
+    kind = _kind(node)
+    if kind == "View":
+        name = node.desc().identifier()
+        if not node.isTempView() or name.database().isDefined() or name.table().lower() not in _VIEWS:
+            raise PermissionError(f"only the named relations can be read, not {name.unquotedString()}")
+        return
+    for expression in _expressions(node):
+        own = _kind(expression)
+        if own in _JVM_EXPRESSIONS:
+            raise PermissionError(f"{own} calls into the JVM and is refused")
+        if own in _USER_CODE:
+            raise PermissionError("user functions are refused")
+    below = [*_items(node.children())]
+    if not below and kind not in _SPELLED_OUT:
+        raise PermissionError(f"only the named relations can be read, not a {kind}")
+    for plan in (*below, *_inner_plans(node)):
+        _check_leaves(plan)
 
 
 def as_json(df: DataFrame) -> DataFrame:
