@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnledger.llm.double_array import build
+from turnledger.llm.double_array import Trie, build
 from turnledger.llm.frames import pin, prepare, text_bytes
 from turnledger.llm.text import byte_codes, mix, slices, words
 
@@ -32,10 +34,11 @@ SCALE = 1_000_000
 
 #: Candidates of one trie, and tries that one pass over the texts walks.
 PHRASES_PER_TRIE = 1 << 18
-TRIES_PER_PASS = 4
+TRIES_PER_PASS = 3
 #: Bits of the broadcast filters; other words, pairs and runs that share a bit stay candidates.
 FILTER_BITS = 1 << 27
-SLICE = 4 << 20
+#: Bytes hashed at once, which a processor's cache should hold, and bytes counted at once.
+SLICE, RUN = 512 << 10, 4 << 20
 SEEDS = 8
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -56,6 +59,16 @@ class Run:
     languages: np.ndarray
     data: np.ndarray
 
+    @staticmethod
+    def joint(runs: list[Run]) -> Run:
+        """One run after the other; the last word of each joins nothing."""
+        base = np.cumsum([0] + [len(run.data) for run in runs])
+        starts = [run.starts + at for run, at in zip(runs, base, strict=False)]
+        ends = [run.ends + at for run, at in zip(runs, base, strict=False)]
+        rest = zip(*((run.keys, run.joined, run.languages, run.data) for run in runs), strict=True)
+        keys, joined, languages, data = map(np.concatenate, rest)
+        return Run(keys, joined, np.concatenate(starts), np.concatenate(ends), languages, data)
+
 
 class Reader:
     """Word keys of texts; ``seed`` chooses the hash."""
@@ -72,6 +85,7 @@ class Reader:
         languages = batch["lang"].dictionary_encode()
         of_language = np.array([self.language_key(x) for x in languages.dictionary.to_pylist()], dtype=np.uint64)
         index = languages.indices.to_numpy(zero_copy_only=False)
+        held: list[Run] = []
         for part in slices(batch["body"], SLICE):
             found = words(part, _SEPARATOR, self.codes)
             document = np.repeat(np.arange(part.first, part.last), found.counts)
@@ -81,7 +95,12 @@ class Reader:
             joined = np.zeros(len(document), dtype=bool)
             joined[:-1] = piece[1:] == piece[:-1]
             keys = mix(found.hashes ^ of_language[index[document]]) if len(document) else found.hashes
-            yield Run(keys, joined, found.starts, found.ends, index[document], part.data)
+            held.append(Run(keys, joined, found.starts, found.ends, index[document], part.data))
+            if sum(len(run.data) for run in held) >= RUN:
+                yield Run.joint(held)
+                held = []
+        if held:
+            yield Run.joint(held)
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
         """A bucket for each two neighbours."""
@@ -123,7 +142,9 @@ def word_counts(texts: DataFrame, reader: Reader) -> DataFrame:
         for batch in batches:
             names = batch["lang"].dictionary_encode().dictionary
             for run in reader.runs(batch):
-                key, first, n = np.unique(run.keys, return_index=True, return_counts=True)
+                which, key = pd.factorize(run.keys)
+                n, first = np.bincount(which, minlength=len(key)), np.zeros(len(key), dtype=np.int64)
+                first[which[::-1]] = np.arange(len(which))[::-1]
                 bodies = [run.data[a:b].tobytes().lower() for a, b in zip(run.starts[first], run.ends[first], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -202,42 +223,45 @@ def phrase_counts(texts: DataFrame, reader: Reader, phrases: DataFrame) -> DataF
     spark = texts.sparkSession
     phrases = pin(phrases, "phrase-candidates")
     n_tries = -(-phrases.count() // PHRASES_PER_TRIE)
+    # Numbers inside a trie: the hash deals about as many phrases to each.
+    number = F.row_number().over(Window.partitionBy("trie").orderBy("w1", "w2", "w3")) - 1
     dealt = phrases.withColumn("trie", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(max(n_tries, 1))))
-    found = None
+    dealt = pin(dealt.withColumn("phrase", number), "phrase-tries")
+    sums = spark.createDataFrame([], "trie int, phrase long, a long")
     for first in range(0, n_tries, TRIES_PER_PASS):
-        tries, rows = [], []
-        for number in range(first, min(first + TRIES_PER_PASS, n_tries)):
-            own = dealt.where(F.col("trie") == number).drop("trie").toArrow()
-            keys = np.stack(
-                [own[c].fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for c in ("w1", "w2", "w3")], axis=1
-            )
-            tries.append(build(keys, 3 - own["w3"].is_null().to_numpy().astype(np.int64)))
-            rows.append(own)
-        part = _walk(texts, reader, tries, pa.concat_tables(rows))
-        part = pin(part, "phrase-counts")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], "w1 long, w2 long, w3 long, a long")
+        tries = [_trie(dealt, n) for n in range(first, min(first + TRIES_PER_PASS, n_tries))]
+        sent = spark.sparkContext.broadcast(tries)
+        del tries
+        sums = sums.unionByName(pin(_walk(texts, reader, sent, first), "phrase-counts"))
+        sent.destroy()
+    return sums.join(dealt, ["trie", "phrase"]).select("w1", "w2", "w3", "a")
 
 
-def _walk(texts: DataFrame, reader: Reader, tries: list, rows: pa.Table) -> DataFrame:
-    """Sums of the accepting states of ``tries`` over all texts."""
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(tries)
+def _trie(dealt: DataFrame, number: int) -> Trie:
+    own = dealt.where(F.col("trie") == number).select("phrase", "w1", "w2", "w3").toArrow().sort_by("phrase")
+    keys = [own[c].fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for c in ("w1", "w2", "w3")]
+    return build(np.stack(keys, axis=1), LONGEST - own["w3"].is_null().to_numpy().astype(np.int64))
+
+
+def _walk(texts: DataFrame, reader: Reader, sent: Broadcast, first: int) -> DataFrame:
+    """Sums of the accepting states of the broadcast tries, numbered from ``first``, over all texts."""
 
     def walk(batches):
         sums = [np.zeros(t.n_phrases, dtype=np.int64) for t in sent.value]
         for batch in batches:
             for run in reader.runs(batch):
-                distinct, which = np.unique(run.keys, return_inverse=True)
+                which, distinct = pd.factorize(run.keys)
                 for own, trie in zip(sums, sent.value, strict=True):
                     own += trie.count(trie.codes(distinct)[which], run.joined)
-        total = np.concatenate(sums)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["phrase", "n"])
+        for number, own in enumerate(sums, first):
+            seen = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(seen), number, dtype=np.int32)), pa.array(seen), pa.array(own[seen])],
+                names=["trie", "phrase", "n"],
+            )
 
-    named = spark.createDataFrame(rows.append_column("phrase", pa.array(np.arange(rows.num_rows))))
-    sums = texts.mapInArrow(walk, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("a"))
-    return sums.join(named, "phrase").select("w1", "w2", "w3", "a")
+    found = texts.mapInArrow(walk, "trie int, phrase long, n long")
+    return found.groupBy("trie", "phrase").agg(F.sum("n").alias("a"))
 
 
 def _score(a: str, left: str, right: str) -> Column:

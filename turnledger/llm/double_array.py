@@ -116,7 +116,7 @@ def build(phrases: np.ndarray, lengths: np.ndarray) -> Trie:
         raise ValueError("too many distinct words for one trie")
     n = len(phrases)
     node = np.zeros(n, dtype=np.int64)  # the slot each phrase has reached
-    slots = _Slots(4 * n)
+    slots = _Slots(2 * n)
     edges = []
     ended = np.zeros(n, dtype=np.int64)
     for level in range(width):

@@ -23,6 +23,8 @@ from turnledger.llm.frames import crc_of_id, pin, prepare, text_bytes
 from turnledger.llm.text import Slice, Words, byte_codes, mix, slices, words
 
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 5, 0
+#: Labelled rows the model is fitted on, about; at most twice as many.
+SAMPLE = 1 << 18
 #: Terms of the lexicon at most; those that tell most are taken.
 MAX_TERMS = 4096
 MIN_LETTERS, MAX_LETTERS = 3, 40
@@ -345,15 +347,24 @@ class Model:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``body, toxic`` of the training rows; a document with several labels is toxic if one says so."""
+    """``body, toxic`` of the training rows; a document with several labels is toxic if one says so.
+
+    Labels are chosen by a hash of the id, about ``SAMPLE`` of them and at most twice as many, so
+    that they can be sent to the texts: texts are never shuffled.
+    """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg((F.max("toxic") > 0).alias("toxic"))
+        .where(crc_of_id() % HELD_OUT_MODULUS != HELD_OUT_REMAINDER)
     )
+    known = pin(known, "toxicity-labels")
+    share = min(1.0, SAMPLE / max(known.count(), 1))
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
+    known = known.where(chosen).limit(2 * SAMPLE)
     rows = docs.where(crc_of_id() % HELD_OUT_MODULUS != HELD_OUT_REMAINDER)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body"))
-    return rows.join(known, "doc_id").select("body", "toxic")
+    return rows.join(F.broadcast(pin(known, "toxicity-sample")), "doc_id").select("body", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
