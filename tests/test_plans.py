@@ -14,7 +14,7 @@ from turnledger.plans import reports
 from turnledger.plans.sync import sync
 from turnledger.sources.dialects import cumulative_tools
 from turnledger.sources.files import Source, read_lines
-from turnledger.sources.ledger import Ledger
+from turnledger.sources.ledger import Ledger, key_bucket
 from turnledger.sources.pricing import bundled_pricing
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -97,7 +97,28 @@ def test_one_tool_reads_its_partition_without_a_window(ledger):
 def test_key_check_streams_the_stored_keys(ledger):
     text = plan(ledger.unseen(ledger.events().filter("tool = 'codex'")))
     assert "BroadcastHashJoin" in text and "LeftSemi, BuildRight" in text
-    assert "dynamicpruning" in text.lower()
+
+
+def test_key_check_reads_the_buckets_of_the_batch(spark, tmp_path, monkeypatch):
+    from turnledger.sources import ledger as stored
+
+    monkeypatch.setattr(stored, "ROWS_PER_BUCKET", 4)
+    ledger = Ledger(spark, str(tmp_path / "grown"))
+    for first in (0, 200):
+        with ledger.commit() as writer:
+            rows = [usage(f"k{first + i}", "codex", "s", i, (i, 0, 0, 0, 0), i) for i in range(200)]
+            writer.append_events(events(spark, rows))
+    parts = ledger.log.latest().events
+    assert [p.bits for p in parts] == [6, 6] and [p.rows for p in parts] == [200, 200]
+    batch = events(spark, [usage(k, "codex", "s", 0, (0, 0, 0, 0, 0)) for k in ("k7", "k207", "new")])
+    left = ledger.unseen(batch)
+    scans = re.findall(r"PartitionFilters: \[([^]]*)\]", plan(left))
+    named = [s for s in scans if "key_bucket" in s]
+    assert named and all(re.search(r"key_bucket#\d+ (IN \(|= )", s) for s in named)
+    assert [r["dedupe_key"] for r in left.collect()] == ["new"]
+    # Three keys touch three of sixty-four buckets at most.
+    wanted = batch.select("dedupe_key").distinct()
+    assert wanted.select(key_bucket(6)).distinct().count() <= 3 and len(ledger.events().inputFiles()) > 100
 
 
 def test_file_context_is_joined_in_place(spark, tmp_path):

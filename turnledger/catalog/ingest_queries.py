@@ -125,9 +125,10 @@ def append_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second sync that has lost its scan state stores nothing new."""
     sources, path, _ = _synced(spark, sf_dir)
     # Only events and quarantine are carried over, so every line is read again.
-    kept = scratch_path(spark, "ledger")
-    spark.read.parquet(f"{path}/events").write.partitionBy("tool", "key_bucket").parquet(f"{kept}/events")
-    spark.read.parquet(f"{path}/quarantine").write.parquet(f"{kept}/quarantine")
+    first, kept = Ledger(spark, path), scratch_path(spark, "ledger")
+    with Ledger(spark, kept).commit() as writer:
+        writer.append_events(first.events())
+        writer.append_quarantine(first.quarantine())
     again = sync(spark, sources, kept, scanned_at=SCANNED_AT)
     stored = Ledger(spark, kept).events().groupBy("tool").agg(
         F.count(F.lit(1)).alias("stored"), F.countDistinct("dedupe_key").alias("keys")

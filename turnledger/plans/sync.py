@@ -72,8 +72,9 @@ def sync(
 ) -> SyncResult:
     """Read what is new in the log folders and append it to the ledger.
 
-    Files go in ledger order (tool, path), a bounded number per commit. Each commit
-    writes events, then state; an interrupted sync continues with the next run.
+    Files go in ledger order (tool, path), a bounded number per commit. Events, quarantine and
+    state of a commit come into force together; an interrupted sync continues with the next run.
+    One writer at a time: of two, the later one to finish fails with ``SecondWriter``.
     """
     configure(spark)
     # The failures of the result are read later.
@@ -191,7 +192,6 @@ def _exists(spark: SparkSession, uri: str) -> bool:
 def _commit(
     spark: SparkSession, ledger: Ledger, page: _Page, stamp: int, audits: dict[str, ToolAudit]
 ) -> DataFrame:
-    batch = ledger.next_batch()
     lines = {t: _read_present(spark, uris) for t, uris in page.uris.items()}
     lines = {t: df for t, df in lines.items() if df is not None}
     for tool, grown in page.grown.items():
@@ -220,17 +220,16 @@ def _commit(
 
     # Placed once: the rows to store and what each file has consumed are both read from it.
     placed = pin(complete_lines(place_and_bind(facts, complete)), "placed-lines")
-    kept = new_lines(placed).filter(F.col("outcome").isin(EVENT, MALFORMED)).withColumn(
-        "ingest_batch", F.lit(batch).cast("bigint")
-    )
-    events = kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
-    malformed = kept.filter(F.col("outcome") == MALFORMED)
-
-    ledger.append_events(events)
-    ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
-    ledger.append_state(file_states_after(complete, consumed_lines(placed), stamp), batch)
+    kept = new_lines(placed).filter(F.col("outcome").isin(EVENT, MALFORMED))
+    with ledger.commit() as writer:
+        kept = kept.withColumn("ingest_batch", F.lit(writer.batch).cast("bigint"))
+        stored = writer.append_events(kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names))
+        malformed = kept.filter(F.col("outcome") == MALFORMED)
+        writer.append_quarantine(
+            malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range"))
+        )
+        writer.append_state(file_states_after(complete, consumed_lines(placed), stamp))
 
-    stored = ledger.events().filter(F.col("ingest_batch") == batch).groupBy("tool").count()
     for row in complete.groupBy("tool").count().collect():
         audits[row["tool"]].files_scanned += row["count"]
     for row in kept.groupBy("tool", "outcome").count().collect():
@@ -238,9 +237,9 @@ def _commit(
             audits[row["tool"]].malformed_lines += row["count"]
         else:
             audits[row["tool"]].duplicates_ignored += row["count"]
-    for row in stored.collect():
-        audits[row["tool"]].new_events += row["count"]
-        audits[row["tool"]].duplicates_ignored -= row["count"]
+    for tool, count in stored.items():
+        audits[tool].new_events += count
+        audits[tool].duplicates_ignored -= count
     return _mark_failed(checked.filter("NOT arrived"), audits)
 
 

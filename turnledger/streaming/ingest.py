@@ -79,15 +79,14 @@ def append_closed_files(lines: DataFrame, tool: str, ledger: Ledger) -> None:
                 F.lit(0).cast("bigint").alias("start_offset"),
             )
         )
-        batch = ledger.next_batch()
         kept = pin(
-            place_and_bind(facts.drop("size"), files)
-            .filter(F.col("outcome").isin(EVENT, MALFORMED))
-            .withColumn("ingest_batch", F.lit(batch).cast("bigint")),
+            place_and_bind(facts.drop("size"), files).filter(F.col("outcome").isin(EVENT, MALFORMED)),
             "stream-lines",
         )
-        ledger.append_events(
-            kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names)
-        )
-        malformed = kept.filter(F.col("outcome") == MALFORMED)
-        ledger.append_quarantine(malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range")), batch)
+        with ledger.commit() as writer:
+            kept = kept.withColumn("ingest_batch", F.lit(writer.batch).cast("bigint"))
+            writer.append_events(kept.filter(F.col("outcome") == EVENT).select(*USAGE_EVENTS.names))
+            malformed = kept.filter(F.col("outcome") == MALFORMED)
+            writer.append_quarantine(
+                malformed.withColumn("reason", F.lit("not one JSON object, or a count out of range"))
+            )
