@@ -121,16 +121,16 @@ def test_huge_lines_and_counts(spark, tmp_path):
     lines = [
         '{"type":"assistant","pad":"%s","message":{"usage":{"output_tokens":3}}}' % ("x" * 25_000_000),
         '{"type":"assistant","pad":%s1%s,"message":{"usage":{"output_tokens":4}}}' % ("[" * 1200, "]" * 1200),
-        damaged_usage('"output_tokens":1e13'),
-        damaged_usage('"input_tokens":1000000000000'),
+        damaged_usage('"output_tokens":9007199254740994'),
+        damaged_usage('"input_tokens":9007199254740992,"output_tokens":1e13'),
     ]
     write_log(str(tmp_path / "p/s.jsonl"), lines)
     good, bad = split(read(spark, tmp_path, "claude_code"))
     assert [(r["line_no"], r["input_tokens"], r["output_tokens"]) for r in good] == [
-        (0, 0, 3), (1, 0, 4), (3, 10**12, 0),
+        (0, 0, 3), (1, 0, 4), (3, 2**53, 10**13),
     ]
     assert [r["line_no"] for r in bad] == [2]
-    write_log(str(tmp_path / "b/r.jsonl"), [totals("2026-01-15T10:00:00Z", 5, 10**14, 1, 1)])
+    write_log(str(tmp_path / "b/r.jsonl"), [totals("2026-01-15T10:00:00Z", 5, 10**16, 1, 1)])
     good, bad = split(read(spark, tmp_path / "b", "codex"))
     assert (len(good), len(bad)) == (0, 1)
 

@@ -11,7 +11,7 @@ from turnledger.functions.paths import file_stem, plain_path, project_from_path,
 from turnledger.plans import recipes, reports
 from turnledger.plans.adhoc import as_json, query, register_views, write_json
 from turnledger.plans.coverage import coverage, ledger_meta, under_roots
-from turnledger.schema import MANIFEST, SCAN_STATE
+from turnledger.schema import MANIFEST, SCAN_STATE, TOKEN_COLS
 from turnledger.session import shared_dir
 from turnledger.sources.files import Source
 from turnledger.sources.pricing import bundled_pricing
@@ -163,6 +163,23 @@ def test_adhoc_queries(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()["value"] == '{"a":1,"b":null}'
 
 
+def test_sums_are_exact_and_stop_at_64_bits(spark):
+    counts = [2**53, 2**53 - 1, 1, 0, 10**13, 67_108_863, 67_108_864]
+    rows = [usage(f"k{i}", "opencode", "s", i, (counts[i % 7], 2**53, 1, 0, i), i) for i in range(2100)]
+    turns = events(spark, rows)
+    report = reports.daily_report(turns, bundled_pricing(spark))
+    row, total = report.rows.first(), report.totals.first()
+    want = [300 * sum(counts), min(2100 * 2**53, 2**63 - 1), 2100, 0, sum(range(2100))]
+    assert [row[c] for c in TOKEN_COLS] == [total[c] for c in TOKEN_COLS] == want
+    assert row["total_tokens"] == total["total_tokens"] == 2**63 - 1
+    assert recipes.output_by_tool(turns).first()["output"] == 2**63 - 1
+    days = reports.by_day(turns)
+    assert reports.cache_band(days).count() == 1 and reports.trend(days).count() == 1
+    assert reports.by_tool(turns, bundled_pricing(spark)).first()["total_tokens"] == 2**63 - 1
+    none = reports.daily_report(events(spark, []), bundled_pricing(spark)).totals.first()
+    assert [none[c] for c in TOKEN_COLS] == [0] * 5
+
+
 @pytest.fixture
 def views(spark):
     turns = month_of_turns(spark)

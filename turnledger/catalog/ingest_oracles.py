@@ -134,6 +134,20 @@ INGEST_ORACLES: dict[str, str] = {
     + f"SELECT turn_key, session_id, model, ts, project, {_TOKENS} FROM b",
     "parse_b_turns": _with(_B, _B_TURNS) + f"SELECT {_TURN_LIST} FROM b_turns",
     "parse_c": _with(_C) + f"SELECT dedupe_key, session_id, model, ts, project, {_TOKENS} FROM c",
+    "parse_damaged": """WITH great AS (
+  SELECT CAST(ts AS DATE) AS d, event_id % 4 = 2 AS damaged, CAST(event_id AS HUGEINT) AS said,
+    CAST(CASE event_id % 4 WHEN 0 THEN 10000000000000 + event_id WHEN 1 THEN 9007199254740992
+      WHEN 3 THEN event_id END AS HUGEINT) AS heard
+  FROM events
+), days AS (
+  SELECT CAST(d AS VARCHAR) AS date, 'claude_code' AS tool, sum(heard) AS heard, sum(said) AS said
+  FROM great WHERE NOT damaged GROUP BY d
+  UNION ALL SELECT 'TOTAL', '', sum(heard), sum(said) FROM great WHERE NOT damaged
+  UNION ALL SELECT 'malformed', 'claude_code', count(*), 0 FROM great WHERE damaged
+)
+SELECT date, tool, CAST(least(heard, 9223372036854775807) AS BIGINT) AS input_tokens,
+  CAST(said AS BIGINT) AS output_tokens, CAST(least(heard + said, 9223372036854775807) AS BIGINT) AS total_tokens
+FROM days""",
     "malformed_counts": _with(_A, _B, _C, _OUTCOMES)
     + "SELECT tool, outcome, count(*) AS n_lines FROM outcomes GROUP BY tool, outcome",
     "line_offsets": _with(_A, _B, _C, _OUTCOMES)

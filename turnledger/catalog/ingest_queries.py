@@ -13,6 +13,7 @@ from turnledger.catalog.logs import (
     overwrite_logs,
     write_all_logs,
     write_entry_logs,
+    write_great_count_logs,
     write_message_logs,
     write_running_total_logs,
 )
@@ -20,6 +21,7 @@ from turnledger.operators.deltas import turn_usage
 from turnledger.plans.adhoc import ROW_CAP, query, register_views
 from turnledger.plans.coverage import all_unpriced_models, coverage, ledger_meta
 from turnledger.plans.read_logs import read_logs
+from turnledger.plans.reports import daily_report
 from turnledger.plans.sync import sync
 from turnledger.schema import TOKEN_COLS, TURN_COLS
 from turnledger.session import configure, scratch_path
@@ -77,6 +79,23 @@ def parse_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parse_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of up to 2^53 through the daily report with its totals, where sums stop at 2^63 - 1,
+    and the lines beyond it as one more row."""
+    rows = read_logs(spark, [write_great_count_logs(configure(spark), sf_dir)])
+    events = _events_of(rows).withColumn("ingest_batch", F.lit(0).cast("bigint"))
+    report = daily_report(turn_usage(events, cumulative_tools()), bundled_pricing(spark))
+    columns = ["date", "tool", "input_tokens", "output_tokens", "total_tokens"]
+    damaged = rows.filter(F.col("outcome") == "malformed").groupBy("outcome", "tool").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    damaged = damaged.select(
+        F.col("outcome").alias("date"), "tool", F.col("n").alias("input_tokens"),
+        F.lit(0).cast("bigint").alias("output_tokens"), F.col("n").alias("total_tokens"),
+    )
+    return report.rows.select(*columns).unionByName(report.totals.select(*columns)).unionByName(damaged)
+
+
 def malformed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines per tool and outcome."""
     rows = read_logs(spark, write_all_logs(configure(spark), sf_dir))
@@ -369,6 +388,7 @@ INGEST_QUERIES: dict[str, Query] = {
         parse_b_context,
         parse_b_turns,
         parse_c,
+        parse_damaged,
         malformed_counts,
         line_offsets,
         sync_audit,

@@ -113,6 +113,26 @@ def write_message_logs(spark: SparkSession, sf_dir: str) -> Source:
     return Source("claude_code", (f"{root}/projects",), TEXT_GLOB)
 
 
+def write_great_count_logs(spark: SparkSession, sf_dir: str) -> Source:
+    """``events`` as messages with counts of up to 2^53, and a quarter beyond what is exact."""
+    n = F.col("event_id")
+    great = (
+        F.when(n % 4 == 0, F.lit(10_000_000_000_000) + n)
+        .when(n % 4 == 1, F.lit(2**53))
+        .when(n % 4 == 2, F.lit(2**53) + 2 * n + 2)
+        .otherwise(n)
+    )
+    usage = _object(_pair("input_tokens", _number(great)), _pair("output_tokens", _number(n)))
+    message = _object(
+        _pair("id", _text(F.concat(F.lit("great-"), n))), _pair("model", _text(F.lit("gpt-5"))), _pair("usage", usage)
+    )
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    line = _object(_pair("type", _text(F.lit("assistant"))), _pair("timestamp", _number(seconds)), _pair("message", message))
+    root = scratch_path(spark, "great-logs")
+    _write(table(spark, sf_dir, "events").select(line.alias("value")), f"{root}/projects/-great")
+    return Source("claude_code", (f"{root}/projects",), TEXT_GLOB)
+
+
 def write_running_total_logs(spark: SparkSession, sf_dir: str, kept: str = "true") -> Source:
     """``conversations`` as one file per conversation with running totals.
 

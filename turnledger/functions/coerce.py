@@ -27,8 +27,8 @@ HTTP_TIMESTAMP = r"^[A-Za-z]{3}, \d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} GMT
 SLASHED_TIMESTAMP = r"^\d{4}/\d{1,2}/\d{1,2}( \d{2}:\d{2}:\d{2})?$"
 # Seconds of the years 1 to 9999; what lies outside is no time.
 FIRST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
-# Counts above this are damage, and sums of counts below it stay within 64 bits.
-MAX_COUNT = 1_000_000_000_000
+# A JSON number above this cannot be an exact count.
+MAX_COUNT = 2**53
 # ----------------------------------------------------------------------------
 
 # Lines are read whole: no limit on the length of a string or on nesting.

@@ -5,20 +5,53 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 from turnledger.schema import TOKEN_COLS
 
 
+# --- fixed values -----------------------------------------------------------
+# Sums stop here. Counts have up to 53 bits, so a thousand of them may pass 64 bits.
+MOST = 2**63 - 1
+# ----------------------------------------------------------------------------
+
+# A count is summed in two parts, of which neither can pass 64 bits below 2^36 rows.
+_LOW_BITS = 26
+
+
+def _bounded(whole: Column) -> Column:
+    """An exact decimal as a count, at most ``MOST``; null stays null."""
+    most = F.lit(MOST).cast("decimal(38,0)")
+    return F.when(whole > most, most).otherwise(whole).cast("bigint")
+
+
+def sum_counts(count: Column | str, over: WindowSpec | None = None) -> Column:
+    """Exact sum of counts, at most ``MOST``; null without any.
+
+    Both parts are sums of 64-bit integers, which cost far less than sums of decimals.
+    """
+    count = F.col(count) if isinstance(count, str) else count
+    low = F.sum(count.bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("bigint")))
+    high = F.sum(F.shiftright(count, _LOW_BITS))
+    if over is not None:
+        low, high = low.over(over), high.over(over)
+    return _bounded(high.cast("decimal(20,0)") * F.lit(1 << _LOW_BITS).cast("decimal(10,0)") + low.cast("decimal(20,0)"))
+
+
+def add_counts(*counts: str) -> Column:
+    """Exact sum of a row's counts, at most ``MOST``."""
+    return _bounded(reduce(add, (F.col(c).cast("decimal(20,0)") for c in counts)))
+
+
 def total_tokens() -> Column:
     """All five token classes of the row."""
-    return reduce(add, (F.col(c) for c in TOKEN_COLS))
+    return add_counts(*TOKEN_COLS)
 
 
 def sum_tokens() -> list[Column]:
     """One sum per token class, under the class's own name."""
-    return [F.sum(c).alias(c) for c in TOKEN_COLS]
+    return [sum_counts(c).alias(c) for c in TOKEN_COLS]
 
 
 def share(part: Column, whole: Column) -> Column:

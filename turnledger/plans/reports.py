@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.functions.dates import day_bounds, last_days, local_day
-from turnledger.functions.tokens import share, sum_tokens, total_tokens
+from turnledger.functions.tokens import add_counts, share, sum_counts, sum_tokens, total_tokens
 from turnledger.operators.costs import floor_sum, strict_sum, usd, with_cost
 from turnledger.schema import TOKEN_COLS
 from turnledger.sources.pricing import Pricing
@@ -107,7 +107,7 @@ def daily_report(
 def _daily_totals(folded: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     sums = folded.agg(
-        *[F.coalesce(F.sum(c), zero).alias(c) for c in TOKEN_COLS],
+        *[F.coalesce(sum_counts(c), zero).alias(c) for c in TOKEN_COLS],
         strict_sum(F.col("micros")).alias("micros"),
     )
     return sums.select(
@@ -204,8 +204,8 @@ def by_tool(turns: DataFrame, pricing: Pricing, tz: str = "UTC") -> DataFrame:
         .withColumn("total_tokens", total_tokens())
     )
     tools = days.groupBy("tool").agg(
-        F.sum("total_tokens").alias("total_tokens"),
-        F.sum("cache_read_tokens").alias("cache_read_tokens"),
+        sum_counts("total_tokens").alias("total_tokens"),
+        sum_counts("cache_read_tokens").alias("cache_read_tokens"),
         floor_sum(F.col("micros")).alias("micros"),
         F.bool_or(F.col("micros").isNull()).alias("has_unpriced"),
         F.count(F.lit(1)).alias("active_days"),
@@ -245,14 +245,14 @@ def cache_band(days: DataFrame, last: int = CACHE_BAND_DAYS) -> DataFrame:
     recent = days.orderBy(F.desc("date")).limit(last).select(
         "date",
         F.col("cache_read_tokens").alias("cache"),
-        (F.col("input_tokens") + F.col("cache_write_tokens")).alias("fresh"),
-        (F.col("output_tokens") + F.col("reasoning_tokens")).alias("out"),
+        add_counts("input_tokens", "cache_write_tokens").alias("fresh"),
+        add_counts("output_tokens", "reasoning_tokens").alias("out"),
     )
-    total = F.col("cache") + F.col("fresh") + F.col("out")
+    total = add_counts("cache", "fresh", "out")
     # At most ``last`` rows reach the unpartitioned window.
     everything = Window.partitionBy()
     overall = F.coalesce(
-        share(F.sum("cache").over(everything), F.sum("total").over(everything)), F.lit(0.0)
+        share(sum_counts("cache", everything), sum_counts("total", everything)), F.lit(0.0)
     )
     return (
         recent.withColumn("total", total)
