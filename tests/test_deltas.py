@@ -4,7 +4,7 @@ import pytest
 from helpers import events, usage
 
 from turnledger.operators.deltas import difference_in_chunks, turn_usage, turns_between
-from turnledger.schema import TOKEN_COLS
+from turnledger.schema import TOKEN_COLS, USAGE_EVENTS
 
 
 def deltas(df, *names):
@@ -115,3 +115,40 @@ def test_a_range_equals_the_filtered_view(spark, low, high):
         whole = whole.filter(f"ts < {high}")
     part = turns_between(frame, ("codex",), low, high)
     assert sorted(map(tuple, part.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_heads_stand_in_for_earlier_rows(spark, tmp_path, monkeypatch, pieces):
+    """A ledger filled in pieces, out of order, against the view over all rows at once."""
+    import datetime as dt
+
+    from turnledger.operators import deltas as module
+    from turnledger.sources.ledger import Ledger
+
+    monkeypatch.setattr(module, "HEAD_SECONDS", 7200)
+    draw = random.Random(pieces)
+    start = 1_700_006_400
+    rows = [
+        usage(
+            f"k{i}", draw.choice(["codex", "codex", "opencode"]), f"s{draw.randrange(4)}",
+            start + draw.randrange(40) * 3600, tuple(draw.randrange(100) for _ in TOKEN_COLS), i,
+            cumulative=False, ingest_batch=i % pieces,
+        )
+        for i in range(200)
+    ]
+    names = USAGE_EVENTS.names
+    flag = names.index("is_cumulative")
+    rows = [(*r[:flag], r[names.index("tool")] == "codex", *r[flag + 1 :]) for r in rows]
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    for piece in range(pieces):
+        with ledger.commit() as writer:
+            writer.append_events(events(spark, [r for i, r in enumerate(rows) if i % pieces == piece]))
+    whole = turn_usage(events(spark, rows), ("codex",))
+    assert sorted(map(tuple, ledger.turns().collect())) == sorted(map(tuple, whole.collect()))
+    day = dt.datetime.fromtimestamp(start, dt.UTC).date()
+    low, high = day + dt.timedelta(days=2), day + dt.timedelta(days=2)
+    part = ledger.turns(low.isoformat(), high.isoformat())
+    bounds = [int(dt.datetime(d.year, d.month, d.day, tzinfo=dt.UTC).timestamp()) for d in (low, high)]
+    inside = whole.filter(whole.ts >= bounds[0] - 86400).filter(whole.ts < bounds[1] + 172800)
+    assert 0 < inside.count() < 200
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, inside.collect()))

@@ -68,10 +68,11 @@ def test_date_range_reaches_the_ledger_scan(spark, ledger):
     text = plan(report.rows)
     scans = [line for line in text.splitlines() if "FileScan parquet" in line]
     bypass = [s for s in scans if "NOT (tool" in s]
-    assert len(scans) == 2 and len(bypass) == 1
+    heads = [s for s in scans if "reading" in s]
+    assert len(scans) == 3 and len(bypass) == len(heads) == 1
     assert "GreaterThanOrEqual(ts," in bypass[0] and "LessThan(ts," in bypass[0]
     # Of a view over all days, readings before the range are needed for the deltas inside it.
-    assert "(ts," not in [s for s in scans if s not in bypass][0]
+    assert "(ts," not in [s for s in scans if s not in bypass and s not in heads][0]
     assert "source_file" not in bypass[0].split("ReadSchema")[1]
     assert report.rows.count() == 1
 
@@ -80,14 +81,26 @@ def test_a_ranged_view_windows_its_range_only(spark, ledger):
     days = ("2023-11-01", "2023-11-30")
     turns = ledger.turns(*days)
     scans = [line for line in plan(turns).splitlines() if "FileScan parquet" in line]
-    assert scans and all("LessThan(ts," in s for s in scans)
-    seeds = [s for s in scans if "GreaterThanOrEqual(ts," not in s]
-    # Earlier rows are only combined to one a session.
-    assert len(seeds) == 1 and "partial_max_by" in plan(turns)
+    assert scans and all("LessThan(ts," in s for s in scans if "reading" not in s)
+    # Earlier rows are not read at all: the heads of their sessions are.
+    heads = [s for s in scans if "reading" in s]
+    assert len(heads) == 1 and "LessThanOrEqual(span," in heads[0]
+    assert all("GreaterThanOrEqual(ts," in s for s in scans if s not in heads)
     report = reports.daily_report(turns, bundled_pricing(spark), "Asia/Tokyo", *days)
     assert report.rows.count() == 1
 
 
+def test_a_view_of_a_ledger_runs_no_job(spark, ledger):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("view", "building a view")
+    try:
+        ledger.turns()
+        ledger.turns("2023-11-01", "2023-11-30")
+        assert len(tracker.getJobIdsForGroup("view")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_one_tool_reads_its_partition_without_a_window(ledger):
     text = plan(reports.filter_turns(ledger.turns(), tool="claude_code"))
     assert "Window" not in text and "Exchange" not in text

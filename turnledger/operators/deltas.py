@@ -13,6 +13,8 @@ from turnledger.schema import ORDER_COLS, SESSION_KEY, TOKEN_COLS, TURN_COLS
 # A session above this many rows is split over several tasks.
 HOT_SESSION_ROWS = 2_000_000
 CHUNK_ROWS = 1_000_000
+# Length of a span of a session that has a head.
+HEAD_SECONDS = 3600
 # Hot session keys are broadcast only up to this count.
 MAX_BROADCAST_KEYS = 10_000
 
@@ -96,6 +98,70 @@ def turns_between(
     return _passed_through(inside.filter(~in_list)).unionByName(differenced.filter(F.col("ts") >= low))
 
 
+# --- heads: the last reading of a session in each span of time ----------------------
+
+
+def session_heads(events: DataFrame) -> DataFrame:
+    """Of every session and span the rows, and the last reading with its place in the order."""
+    place = F.struct(*_TURN_ORDER)
+    return (
+        events.withColumn("span", F.floor(F.col("ts") / HEAD_SECONDS).cast("bigint"))
+        .groupBy(*SESSION_KEY, "span")
+        .agg(
+            F.max_by(F.struct(*TOKEN_COLS), place).alias("reading"),
+            F.max(place).alias("place"),
+            F.count(F.lit(1)).alias("n_rows"),
+        )
+    )
+
+
+def merged_heads(heads: DataFrame) -> DataFrame:
+    """One row a session and span, whichever commits its rows came with."""
+    return heads.groupBy(*SESSION_KEY, "span").agg(
+        F.max_by("reading", "place").alias("reading"),
+        F.max("place").alias("place"),
+        F.sum("n_rows").alias("n_rows"),
+    )
+
+
+def turns_with_heads(
+    events: DataFrame, heads: DataFrame, cumulative_tools: Sequence[str], low: int | None, high: int | None
+) -> DataFrame:
+    """The per-turn view of rows with ``low <= ts < high``, differenced span by span.
+
+    The first row of a session in a span is differenced against the head of the span before.
+    So only rows of the range are read, no session has to fit one task, and the plan needs no
+    look at the data when it is made. ``heads`` are those of all rows of the tools with running
+    totals, in one or more pieces.
+    """
+    first = None if low is None else low // HEAD_SECONDS
+    if high is not None:
+        events = events.filter(F.col("ts") < high)
+        heads = heads.filter(F.col("span") <= (high - 1) // HEAD_SECONDS)
+    by_session = Window.partitionBy(*SESSION_KEY).orderBy("span")
+    carried = merged_heads(heads).select(*SESSION_KEY, "span", F.lag("reading").over(by_session).alias("carry"))
+    rows = events.filter(F.col("tool").isin(*cumulative_tools))
+    if first is not None:
+        rows = rows.filter(F.col("ts") >= first * HEAD_SECONDS)
+        carried = carried.filter(F.col("span") >= first)
+    in_span = Window.partitionBy(*SESSION_KEY, "span").orderBy(*_TURN_ORDER)
+    lagged = rows.withColumn("span", F.floor(F.col("ts") / HEAD_SECONDS).cast("bigint")).withColumns(
+        {f"previous_{c}": F.lag(c).over(in_span) for c in TOKEN_COLS}
+    )
+    zero = F.lit(0).cast("bigint")
+    # Rows of a span lie together for the window; the heads, far fewer, are brought to them.
+    differenced = lagged.join(carried.hint("shuffle_hash"), [*SESSION_KEY, "span"], "left").select(
+        *[
+            _delta(c, F.coalesce(F.col(f"previous_{c}"), F.col(f"carry.{c}"), zero)) if c in TOKEN_COLS else F.col(c)
+            for c in (*TURN_COLS, *ORDER_COLS)
+        ]
+    )
+    others = events.filter(~F.col("tool").isin(*cumulative_tools))
+    if low is not None:
+        differenced, others = differenced.filter(F.col("ts") >= low), others.filter(F.col("ts") >= low)
+    return _passed_through(others).unionByName(differenced)
+
+
 def _difference(
     rows: DataFrame, sized: DataFrame, hot_session_rows: int, chunk_rows: int
 ) -> DataFrame:

@@ -99,3 +99,26 @@ QUARANTINE = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+
+# The last reading of a session in a span of time, and its place in the turn order.
+SESSION_HEADS = T.StructType(
+    [
+        T.StructField("tool", T.StringType()),
+        T.StructField("session_id", T.StringType()),
+        T.StructField("span", T.LongType()),
+        T.StructField("reading", T.StructType([T.StructField(c, T.LongType()) for c in TOKEN_COLS])),
+        T.StructField(
+            "place",
+            T.StructType(
+                [
+                    T.StructField("ts", T.LongType()),
+                    T.StructField("ingest_batch", T.LongType()),
+                    T.StructField("tool_rank", T.IntegerType()),
+                    T.StructField("source_file", T.StringType()),
+                    T.StructField("line_no", T.LongType()),
+                ]
+            ),
+        ),
+        T.StructField("n_rows", T.LongType()),
+    ]
+)

@@ -9,9 +9,9 @@ of files read, stays flat however many commits there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from turnledger.functions.dates import day_bounds
 from turnledger.operators.dedupe import first_wins
-from turnledger.operators.deltas import turns_between
-from turnledger.schema import FILE_STATE, QUARANTINE, SCAN_STATE, USAGE_EVENTS
+from turnledger.operators.deltas import merged_heads, session_heads, turns_between, turns_with_heads
+from turnledger.schema import FILE_STATE, QUARANTINE, SCAN_STATE, SESSION_HEADS, USAGE_EVENTS
 from turnledger.sources.commits import Commit, CommitLog, Part
 from turnledger.sources.dialects import cumulative_tools
 
@@ -40,7 +40,12 @@ _STORED_STATE = T.StructType(
 _STORED_QUARANTINE = T.StructType(
     [*QUARANTINE.fields, T.StructField("ingest_batch", T.LongType())]
 )
-_STORED = {"events": _STORED_EVENTS, "state": _STORED_STATE, "quarantine": _STORED_QUARANTINE}
+_STORED = {
+    "events": _STORED_EVENTS,
+    "state": _STORED_STATE,
+    "quarantine": _STORED_QUARANTINE,
+    "heads": SESSION_HEADS,
+}
 _LINE = ("source_file", "line_no", "raw_md5")
 
 
@@ -86,13 +91,21 @@ class Ledger:
         """Raw usage rows as parsed, running totals included."""
         return self._rows("events").select(*USAGE_EVENTS.names)
 
-    def turns(self, since: str | None = None, until: str | None = None) -> DataFrame:
+    def turns(
+        self, since: str | None = None, until: str | None = None, cumulative: Sequence[str] | None = None
+    ) -> DataFrame:
         """The per-turn view; with days, only what a report on that range can use.
 
         The range is a day wider on both sides, for any time zone; reports take the same
-        days and filter exactly.
+        days and filter exactly. Rows before the range are not read: the stored heads of the
+        sessions stand in for them. ``cumulative`` are the tools with running totals.
         """
-        return turns_between(self.events(), cumulative_tools(), *day_bounds(since, until))
+        commit = self.log.latest()
+        events = self._rows("events", commit).select(*USAGE_EVENTS.names)
+        tools, bounds = cumulative or cumulative_tools(), day_bounds(since, until)
+        if not commit.headed:
+            return turns_between(events, tools, *bounds)
+        return turns_with_heads(events, self._rows("heads", commit), tools, *bounds)
 
     def scan_state(self) -> DataFrame:
         """Latest state of every log file."""
@@ -156,7 +169,7 @@ class Writer:
     def __init__(self, ledger: Ledger, base: Commit):
         self.ledger, self.base = ledger, base
         self.batch = ledger.log.next_number(base)
-        self.next = Commit(self.batch, base.events, base.state, base.quarantine, base.dropped)
+        self.next = replace(base, number=self.batch)
 
     def append_events(self, rows: DataFrame) -> dict[str, int]:
         """Append the rows whose keys are new, first row wins; returns new rows by tool.
@@ -170,9 +183,21 @@ class Writer:
         path = f"events/part={self.batch:010d}"
         found = self._write_events(unseen, path, bits, counts)
         added = {tool: found[f"n{i}"] for i, tool in enumerate(tools)}
-        self._add("events", Part(path, sum(added.values()), bits))
+        part = Part(path, sum(added.values()), bits)
+        self._add("events", part)
+        self._append_heads((part,) if part.rows else ())
         return added
 
+    def _append_heads(self, parts: tuple[Part, ...]) -> None:
+        """Heads of new events; of all events, if those stored have none yet."""
+        if not self.next.headed:
+            parts = (*self.base.events, *parts)
+        if parts:
+            path = f"heads/{self.batch:010d}"
+            heads = session_heads(self.ledger._read("events", parts)).hint("rebalance")
+            self._add("heads", Part(path, self._write(heads.select(*SESSION_HEADS.names), path)))
+        self.next = replace(self.next, headed=True)
+
     def append_state(self, rows: DataFrame) -> None:
         """Upsert file states: the row of the highest batch is a file's state."""
         self._append("state", rows.select(*FILE_STATE.names))
@@ -228,10 +253,8 @@ class Writer:
             parts = getattr(self.next, kind)
             if len(parts) > MAX_PARTS:
                 small = tuple(sorted(parts, key=lambda p: p.rows)[:MERGED_PARTS])
-                merged = self._merge(kind, small if kind != "state" else parts)
-                self.next = self.next.following(
-                    kind, (*(p for p in parts if p not in small and kind != "state"), merged)
-                )
+                merged = self._merge(kind, small)
+                self.next = self.next.following(kind, (*(p for p in parts if p not in small), merged))
         self.ledger.log.publish(self.base, self.next)
 
     def _merge(self, kind: str, parts: tuple[Part, ...]) -> Part:
@@ -242,6 +265,7 @@ class Writer:
             bits = bucket_bits(n)
             self._write_events(rows.select(*USAGE_EVENTS.names), path, bits, [])
             return Part(path, n, bits)
-        # Of a file's states only the latest is of use.
-        rows = _latest_states(rows) if kind == "state" else rows
+        # Of a file's states only the latest is of use, of a session's heads in a span too.
+        one_each = {"state": _latest_states, "heads": merged_heads}
+        rows = one_each[kind](rows) if kind in one_each else rows
         return Part(path, self._write(rows.select(*_STORED[kind].names).hint("rebalance"), path))
