@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from turnledger.catalog.ingest_queries import SCANNED_AT
-from turnledger.catalog.oracles import _EV, _PRICES, _RATES, _turns, _with
+from turnledger.catalog.oracles import ORACLES, _EV, _PRICES, _RATES, _turns, _with
 from turnledger.schema import TOKEN_COLS, TURN_COLS
 from turnledger.sources.price_list import PRICE_LIST_UPDATED
 
@@ -194,6 +194,7 @@ FROM stored GROUP BY tool""",
 FROM b_lines GROUP BY conv_id""",
     "ledger_sessions": _with(*_ALL, _STORED)
     + f"SELECT tool, session_id, count(*) AS turns, {_SUMS} FROM stored GROUP BY tool, session_id",
+    "ledger_turns_range": ORACLES["turn_deltas_range"],
     "coverage_report": _with(*_ALL, _STORED, _PRICES, _RATES.format(source="stored"))
     + """SELECT tool, true AS detected, CAST(1 AS BIGINT) AS n_roots, true AS all_scanned, string_agg(DISTINCT model, ',' ORDER BY model) AS models,
   coalesce(string_agg(DISTINCT CASE WHEN prefix IS NULL THEN model END, ',' ORDER BY

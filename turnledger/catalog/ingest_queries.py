@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnledger.catalog.adapters import EVENT_CUMULATIVE, table, usage_from_events
+from turnledger.catalog.queries import SINCE, UNTIL
 from turnledger.catalog.logs import (
     TEXT_GLOB,
     overwrite_logs,
@@ -18,6 +19,7 @@ from turnledger.catalog.logs import (
     write_running_total_logs,
 )
 from turnledger.operators.deltas import turn_usage
+from turnledger.operators.pinning import pin
 from turnledger.plans.adhoc import ROW_CAP, query, register_views
 from turnledger.plans.coverage import all_unpriced_models, coverage, ledger_meta
 from turnledger.plans.read_logs import read_logs
@@ -248,6 +250,17 @@ def ledger_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger_turns_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-turn view of some days of a ledger filled by three commits, from their rows and
+    the stored heads of their sessions."""
+    rows = pin(usage_from_events(configure(spark), sf_dir), "usage-rows")
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    for piece in range(3):
+        with ledger.commit() as writer:
+            writer.append_events(rows.filter(F.col("line_no") % 3 == piece))
+    return ledger.turns(SINCE, UNTIL, EVENT_CUMULATIVE).select("line_no", *TURN_COLS)
+
+
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models and unpriced models per tool of a synced ledger; all files scanned."""
     sources, path, _ = _synced(spark, sf_dir)
@@ -398,6 +411,7 @@ INGEST_QUERIES: dict[str, Query] = {
         sync_rotated,
         state_after,
         ledger_sessions,
+        ledger_turns_range,
         coverage_report,
         coverage_unpriced,
         meta,
