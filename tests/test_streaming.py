@@ -1,10 +1,11 @@
+import pytest
 from helpers import assistant, events, usage, write_log
 
 from turnledger.operators.deltas import turn_usage
 from turnledger.schema import TOKEN_COLS
 from turnledger.sources.ledger import Ledger
 from turnledger.streaming.deltas import turn_stream
-from turnledger.streaming.ingest import stream_ingest
+from turnledger.streaming.ingest import stream_ingest, usage_stream
 
 
 def test_closed_files_and_replays(spark, tmp_path):
@@ -28,6 +29,40 @@ def test_closed_files_and_replays(spark, tmp_path):
     assert ledger.quarantine().count() == 1
 
 
+def test_replays_within_the_watermark_are_dropped(spark, tmp_path):
+    folder = f"{tmp_path}/in"
+    day = 86_400
+
+    def run():
+        (
+            usage_stream(spark, "claude_code", folder, "2 days")
+            .writeStream.format("parquet")
+            .option("path", f"{tmp_path}/out")
+            .option("checkpointLocation", f"{tmp_path}/ck")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+        rows = spark.read.parquet(f"{tmp_path}/out").select("dedupe_key", "session_id", "project").collect()
+        return sorted(map(tuple, rows))
+
+    def said(name, at, session=None):
+        return assistant(name, "r", {"input_tokens": 1}, timestamp=1_700_000_000 + at, sessionId=session)
+
+    write_log(f"{folder}/projects/-w/1.jsonl", [said("a", 0, "one"), said("b", 0), "{bad"])
+    first = [("cc:a:r", "one", "/w"), ("cc:b:r", "1", "/w")]
+    assert run() == first
+    # A late replay inside two days, and a new message that moves time on.
+    write_log(f"{folder}/projects/-w/2.jsonl", [said("a", 0, "two"), said("c", 10 * day)])
+    second = sorted([*first, ("cc:c:r", "2", "/w")])
+    assert run() == second
+    # Behind the watermark rows are dropped; a repeat of the newest one is known.
+    write_log(f"{folder}/projects/-w/3.jsonl", [said("d", 0), said("c", 10 * day, "again")])
+    assert run() == second
+    with pytest.raises(ValueError, match="codex"):
+        usage_stream(spark, "codex", folder, "1 day")
+
+
 def test_stream_deltas_keep_large_counters(spark, tmp_path):
     values = [2**53 + 1, 2**53 + 4]
     rows = [

@@ -226,6 +226,8 @@ FROM manifest LEFT JOIN state USING (key)""",
     "adhoc_truncated": "SELECT least(count(*), 1000) AS returned, count(*) > 1000 AS truncated, "
     f"count(*) AS total_rows FROM ({_ADHOC})",
     "stream_ingest_logs": _with(_A) + f"SELECT {_A_ROW} FROM a WHERE copy = 0",
+    "stream_replays": _with(_A)
+    + f"SELECT dedupe_key, model, ts, is_sidechain, project, {_TOKENS} FROM a WHERE copy = 0",
     "stream_deltas": _with(_EV, _turns("ev", "line_no"))
     + f"SELECT line_no, {_TURN_LIST} FROM turns",
 }

@@ -32,7 +32,7 @@ from turnledger.sources.files import classify, discover, list_files
 from turnledger.sources.ledger import Ledger
 from turnledger.sources.pricing import bundled_pricing
 from turnledger.streaming.deltas import turn_stream
-from turnledger.streaming.ingest import stream_ingest
+from turnledger.streaming.ingest import stream_ingest, usage_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -367,6 +367,28 @@ def stream_ingest_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stream_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-message logs as a stream that remembers keys for a time: replays inside it are dropped."""
+    source = write_message_logs(configure(spark), sf_dir)
+    base = scratch_path(spark, "stream-replays")
+    # Originals and replays arrive in one order or the other, a few files at a time; all lie within
+    # the time remembered.
+    rows = usage_stream(spark, source.tool, source.roots[0], "400 days", TEXT_GLOB, files_per_trigger=3)
+    (
+        rows.writeStream.format("parquet")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    # The session is that of whichever copy came first.
+    return spark.read.parquet(f"{base}/out").select(
+        "dedupe_key", "model", "ts", "is_sidechain", "project", *TOKEN_COLS
+    )
+
+
 def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals arriving in three time slices, differenced with state."""
     events = usage_from_events(configure(spark), sf_dir)
@@ -420,6 +442,7 @@ INGEST_QUERIES: dict[str, Query] = {
         adhoc_all,
         adhoc_truncated,
         stream_ingest_logs,
+        stream_replays,
         stream_deltas,
     )
 }

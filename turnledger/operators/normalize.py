@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnledger.functions.paths import file_stem, plain_path, project_from_path
 from turnledger.operators.file_order import in_file_order
 from turnledger.operators.pinning import pin
 from turnledger.schema import USAGE_COLS
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
-from turnledger.sources.dialects.common import line_facts
+from turnledger.sources.dialects.common import Dialect, line_facts
 
 _PLACE = ("split_start", "row_id", "line_bytes")
 
@@ -75,6 +76,23 @@ def place_and_bind(facts: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def bind_alone(facts: DataFrame, dialect: Dialect) -> DataFrame:
+    """Facts with the columns that depend on the path filled in, but nothing from other lines.
+
+    Right for dialects whose rows stand alone; works on streams too.
+    """
+    path = plain_path(F.col("file_path"))
+    placed = facts.withColumns(
+        {"source_file": path, "file_stem": file_stem(path), "file_project": project_from_path(path)}
+    )
+    known = {
+        **dialect.bind(),
+        "tool": F.lit(dialect.tool),
+        "is_cumulative": F.lit(dialect.cumulative),
+    }
+    return placed.select("outcome", *[known.get(c, F.col(c)).alias(c) for c in USAGE_COLS])
+
+
 def normalize(lines: DataFrame, tool: str, files: DataFrame) -> DataFrame:
     """One tool's lines to ``outcome`` and usage columns, with their place in the file."""
     return place_and_bind(read_facts({tool: lines}), files)

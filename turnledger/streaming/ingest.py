@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.functions.paths import plain_path
-from turnledger.operators.normalize import place_and_bind, read_facts
+from turnledger.operators.normalize import bind_alone, place_and_bind, read_facts
 from turnledger.operators.pinning import pin
-from turnledger.schema import USAGE_EVENTS
+from turnledger.schema import USAGE_COLS, USAGE_EVENTS
 from turnledger.session import configure, scratch_scope
-from turnledger.sources.dialects.common import EVENT, MALFORMED
+from turnledger.sources.dialects import DIALECTS
+from turnledger.sources.dialects.common import EVENT, MALFORMED, line_facts
 from turnledger.sources.files import LOG_GLOB, literal_path
 from turnledger.sources.ledger import Ledger
 
@@ -35,8 +36,22 @@ def stream_ingest(
     replayed session adds nothing, because the append checks keys. Growing files are
     the job of the batch sync.
     """
-    configure(spark)
-    lines = (
+    lines = _arriving_lines(configure(spark), folder, glob, files_per_trigger)
+    ledger = Ledger(spark, ledger_path)
+
+    def append(batch: DataFrame, _: int) -> None:
+        append_closed_files(batch, tool, ledger)
+
+    return (
+        lines.writeStream.foreachBatch(append)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _arriving_lines(spark: SparkSession, folder: str, glob: str, files_per_trigger: int) -> DataFrame:
+    return (
         spark.readStream.format("text")
         .option("lineSep", "\n")
         .option("recursiveFileLookup", True)
@@ -52,16 +67,34 @@ def stream_ingest(
             "value",
         )
     )
-    ledger = Ledger(spark, ledger_path)
 
-    def append(batch: DataFrame, _: int) -> None:
-        append_closed_files(batch, tool, ledger)
 
+def usage_stream(
+    spark: SparkSession,
+    tool: str,
+    folder: str,
+    within: str,
+    glob: str = LOG_GLOB,
+    files_per_trigger: int = FILES_PER_TRIGGER,
+) -> DataFrame:
+    """Usage rows of files as they arrive, as a stream for any sink, each key once.
+
+    Keys are remembered for ``within`` (``"2 days"``) of event time behind the newest row, so the
+    state stays bounded however long the stream runs. A replay that comes later than that passes
+    again; the append to a ledger, which checks all keys, does not have that limit. Rows older than
+    the watermark are dropped. Only logs whose rows stand alone can be read this way: running totals
+    need the order of their file and raise ``ValueError``.
+    """
+    dialect = DIALECTS[tool]
+    if dialect.cumulative:
+        raise ValueError(f"{tool}: rows depend on the lines before them")
+    lines = _arriving_lines(configure(spark), folder, glob, files_per_trigger)
+    rows = bind_alone(line_facts(lines, dialect), dialect).filter(F.col("outcome") == EVENT)
     return (
-        lines.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        rows.withColumn("event_time", F.timestamp_seconds("ts"))
+        .withWatermark("event_time", within)
+        .dropDuplicatesWithinWatermark(["dedupe_key"])
+        .select(*USAGE_COLS)
     )
 
 
