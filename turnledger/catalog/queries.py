@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from turnledger.catalog.adapters import (
     EVENT_CUMULATIVE,
-    LINE_CUMULATIVE,
     table,
     usage_from_events,
     usage_from_lineitem,
@@ -42,9 +41,10 @@ def line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The rows before de-duplication bound the session sizes without computing it twice.
+    # One window over all rows, as de-duplication has shuffled them anyway: two branches by tool
+    # would scan and de-duplicate twice. The rows before it bound the session sizes.
     every_row = usage_from_lineitem(spark, sf_dir)
-    return turn_usage(line_events(spark, sf_dir), LINE_CUMULATIVE, size_source=every_row)
+    return turn_usage(line_events(spark, sf_dir), size_source=every_row)
 
 
 # --- per-turn deltas --------------------------------------------------------

@@ -6,6 +6,7 @@ import re
 import time
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -33,6 +34,8 @@ from turnledger.sources.ranges import can_open, read_ranges
 
 # Files handled per commit; bounds the path list the driver holds.
 FILES_PER_BATCH = 100_000
+# Requests for the status of a file that are under way at once.
+STATUS_REQUESTS = 16
 
 
 @dataclass
@@ -174,19 +177,16 @@ def _read_present(spark: SparkSession, uris: list[str]) -> DataFrame | None:
     except AnalysisException as error:
         if not is_missing_path(error):
             raise
-        # A listed file vanished before the read: look for the culprits one by one.
-        present = [u for u in uris if _exists(spark, u)]
+        # A listed file vanished before the read: ask for the status of each, no job a file.
+        with ThreadPoolExecutor(STATUS_REQUESTS) as pool:
+            found = list(pool.map(lambda uri: _exists(spark, uri), uris))
+        present = [uri for uri, there in zip(uris, found, strict=True) if there]
         return read_lines(spark, present) if present else None
 
 
 def _exists(spark: SparkSession, uri: str) -> bool:
-    try:
-        read_lines(spark, [uri])
-        return True
-    except AnalysisException as error:
-        if not is_missing_path(error):
-            raise
-        return False
+    place = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def _commit(
