@@ -85,6 +85,12 @@ def test_an_interrupted_commit_is_not_seen(spark, tmp_path):
     assert sorted(r["dedupe_key"] for r in ledger.events().collect()) == ["b", "c"]
 
 
+def test_a_commit_takes_events_once(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="already"), Ledger(spark, str(tmp_path / "l")).commit() as writer:
+        writer.append_events(events(spark, [row("a")]))
+        writer.append_events(events(spark, [row("b")]))
+
+
 def test_a_reader_keeps_its_commit(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     with ledger.commit() as writer:

@@ -170,12 +170,14 @@ class Writer:
         self.ledger, self.base = ledger, base
         self.batch = ledger.log.next_number(base)
         self.next = replace(base, number=self.batch)
+        self._taken: set[str] = set()
 
     def append_events(self, rows: DataFrame) -> dict[str, int]:
         """Append the rows whose keys are new, first row wins; returns new rows by tool.
 
         ``rows`` should be a written table: it is read once for its keys and once for its rows.
         """
+        self._claim("events")
         bits = bucket_bits(rows.count())
         unseen = self.ledger.unseen(rows, self.base).select(*USAGE_EVENTS.names)
         tools = [r[0] for r in rows.select("tool").distinct().collect()]
@@ -218,6 +220,7 @@ class Writer:
         self._append("quarantine", new)
 
     def _append(self, kind: str, rows: DataFrame) -> None:
+        self._claim(kind)
         rows = rows.withColumn("ingest_batch", F.lit(self.batch).cast("bigint"))
         path = f"{kind}/{self.batch:010d}"
         self._add(kind, Part(path, self._write(rows.hint("rebalance"), path)))
@@ -243,6 +246,12 @@ class Writer:
         )
         return seen.get
 
+    def _claim(self, kind: str) -> None:
+        """A commit has one part of a kind: a second one would overwrite the first."""
+        if kind in self._taken:
+            raise RuntimeError(f"{kind} have been appended to this commit already")
+        self._taken.add(kind)
+
     def _add(self, kind: str, part: Part) -> None:
         if part.rows:
             self.next = self.next.following(kind, (*getattr(self.next, kind), part))
