@@ -7,12 +7,19 @@ not leave the reader.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnledger.catalog.adapters import event_model, table
 from turnledger.session import scratch_path
-from turnledger.sources.files import Source
+from turnledger.sources.files import Source, list_files
+from turnledger.sources.ranges import can_open, open_store
 
 # Spark's text sink names its files this way.
 TEXT_GLOB = "*.txt"
@@ -46,6 +53,46 @@ def _write(lines: DataFrame, folder: str) -> None:
     lines.select("value").write.text(folder)
 
 
+def _write_by_conversation(lines: DataFrame, folder: str) -> None:
+    """One file a conversation. ``lines`` lie by ``conv_id`` and in its order.
+
+    Spark's sink starts a process for the permissions of every local file, so the files are
+    written with Arrow where it knows the store.
+    """
+    if can_open(folder):
+        lines.select("conv_id", "value").mapInArrow(partial(_write_files, folder), "n bigint").write.format(
+            "noop"
+        ).mode("overwrite").save()
+    else:
+        lines.select("conv_id", "value").write.partitionBy("conv_id").text(folder)
+
+
+def _write_files(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store, base = open_store(folder)
+    held, values, n = None, [], 0
+
+    def finish() -> None:
+        own = f"{base}/conv_id={held}"
+        store.create_dir(own)
+        # Written aside first: a second attempt of the task leaves whole files too.
+        aside = f"{own}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(aside) as out:
+            out.write("".join(f"{value}\n" for value in values).encode())
+        store.move(aside, f"{own}/log-{held}.txt")
+
+    for batch in batches:
+        for conv_id, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if conv_id != held and values:
+                finish()
+                values, n = [], n + 1
+            held = conv_id
+            values.append("" if value is None else value)
+    if values:
+        finish()
+        n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+
 def write_message_logs(spark: SparkSession, sf_dir: str) -> Source:
     """``events`` as one assistant message per line; every fifth is replayed later
     under another session."""
@@ -140,14 +187,21 @@ def write_running_total_logs(spark: SparkSession, sf_dir: str, kept: str = "true
     rate limit only. The session line is last in every second file. ``kept`` is a condition
     on ``conv_id`` and ``turn`` that leaves lines out; the session line has turn -1 or 1,000,000.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn")
+    conversations = table(spark, sf_dir, "conversations")
+    head_turn = F.when(F.col("conv_id") % 2 == 0, -1).otherwise(1_000_000).cast("bigint")
+    heads = conversations.select("conv_id").distinct().withColumns({"turn": head_turn, "is_head": F.lit(True)})
+    # Session lines join the others before the one shuffle by conversation. Spark leaves out a
+    # shuffle of the union of two sides that lie by conversation already, but adaptive execution
+    # coalesces each side for itself: a session line would come into a file of its own.
+    lines = conversations.withColumn("is_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy("conv_id").orderBy("turn", "is_head")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     spoken = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)
-    turns = table(spark, sf_dir, "conversations").withColumns(
+    turns = lines.withColumns(
         {
             "heard": F.sum(F.length("text")).over(so_far),
             "said": F.sum(spoken).over(so_far),
-            "thought": F.count(F.lit(1)).over(so_far),
+            "thought": F.count_if(~F.col("is_head")).over(so_far),
         }
     )
     stamp = _pair("timestamp", _iso(1_704_067_200 + F.col("conv_id") * 1000 + F.col("turn")))
@@ -181,13 +235,6 @@ def write_running_total_logs(spark: SparkSession, sf_dir: str, kept: str = "true
         _pair("payload", F.when(is_user, _object(_pair("model", _text(model)), text)).otherwise(usage)),
     )
     truncated = (F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 7 == 0)
-    body = turns.withColumn("whole", entry).select(
-        "conv_id",
-        "turn",
-        F.when(truncated, F.substring("whole", F.lit(1), F.length("whole") - 3))
-        .otherwise(F.col("whole"))
-        .alias("value"),
-    )
     meta = _object(
         _pair("type", _text(F.lit("session_meta"))),
         _pair(
@@ -198,21 +245,19 @@ def write_running_total_logs(spark: SparkSession, sf_dir: str, kept: str = "true
             ),
         ),
     )
-    heads = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(
-        "conv_id",
-        F.when(F.col("conv_id") % 2 == 0, -1).otherwise(1_000_000).cast("bigint").alias("turn"),
-        meta.alias("value"),
+    line = (
+        F.when(F.col("is_head"), meta)
+        .when(truncated, F.substring("whole", F.lit(1), F.length("whole") - 3))
+        .otherwise(F.col("whole"))
     )
     root = scratch_path(spark, "total-logs")
-    (
-        body.unionByName(heads)
+    ordered = (
+        turns.withColumn("whole", entry)
+        .withColumn("value", line)
         .where(kept)
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn")
-        .select("conv_id", "value")
-        .write.partitionBy("conv_id")
-        .text(f"{root}/sessions")
+        .sortWithinPartitions("conv_id", "turn", "is_head")
     )
+    _write_by_conversation(ordered, f"{root}/sessions")
     return Source("codex", (f"{root}/sessions",), TEXT_GLOB)
 
 
@@ -274,8 +319,14 @@ def write_all_logs(spark: SparkSession, sf_dir: str) -> list[Source]:
 def overwrite_logs(spark: SparkSession, old: Source, new: Source) -> None:
     """Put the files of ``new`` in the place of those of ``old`` in the same folders, as a writer
     that goes on or rotates would leave them. Both have one file in a folder."""
+    roots = old.roots[0], new.roots[0]
+    if all(can_open(root) for root in roots):
+        tasks = spark.sparkContext.defaultParallelism
+        files = list_files(spark, [new]).select("uri").repartition(tasks)
+        files.mapInArrow(partial(_replace, *roots), "n bigint").write.format("noop").mode("overwrite").save()
+        return
     jvm = spark._jvm
-    roots = [jvm.org.apache.hadoop.fs.Path(source.roots[0]) for source in (old, new)]
+    roots = [jvm.org.apache.hadoop.fs.Path(root) for root in roots]
     store = roots[0].getFileSystem(spark._jsc.hadoopConfiguration())
     places = {}
     for status in store.listStatus(roots[0]):
@@ -292,3 +343,21 @@ def overwrite_logs(spark: SparkSession, old: Source, new: Source) -> None:
                 else:
                     store.delete(place, False)
                 store.rename(own.getPath(), place)
+
+
+def _replace(old: str, new: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    store, root = open_store(old)
+    base = open_store(new)[1]
+    n = 0
+    for batch in batches:
+        for uri in batch.column(0).to_pylist():
+            path = open_store(uri)[1]
+            folder, name = (root + path[len(base) :]).rsplit("/", 1)
+            before = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            kept = [info.base_name for info in before if info.is_file and not info.base_name.startswith(".")]
+            store.create_dir(folder)
+            # The file keeps its name; a second attempt of the task finds it moved.
+            if store.get_file_info(path).type != fs.FileType.NotFound:
+                store.move(path, f"{folder}/{kept[0] if kept else name}")
+                n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
