@@ -5,6 +5,7 @@ import os
 import pytest
 
 from turnledger.catalog.logs import overwrite_logs, write_running_total_logs
+from turnledger.session import configure
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -53,3 +54,8 @@ def test_overwritten_logs_keep_their_places(spark):
     for folder, (own,) in after.items():
         with open(f"{old.roots[0]}/{folder}/{own}") as log, open(f"{whole}/{folder}/{own}") as new:
             assert log.read() == new.read()
+
+
+def test_folders_are_not_listed_one_by_one(spark):
+    tasks = configure(spark).conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    assert int(tasks) <= 8 * spark.sparkContext.defaultParallelism
