@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,9 @@ from turnledger.streaming.ingest import stream_ingest, usage_stream
 Query = Callable[[SparkSession, str], DataFrame]
 
 SCANNED_AT = 1_750_000_000
+# Micro-batches in which replays arrive, and time slices of running totals.
+REPLAY_BATCHES = 4
+SLICES = 3
 
 
 def _events_of(rows: DataFrame) -> DataFrame:
@@ -394,14 +398,17 @@ def stream_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = usage_from_events(configure(spark), sf_dir)
     base = scratch_path(spark, "stream-deltas")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    step = (high - low) // 3 + 1
-    for i in range(3):
+    step = (high - low) // SLICES + 1
+    # A slice has this many files, whatever its size, and is a micro-batch: each of them opens and
+    # commits the state of all partitions, so their number must not grow with the input.
+    files = spark.sparkContext.defaultParallelism
+    for i in range(SLICES):
         begin = low + i * step
         piece = events.filter((F.col("ts") >= begin) & (F.col("ts") < begin + step))
         # A session's slice stays in one file; slices follow each other in time.
-        piece.repartition("tool", "session_id").write.mode("append").parquet(f"{base}/in")
+        piece.repartition(files, "tool", "session_id").write.mode("append").parquet(f"{base}/in")
     arriving = (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{base}/in")
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     )
     (
         turn_stream(arriving)
