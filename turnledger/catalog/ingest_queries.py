@@ -377,7 +377,11 @@ def stream_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-replays")
     # Originals and replays arrive in one order or the other, a few files at a time; all lie within
     # the time remembered.
-    rows = usage_stream(spark, source.tool, source.roots[0], "400 days", TEXT_GLOB, files_per_trigger=3)
+    # Every micro-batch goes through all keys remembered, so there are as many whatever the input.
+    per_trigger = max(3, math.ceil(list_files(spark, [source]).count() / REPLAY_BATCHES))
+    rows = usage_stream(
+        spark, source.tool, source.roots[0], "400 days", TEXT_GLOB, files_per_trigger=per_trigger
+    )
     (
         rows.writeStream.format("parquet")
         .option("path", f"{base}/out")
