@@ -9,6 +9,7 @@ the labellers pass over.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,9 +128,11 @@ def votes(part: Slice) -> np.ndarray:
     return np.stack([np.where(b, BAD, np.where(g, GOOD, NONE)) for b, g in map(bad_good.get, LABELLERS)], axis=1)
 
 
-def wordless(patterns: np.ndarray) -> np.ndarray:
-    """Whether the votes are those on a text without words."""
-    return patterns[:, LABELLERS.index("length")] == BAD
+def wordless(patterns: np.ndarray, names: Sequence[str] = LABELLERS) -> np.ndarray:
+    """Whether the votes of ``names`` are those on a text without words; never, if none of them tells."""
+    if "length" not in names:
+        return np.zeros(len(patterns), dtype=bool)
+    return patterns[:, names.index("length")] == BAD
 
 
 @dataclass
@@ -161,7 +164,7 @@ class LabelModel:
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         """Probability that a text is good; one without words is bad for certain."""
         out = 1 / (1 + np.exp(-np.clip(self.log_odds(patterns), -700, 700)))
-        return np.where(wordless(patterns), 0.0, out)
+        return np.where(wordless(patterns, self.names), 0.0, out)
 
 
 def fit_labels(names: list[str], patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
