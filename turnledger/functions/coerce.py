@@ -6,7 +6,9 @@ turn a field into a usable value or null; none of them fails on bad input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -65,57 +67,75 @@ def field(parsed: Column, path: str) -> Column:
     return F.try_variant_get(parsed, f"$[0].{path}", "variant")
 
 
-# The readings below take the name of a VARIANT column (or SQL text for one) and are
-# written as SQL: a line has a dozen fields, and each reading is then one expression.
+# The readings below take the name of a VARIANT column that ``with_readings`` has prepared: its
+# kind, number and text are columns of their own. Spelled out in every reading they would be
+# evaluated some dozens of times a line, in a method too long for the JVM to compile.
+
+
+def _kind(value: str) -> str:
+    return f"{value}_kind"
+
+
+def _number(value: str) -> str:
+    return f"{value}_number"
+
+
+def _text(value: str) -> str:
+    return f"{value}_text"
+
+
+def with_readings(lines: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Add what the readings of the VARIANT columns ``values`` share, each computed once a line."""
+    kinds = lines.select("*", *[F.expr(f"schema_of_variant({v})").alias(_kind(v)) for v in values])
+    shared = kinds.select("*", *[F.expr(sql(v)).alias(name(v)) for v in values for sql, name in _SHARED])
+    return shared.withColumns({_text(v): F.nullif(F.col(_text(v)), F.lit("")) for v in values})
 
 
 def _number_sql(value: str) -> str:
-    name = f"schema_of_variant({value})"
+    # BIGINT, DOUBLE, FLOAT and any DECIMAL.
     return (
-        f"(CASE WHEN {name} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({name}, 'DECIMAL') "
-        f"THEN try_variant_get({value}, '$', 'double') END)"
+        f"CASE WHEN left({_kind(value)}, 3) IN ('BIG', 'DOU', 'FLO', 'DEC') "
+        f"THEN try_variant_get({value}, '$', 'double') END"
     )
 
 
-def _string_sql(value: str) -> str:
-    return (
-        f"(CASE WHEN schema_of_variant({value}) = 'STRING' "
-        f"THEN nullif(try_variant_get({value}, '$', 'string'), '') END)"
-    )
+def _text_sql(value: str) -> str:
+    return f"CASE WHEN {_kind(value)} = 'STRING' THEN try_variant_get({value}, '$', 'string') END"
+
+
+_SHARED = ((_number_sql, _number), (_text_sql, _text))
 
 
 def is_object(value: str) -> Column:
-    return F.expr(f"coalesce(startswith(schema_of_variant({value}), 'OBJECT'), false)")
+    return F.expr(f"coalesce(startswith({_kind(value)}, 'OBJECT'), false)")
 
 
 def as_string(value: str) -> Column:
     """A non-empty JSON string; numbers and booleans are not strings."""
-    return F.expr(_string_sql(value))
+    return F.col(_text(value))
 
 
 def as_true(value: str) -> Column:
     """True only for the JSON literal ``true``."""
     return F.expr(
-        f"coalesce(CASE WHEN schema_of_variant({value}) = 'BOOLEAN' "
-        f"THEN try_variant_get({value}, '$', 'boolean') END, false)"
+        f"coalesce({_kind(value)} = 'BOOLEAN' AND try_variant_get({value}, '$', 'boolean'), false)"
     )
 
 
 def as_count(value: str) -> Column:
     """A finite, non-negative JSON number rounded down; null above ``MAX_COUNT``, which
     makes the line malformed; anything else counts as zero."""
-    number = _number_sql(value)
+    number = _number(value)
     return F.expr(
-        f"CASE WHEN {number} > {MAX_COUNT} AND {number} < double('Infinity') THEN NULL "
-        f"WHEN {number} >= 0 AND {number} < double('Infinity') "
-        f"THEN cast(floor({number}) AS bigint) ELSE 0L END"
+        f"CASE WHEN {number} >= 0 AND {number} < double('Infinity') "
+        f"THEN if({number} <= {MAX_COUNT}, floor({number}), NULL) ELSE 0L END"
     )
 
 
 def as_timestamp(value: str) -> Column:
     """Unix seconds of a date string or an epoch number in seconds or milliseconds; null
     outside the years 1 to 9999."""
-    number, text = _number_sql(value), _string_sql(value)
+    number, text = _number(value), _text(value)
     seconds = f"if({number} > {MILLISECONDS_FROM}, {number} / 1000, {number})"
     return F.expr(
         f"CASE WHEN {seconds} BETWEEN {FIRST_SECOND} AND {LAST_SECOND} "
@@ -128,8 +148,6 @@ def as_timestamp(value: str) -> Column:
     )
 
 
-def first_non_null(*values: str) -> str:
-    """SQL text of the first value that is neither absent nor JSON ``null``."""
-    return "coalesce({})".format(
-        ", ".join(f"if(is_variant_null({v}), NULL, {v})" for v in values)
-    )
+def first_non_null(*values: Column) -> Column:
+    """The first value that is neither absent nor JSON ``null``."""
+    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in values])

@@ -23,6 +23,10 @@ _RUNTIME_SETTINGS = {
 # takes far longer to start than to list it.
 _LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 _LISTING_TASKS_PER_CORE = 4
+# The JVM never compiles a method above 8,000 bytes, and a chain of steps fused into one longer method
+# is interpreted for every row. Such chains run as single steps, which are compiled.
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_SPARK_METHOD_LIMIT, _COMPILED_METHOD_BYTES = "65535", 8000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,6 +36,8 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(key, value)
     if spark.conf.get(_LISTING, None) is None:
         spark.conf.set(_LISTING, str(_LISTING_TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    if spark.conf.get(_METHOD_LIMIT) == _SPARK_METHOD_LIMIT:
+        spark.conf.set(_METHOD_LIMIT, str(_COMPILED_METHOD_BYTES))
     return spark
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.coerce import field, is_single, parse_line, stripped
+from turnledger.functions.coerce import field, first_non_null, is_single, parse_line, stripped, with_readings
 from turnledger.schema import TOKEN_COLS
 
 # --- fixed values -----------------------------------------------------------
@@ -17,8 +17,10 @@ EVENT, MODEL, SESSION = "event", "model", "session"
 IGNORED, MALFORMED = "ignored", "malformed"
 # ----------------------------------------------------------------------------
 
-# Name of the column that holds a line's field, by its dotted path.
-Field = Callable[[str], str]
+# A dotted path, or several of which the first that is not null counts.
+Path = str | tuple[str, ...]
+# Name of the column that holds a line's field, by its path.
+Field = Callable[[Path], str]
 
 FACT_COLS = (
     "outcome",
@@ -46,14 +48,14 @@ class Layout:
 class Dialect:
     """One log format: its tool id, its layout, and its reading of a line.
 
-    ``fields`` are the dotted paths the format reads. ``facts`` takes the line and a
+    ``fields`` are the paths the format reads. ``facts`` takes the line and a
     lookup of those fields and gives columns named as in ``FACT_COLS``. ``bind`` gives
     the columns that depend on the file: on its path or on other lines in it.
     """
 
     tool: str
     layout: Layout
-    fields: tuple[str, ...]
+    fields: tuple[Path, ...]
     facts: Callable[[Column, Field], dict[str, Column]]
     bind: Callable[[], dict[str, Column]]
     cumulative: bool = False
@@ -77,27 +79,39 @@ def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) ->
         "mtime_ms",
         "line",
         is_single(F.col("parsed")).alias("single"),
-        *[field(F.col("parsed"), path).alias(name) for path, name in names.items()],
+        *[_field(path).alias(name) for path, name in names.items()],
     )
+    text = with_readings(text, list(names.values()))
     facts = dialect.facts(F.col("line"), names.__getitem__)
     columns = {name: facts.get(name, F.lit(None)) for name in FACT_COLS}
+    # The outcome looks at the counts as they are, and the digest at the outcome: each in a step
+    # of its own, so that none is spelled out again in the next.
+    found = text.select(
+        *keep, "file_path", "line", "single", *[columns[name].alias(name) for name in FACT_COLS]
+    )
     # A count too large to be one is damage: the line is set aside, never rounded to fit.
-    damaged = reduce(lambda a, b: a | b, (columns[name].isNull() for name in TOKEN_COLS))
+    damaged = reduce(lambda a, b: a | b, (F.col(name).isNull() for name in TOKEN_COLS))
     outcome = (
         F.when(F.col("line") == "", F.lit(IGNORED))
         .when(~F.col("single"), F.lit(MALFORMED))
-        .when((facts["outcome"] == EVENT) & damaged, F.lit(MALFORMED))
-        .otherwise(facts["outcome"])
+        .when((F.col("outcome") == EVENT) & damaged, F.lit(MALFORMED))
+        .otherwise(F.col("outcome"))
     )
-    columns["outcome"] = outcome
-    return text.select(
+    return found.withColumn("outcome", outcome).select(
         *keep,
         "file_path",
-        *[columns[name].alias(name) for name in FACT_COLS],
-        F.when(outcome == MALFORMED, F.md5(F.col("line").cast("binary"))).alias("raw_md5"),
+        *FACT_COLS,
+        F.when(F.col("outcome") == MALFORMED, F.md5(F.col("line").cast("binary"))).alias("raw_md5"),
     )
 
 
+def _field(path: Path) -> Column:
+    parsed = F.col("parsed")
+    if isinstance(path, str):
+        return field(parsed, path)
+    return first_non_null(*[field(parsed, one) for one in path])
+
+
 def fallback_time() -> Column:
     """Modification time of the log file in unix seconds, zero when unknown."""
     return F.coalesce(F.floor(F.col("mtime_ms") / 1000).cast("bigint"), F.lit(0).cast("bigint"))

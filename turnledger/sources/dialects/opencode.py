@@ -9,7 +9,6 @@ from turnledger.functions.coerce import (
     as_count,
     as_string,
     as_timestamp,
-    first_non_null,
     is_object,
 )
 from turnledger.functions.tokens import digest
@@ -25,6 +24,8 @@ from turnledger.sources.dialects.common import (
 )
 
 # --- fixed values -----------------------------------------------------------
+# The first time field that is not null decides, usable or not.
+_TIMES = ("time.completed", "time.created", "time", "timestamp")
 _FIELDS = (
     "tokens",
     "id",
@@ -36,20 +37,11 @@ _FIELDS = (
     "tokens.cache.write",
     "tokens.cache.read",
     "tokens.reasoning",
-    "time.completed",
-    "time.created",
-    "time",
-    "timestamp",
+    _TIMES,
 )
 # ----------------------------------------------------------------------------
 
 
-def _entry_time(at: Field) -> Column:
-    """The first time field that is not null decides, usable or not."""
-    paths = ("time.completed", "time.created", "time", "timestamp")
-    return as_timestamp(first_non_null(*[at(path) for path in paths]))
-
-
 def _facts(line: Column, at: Field) -> dict[str, Column]:
     carries_usage = is_object(at("tokens"))
     entry_id = as_string(at("id"))
@@ -65,7 +57,7 @@ def _facts(line: Column, at: Field) -> dict[str, Column]:
             as_string(at("model")),
             F.lit(UNKNOWN_MODEL),
         ),
-        "ts": F.coalesce(_entry_time(at), fallback_time()),
+        "ts": F.coalesce(as_timestamp(at(_TIMES)), fallback_time()),
         "input_tokens": as_count(at("tokens.input")),
         "output_tokens": as_count(at("tokens.output")),
         "cache_write_tokens": as_count(at("tokens.cache.write")),
