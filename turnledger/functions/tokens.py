@@ -20,28 +20,36 @@ MOST = 2**63 - 1
 _LOW_BITS = 26
 
 
-def _bounded(whole: Column) -> Column:
-    """An exact decimal as a count, at most ``MOST``; null stays null."""
-    most = F.lit(MOST).cast("decimal(38,0)")
-    return F.when(whole > most, most).otherwise(whole).cast("bigint")
+def _low(count: Column) -> Column:
+    return count.bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("bigint"))
 
 
-def sum_counts(count: Column | str, over: WindowSpec | None = None) -> Column:
-    """Exact sum of counts, at most ``MOST``; null without any.
+def _high(count: Column) -> Column:
+    return F.shiftright(count, _LOW_BITS)
+
+
+def _bounded(high: Column, low: Column) -> Column:
+    """The parts together, exact and at most ``MOST``; null stays null.
 
-    Both parts are sums of 64-bit integers, which cost far less than sums of decimals.
+    Made of 64-bit integers: decimals would take most of the time of a report with many groups.
     """
+    carried = high + _high(low)
+    whole = F.shiftleft(carried, _LOW_BITS) + _low(low)
+    return F.when(carried > MOST >> _LOW_BITS, F.lit(MOST)).otherwise(whole)
+
+
+def sum_counts(count: Column | str, over: WindowSpec | None = None) -> Column:
+    """Exact sum of counts, at most ``MOST``; null without any."""
     count = F.col(count) if isinstance(count, str) else count
-    low = F.sum(count.bitwiseAND(F.lit((1 << _LOW_BITS) - 1).cast("bigint")))
-    high = F.sum(F.shiftright(count, _LOW_BITS))
+    high, low = F.sum(_high(count)), F.sum(_low(count))
     if over is not None:
-        low, high = low.over(over), high.over(over)
-    return _bounded(high.cast("decimal(20,0)") * F.lit(1 << _LOW_BITS).cast("decimal(10,0)") + low.cast("decimal(20,0)"))
+        high, low = high.over(over), low.over(over)
+    return _bounded(high, low)
 
 
 def add_counts(*counts: str) -> Column:
     """Exact sum of a row's counts, at most ``MOST``."""
-    return _bounded(reduce(add, (F.col(c).cast("decimal(20,0)") for c in counts)))
+    return _bounded(reduce(add, (_high(F.col(c)) for c in counts)), reduce(add, (_low(F.col(c)) for c in counts)))
 
 
 def total_tokens() -> Column:

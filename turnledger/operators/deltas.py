@@ -15,6 +15,8 @@ HOT_SESSION_ROWS = 2_000_000
 CHUNK_ROWS = 1_000_000
 # Length of a span of a session that has a head.
 HEAD_SECONDS = 3600
+# Buckets of sessions that are counted to find hot ones.
+SIZE_BUCKETS = 16_384
 # Hot session keys are broadcast only up to this count.
 MAX_BROADCAST_KEYS = 10_000
 
@@ -168,8 +170,14 @@ def _difference(
     # A frame no larger than the limit cannot hold a session above it.
     if sized.count() <= hot_session_rows:
         return _difference_whole_sessions(rows)
-    sizes = sized.groupBy(*SESSION_KEY).count().filter(F.col("count") > hot_session_rows)
-    hot = pin(sizes, "hot-sessions")
+    # Sessions are counted by bucket first: only those of a bucket above the limit can be hot.
+    bucket = F.pmod(F.xxhash64(*SESSION_KEY), F.lit(SIZE_BUCKETS))
+    full = sized.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > hot_session_rows)
+    buckets = [r["bucket"] for r in full.collect()]
+    if not buckets:
+        return _difference_whole_sessions(rows)
+    sizes = sized.filter(bucket.isin(buckets)).groupBy(*SESSION_KEY).count()
+    hot = pin(sizes.filter(F.col("count") > hot_session_rows), "hot-sessions")
     n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
     if n_hot == 0:
         return _difference_whole_sessions(rows)

@@ -18,6 +18,9 @@ _RUNTIME_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows that lie sorted by their groups are summed as they come. Lists and sets of models would
+    # otherwise go through a hash table of few groups and then be sorted once more.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
 # Tasks a core that list folders at once. By default every folder gets a task of its own, which
 # takes far longer to start than to list it.
