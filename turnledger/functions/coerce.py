@@ -44,27 +44,39 @@ _STRICT_JSON = {
 
 
 def stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS))
+    # Trimming decodes every character; a line of the usual shape has nothing to trim.
+    return F.when(_looks_like_object(line), line).otherwise(F.btrim(line, F.lit(BLANKS)))
 
 
-def parse_line(line: Column) -> Column:
-    """The line as a one-element VARIANT array, null unless it is exactly one object.
+def _looks_like_object(line: Column) -> Column:
+    return line.startswith("{") & line.endswith("}")
 
-    The brackets make trailing text after the object an error.
+
+def parse_line(line: Column, names: Sequence[str]) -> Column:
+    """The line as a one-element array of its fields ``names``, each a VARIANT; null unless it is
+    exactly one object.
+
+    The brackets make trailing text after the object an error. Other fields are checked, not kept.
     """
-    looks_like_object = line.startswith("{") & line.endswith("}")
-    wrapped = F.from_json(F.concat(F.lit("["), line, F.lit("]")), "variant", _STRICT_JSON)
-    return F.when(looks_like_object, wrapped)
+    wrapped = F.from_json(F.concat(F.lit("["), line, F.lit("]")), f"array<{_variants(names)}>", _STRICT_JSON)
+    return F.when(_looks_like_object(line), wrapped)
 
 
 def is_single(parsed: Column) -> Column:
     """True for a parsed line without a second array element."""
-    return parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+
+
+def members(value: str, names: Sequence[str]) -> Column:
+    """The fields ``names`` of a VARIANT object, each a VARIANT; null for anything else.
+
+    One pass over the object. A path that is not there costs a lookup by path an exception.
+    """
+    return F.expr(f"try_variant_get({value}, '$', '{_variants(names)}')")
 
 
-def field(parsed: Column, path: str) -> Column:
-    """The value at a dotted path of the line's object, as a VARIANT."""
-    return F.try_variant_get(parsed, f"$[0].{path}", "variant")
+def _variants(names: Sequence[str]) -> str:
+    return "struct<" + ", ".join(f"`{name}`: variant" for name in names) + ">"
 
 
 # The readings below take the name of a VARIANT column that ``with_readings`` has prepared: its
@@ -107,7 +119,8 @@ _SHARED = ((_number_sql, _number), (_text_sql, _text))
 
 
 def is_object(value: str) -> Column:
-    return F.expr(f"coalesce(startswith({_kind(value)}, 'OBJECT'), false)")
+    # The kind of an object spells out all its fields.
+    return F.expr(f"try_variant_get({value}, '$', 'struct<>') IS NOT NULL")
 
 
 def as_string(value: str) -> Column:

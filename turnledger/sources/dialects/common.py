@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.functions.coerce import field, first_non_null, is_single, parse_line, stripped, with_readings
+from turnledger.functions.coerce import first_non_null, is_single, members, parse_line, stripped, with_readings
 from turnledger.schema import TOKEN_COLS
 
 # --- fixed values -----------------------------------------------------------
@@ -68,19 +68,8 @@ def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) ->
     has ``file_path``, ``mtime_ms`` and ``value``; columns in ``keep`` pass through.
     Nothing derived from the path is built per line.
     """
-    text = lines.withColumn("line", stripped(F.col("value"))).withColumn(
-        "parsed", parse_line(F.col("line"))
-    )
-    # Every field is taken out of the parsed line once, whatever reads it later.
     names = {path: f"_{i}" for i, path in enumerate(dialect.fields)}
-    text = text.select(
-        *keep,
-        "file_path",
-        "mtime_ms",
-        "line",
-        is_single(F.col("parsed")).alias("single"),
-        *[_field(path).alias(name) for path, name in names.items()],
-    )
+    text = _with_fields(lines.withColumn("line", stripped(F.col("value"))), names, keep)
     text = with_readings(text, list(names.values()))
     facts = dialect.facts(F.col("line"), names.__getitem__)
     columns = {name: facts.get(name, F.lit(None)) for name in FACT_COLS}
@@ -105,11 +94,35 @@ def line_facts(lines: DataFrame, dialect: Dialect, keep: Sequence[str] = ()) ->
     )
 
 
-def _field(path: Path) -> Column:
-    parsed = F.col("parsed")
-    if isinstance(path, str):
-        return field(parsed, path)
-    return first_non_null(*[field(parsed, one) for one in path])
+def _with_fields(lines: DataFrame, names: dict[Path, str], keep: Sequence[str]) -> DataFrame:
+    """``lines`` with the VARIANT at each path of ``names``, and whether the line is ``single``.
+
+    An object is opened once for all its fields, one step a level, whatever reads them later.
+    """
+    paths = [tuple(one.split(".")) for path in names for one in ([path] if isinstance(path, str) else path)]
+    nodes = list(dict.fromkeys(path[:n] for path in paths for n in range(1, len(path) + 1)))
+    at = {node: f"_v{i}" for i, node in enumerate(nodes)}
+    inside: dict[tuple[str, ...], list[str]] = {}
+    for node in nodes:
+        inside.setdefault(node[:-1], []).append(node[-1])
+    own = [*keep, "file_path", "mtime_ms", "line", "single"]
+    found = lines.withColumn("parsed", parse_line(F.col("line"), inside[()])).select(
+        *own[:-1],
+        is_single(F.col("parsed")).alias("single"),
+        *[F.get("parsed", F.lit(0))[name].alias(at[name,]) for name in inside[()]],
+    )
+    for depth in range(1, max(map(len, paths))):
+        parents = [node for node in inside if len(node) == depth]
+        found = found.withColumns({f"{at[node]}_in": members(at[node], inside[node]) for node in parents})
+        fields = {at[*node, name]: F.col(f"{at[node]}_in")[name] for node in parents for name in inside[node]}
+        found = found.withColumns(fields).drop(*[f"{at[node]}_in" for node in parents])
+    values = {
+        name: F.col(at[tuple(path.split("."))])
+        if isinstance(path, str)
+        else first_non_null(*[F.col(at[tuple(one.split("."))]) for one in path])
+        for path, name in names.items()
+    }
+    return found.select(*own, *[value.alias(name) for name, value in values.items()])
 
 
 def fallback_time() -> Column:
