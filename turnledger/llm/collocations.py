@@ -35,6 +35,8 @@ SCALE = 1_000_000
 #: Candidates of one trie, and tries that one pass over the texts walks.
 PHRASES_PER_TRIE = 1 << 18
 TRIES_PER_PASS = 3
+#: Groups of first words by which phrases are dealt to tries.
+FIRST_WORD_BUCKETS = 1 << 12
 #: Bits of the broadcast filters; other words, pairs and runs that share a bit stay candidates.
 FILTER_BITS = 1 << 27
 #: Bytes hashed at once, which a processor's cache should hold, and bytes counted at once.
@@ -221,11 +223,9 @@ def candidates(texts: DataFrame, reader: Reader, frequent: DataFrame, least: int
 def phrase_counts(texts: DataFrame, reader: Reader, phrases: DataFrame) -> DataFrame:
     """``w1, w2, w3, a``: exact occurrences of each candidate, from tries of bounded size."""
     spark = texts.sparkSession
-    phrases = pin(phrases, "phrase-candidates")
-    n_tries = -(-phrases.count() // PHRASES_PER_TRIE)
-    # Numbers inside a trie: the hash deals about as many phrases to each.
+    dealt, n_tries = dealt_to_tries(pin(phrases, "phrase-candidates"))
+    # Numbers inside a trie: about as many phrases are dealt to each.
     number = F.row_number().over(Window.partitionBy("trie").orderBy("w1", "w2", "w3")) - 1
-    dealt = phrases.withColumn("trie", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(max(n_tries, 1))))
     dealt = pin(dealt.withColumn("phrase", number), "phrase-tries")
     sums = spark.createDataFrame([], "trie int, phrase long, a long")
     for first in range(0, n_tries, TRIES_PER_PASS):
@@ -237,6 +237,27 @@ def phrase_counts(texts: DataFrame, reader: Reader, phrases: DataFrame) -> DataF
     return sums.join(dealt, ["trie", "phrase"]).select("w1", "w2", "w3", "a")
 
 
+def dealt_to_tries(phrases: DataFrame) -> tuple[DataFrame, int]:
+    """Phrases with the ``trie`` of each, and the number of tries.
+
+    First words lie together, so that a text position goes on in the one trie of its word and not
+    in all. A group of first words has a stretch of numbers, as long as it has phrases, in which
+    the hash places each: one with very many phrases lies over as many tries as it needs.
+    """
+    grouped = phrases.withColumn("bucket", F.pmod(F.xxhash64("w1"), F.lit(FIRST_WORD_BUCKETS)))
+    sizes = sorted(tuple(r) for r in grouped.groupBy("bucket").agg(F.count(F.lit(1))).collect())
+    stretches, total = [], 0
+    for bucket, size in sizes:
+        stretches.append((bucket, total, size))
+        total += size
+    of_bucket = phrases.sparkSession.createDataFrame(stretches, "bucket long, first long, size long")
+    place = F.col("first") + F.pmod(F.xxhash64("w1", "w2", "w3"), F.col("size"))
+    dealt = grouped.join(F.broadcast(of_bucket), "bucket").select(
+        "w1", "w2", "w3", F.floor(place / PHRASES_PER_TRIE).cast("int").alias("trie")
+    )
+    return dealt, -(-total // PHRASES_PER_TRIE)
+
+
 def _trie(dealt: DataFrame, number: int) -> Trie:
     own = dealt.where(F.col("trie") == number).select("phrase", "w1", "w2", "w3").toArrow().sort_by("phrase")
     keys = [own[c].fill_null(0).to_numpy().astype(np.int64).view(np.uint64) for c in ("w1", "w2", "w3")]
@@ -252,7 +273,7 @@ def _walk(texts: DataFrame, reader: Reader, sent: Broadcast, first: int) -> Data
             for run in reader.runs(batch):
                 which, distinct = pd.factorize(run.keys)
                 for own, trie in zip(sums, sent.value, strict=True):
-                    own += trie.count(trie.codes(distinct)[which], run.joined)
+                    own += trie.count(trie.codes(distinct), run.joined, LONGEST, which)
         for number, own in enumerate(sums, first):
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(

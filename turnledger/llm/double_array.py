@@ -47,25 +47,33 @@ class Trie:
         out[live] = at
         return out
 
-    def count(self, code: np.ndarray, joined: np.ndarray, longest: int = 3) -> np.ndarray:
+    def count(
+        self, code: np.ndarray, joined: np.ndarray, longest: int = 3, which: np.ndarray | None = None
+    ) -> np.ndarray:
         """Occurrences of each phrase; ``joined[i]`` tells whether word i + 1 continues word i.
 
-        The states of all text positions advance together, one word a level.
+        ``code`` has the words at all text positions or, with ``which``, distinct words, of which
+        ``which`` tells the one at each position: the first step is then taken once a word. The
+        states of all text positions advance together, one word a level.
         """
         counts = np.zeros(self.n_phrases, dtype=np.int64)
-        at = np.flatnonzero(code >= 0)
-        state = self.advance(np.zeros(len(at), dtype=np.int64), code[at])
+        state = self.advance(np.zeros(len(code), dtype=np.int64), code)
+        if which is not None:
+            state = state[which]
+        at = np.arange(len(state))
         for level in range(1, longest + 1):
-            good = state >= 0
+            good = np.flatnonzero(state >= 0)
             at, state = at[good], state[good]
             ended = self.accept[state]
-            counts += np.bincount(ended[ended >= 0], minlength=self.n_phrases)
+            ended = ended[ended >= 0]
+            if len(ended):
+                counts += np.bincount(ended, minlength=self.n_phrases)
             if level == longest:
                 break
             last = at + level - 1
             good = joined[last]
             at, state = at[good], state[good]
-            state = self.advance(state, code[at + level])
+            state = self.advance(state, code[at + level] if which is None else code[which[at + level]])
         return counts
 
 
