@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import time
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -32,8 +31,12 @@ from turnledger.sources.files import (
 from turnledger.sources.ledger import Ledger
 from turnledger.sources.ranges import can_open, read_ranges
 
-# Files handled per commit; bounds the path list the driver holds.
+# Files handled per commit where the driver must name them; bounds the path list it holds.
 FILES_PER_BATCH = 100_000
+# Files of a tool that Spark's text reader takes by name; where there are more, tasks open them.
+NAMED_FILES = 1_000
+# What Spark's text reader unpacks by the ending of the name.
+_PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|xz)$"
 # Requests for the status of a file that are under way at once.
 STATUS_REQUESTS = 16
 
@@ -70,14 +73,15 @@ def sync(
     spark: SparkSession,
     sources: Sequence[Source],
     ledger_path: str,
-    files_per_batch: int = FILES_PER_BATCH,
+    files_per_batch: int | None = None,
     scanned_at: int | None = None,
 ) -> SyncResult:
     """Read what is new in the log folders and append it to the ledger.
 
-    Files go in ledger order (tool, path), a bounded number per commit. Events, quarantine and
-    state of a commit come into force together; an interrupted sync continues with the next run.
-    One writer at a time: of two, the later one to finish fails with ``SecondWriter``.
+    Files go in ledger order (tool, path), ``files_per_batch`` per commit: by default all at once,
+    or ``FILES_PER_BATCH`` if some lie in a store that only Spark's readers can open. Events,
+    quarantine and state of a commit come into force together; an interrupted sync continues with
+    the next run. One writer at a time: of two, the later one to finish fails with ``SecondWriter``.
     """
     configure(spark)
     # The failures of the result are read later.
@@ -89,7 +93,7 @@ def _sync(
     spark: SparkSession,
     sources: Sequence[Source],
     ledger_path: str,
-    files_per_batch: int,
+    files_per_batch: int | None,
     scanned_at: int | None,
 ) -> SyncResult:
     started = time.monotonic()
@@ -115,59 +119,69 @@ def _sync(
 
 @dataclass
 class _Page:
-    """Files of one commit: those read whole by path, those grown by how much there is to read."""
+    """Files of one commit: those read whole by path, those that tasks open by how much there is to read."""
 
     files: DataFrame
     uris: dict[str, list[str]]
-    grown: dict[str, _Grown]
+    opened: dict[str, _Opened]
 
 
 @dataclass
-class _Grown:
-    n_files: int = 0
-    n_bytes: int = 0
+class _Opened:
+    n_files: int
+    n_bytes: int
+    all_files: bool
 
 
-def _pages(changed: DataFrame, size: int) -> Iterator[_Page]:
-    """Changed files in ledger order, ``size`` at a time."""
+def _pages(changed: DataFrame, size: int | None) -> Iterator[_Page]:
+    """Changed files in ledger order, ``size`` at a time. The column ``opened`` marks those that
+    tasks open: grown ones, and all of a tool that has very many."""
     order = ("tool_rank", "source_file")
+    store = F.regexp_extract("uri", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/", 0)
+    stores = [row[0] for row in changed.select(store).distinct().collect()]
+    if not stores:
+        return
+    unread = [name for name in stores if not can_open(name)]
+    whole = store.isin(unread)
+    if unread:
+        size = size or FILES_PER_BATCH
+        changed = changed.withColumns(
+            {
+                "read_from": F.when(whole, F.lit(0).cast("bigint")).otherwise(F.col("read_from")),
+                **{c: F.when(~whole, F.col(c)) for c in FILE_CONTEXT.names},
+            }
+        )
     rest = changed
     while True:
-        rows = rest.orderBy(*order).limit(size).select(*order, "tool", "uri", "read_from", "size").collect()
-        if not rows:
+        files, more = rest, None
+        if size:
+            ordered = rest.select(F.struct(*order).alias("at")).orderBy("at").limit(size)
+            n, last = ordered.agg(F.count("at"), F.max("at")).first()
+            if n == size:
+                last = F.struct(*[F.lit(last[c]).alias(c) for c in order])
+                files, more = rest.filter(F.struct(*order) <= last), rest.filter(F.struct(*order) > last)
+        grown, left = F.col("read_from") > 0, F.col("size") - F.col("read_from")
+        fresh = ~grown & ~whole & ~F.col("uri").rlike(_PACKED)
+        sizes = files.groupBy("tool").agg(
+            *[F.struct(F.count_if(of), F.coalesce(F.sum(F.when(of, left)), F.lit(0))) for of in (grown, fresh)]
+        )
+        by_tasks = {}
+        for tool, tails, new in sizes.collect():
+            all_files = new[0] > NAMED_FILES
+            n_files, n_bytes = (a + b for a, b in zip(tails, new, strict=True)) if all_files else tails
+            if n_files:
+                by_tasks[tool] = _Opened(n_files, n_bytes, all_files)
+        many = [tool for tool, own in by_tasks.items() if own.all_files]
+        files = files.withColumn("opened", grown | (F.col("tool").isin(many) & fresh))
+        uris = defaultdict(list)
+        for row in files.filter("NOT opened").orderBy(*order).select("tool", "uri").collect():
+            uris[row["tool"]].append(row["uri"])
+        if not uris and not by_tasks:
             return
-        last = F.struct(F.lit(rows[-1][0]).alias(order[0]), F.lit(rows[-1][1]).alias(order[1]))
-        uris, grown, known = defaultdict(list), defaultdict(_Grown), {}
-        whole = F.lit(False)
-        for row in rows:
-            if row["read_from"] and _resumable(row["uri"], known):
-                grown[row["tool"]].n_files += 1
-                grown[row["tool"]].n_bytes += row["size"] - row["read_from"]
-            else:
-                uris[row["tool"]].append(row["uri"])
-        unread = [store for store, good in known.items() if not good]
-        for store in unread:
-            whole = whole | F.col("uri").startswith(store)
-        files = rest.filter(F.struct(*order) <= last)
-        if unread:
-            files = files.withColumns(
-                {
-                    "read_from": F.when(whole, F.lit(0).cast("bigint")).otherwise(F.col("read_from")),
-                    **{c: F.when(~whole, F.col(c)) for c in FILE_CONTEXT.names},
-                }
-            )
-        yield _Page(files, dict(uris), dict(grown))
-        if len(rows) < size:
+        yield _Page(files, dict(uris), by_tasks)
+        if more is None:
             return
-        rest = rest.filter(F.struct(*order) > last)
-
-
-def _resumable(uri: str, known: dict[str, bool]) -> bool:
-    """Whether the store of ``uri`` (scheme and host) can be read from the middle of a file."""
-    store = re.match(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/", uri)[0]
-    if store not in known:
-        known[store] = can_open(uri)
-    return known[store]
+        rest = more
 
 
 def _read_present(spark: SparkSession, uris: list[str]) -> DataFrame | None:
@@ -194,10 +208,9 @@ def _commit(
 ) -> DataFrame:
     lines = {t: _read_present(spark, uris) for t, uris in page.uris.items()}
     lines = {t: df for t, df in lines.items() if df is not None}
-    for tool, grown in page.grown.items():
-        tails = page.files.filter((F.col("tool") == tool) & (F.col("read_from") > 0))
-        tails = read_ranges(tails, grown.n_files, grown.n_bytes)
-        lines[tool] = lines[tool].unionByName(tails) if tool in lines else tails
+    for tool, own in page.opened.items():
+        ranges = read_ranges(page.files.filter((F.col("tool") == tool) & F.col("opened")), own.n_files, own.n_bytes)
+        lines[tool] = lines[tool].unionByName(ranges) if tool in lines else ranges
     files = page.files.select(
         "tool", "source_file", "size", "mtime_ms", "start_offset", "read_from", *FILE_CONTEXT.names
     )

@@ -7,16 +7,19 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnledger.functions.paths import local_path
+from turnledger.operators.pinning import pin
 from turnledger.schema import FILE_CONTEXT, MANIFEST
 from turnledger.session import is_missing_path
 from turnledger.sources.dialects import DIALECTS, TOOL_RANK
 from turnledger.sources.dialects.common import Layout
+from turnledger.sources.listing import can_list, file_type, list_tree, qualified
 
 # --- fixed values -----------------------------------------------------------
 LOG_GLOB = "*.jsonl"
@@ -53,8 +56,8 @@ def list_sources(
 ) -> tuple[DataFrame, list[Source]]:
     """Manifest of all log files, and the sources cut down to the roots that exist.
 
-    Each root is listed once. Only file status is read, never content. A root that does
-    not exist adds nothing.
+    Each root is listed once and the manifest is written, so it stays as it was found. Only file
+    status is read, never content. A root that does not exist adds nothing.
     """
     listings, present = [], []
     for source in sources:
@@ -67,7 +70,7 @@ def list_sources(
         return spark.createDataFrame([], _LISTED), present
     # A file reached through two roots is one file.
     listed = reduce(DataFrame.unionByName, listings)
-    return listed.dropDuplicates(["tool", "source_file"]), present
+    return pin(listed.dropDuplicates(["tool", "source_file"]), "listed-files"), present
 
 
 def outermost_roots(sources: Iterable[Source]) -> dict[tuple[str, str], list[str]]:
@@ -97,13 +100,25 @@ def list_files(spark: SparkSession, sources: Iterable[Source]) -> DataFrame:
 
 
 def _open_root(spark: SparkSession, root: str, glob: str) -> DataFrame | None:
+    """``uri, size, mtime_ms`` of the files below a root, if there is one."""
+    place = qualified(spark, root)
+    if can_list(place, glob):
+        kind = file_type(place)
+        if kind == fs.FileType.NotFound:
+            return None
+        if kind == fs.FileType.Directory:
+            return list_tree(spark, place, glob)
     reader = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
     )
     try:
-        return reader.load(literal_path(root)).select("path", "length", "modificationTime")
+        return reader.load(literal_path(root)).select(
+            F.col("path").alias("uri"),
+            F.col("length").alias("size"),
+            F.unix_millis("modificationTime").alias("mtime_ms"),
+        )
     except AnalysisException as error:
         if not is_missing_path(error):
             raise
@@ -114,13 +129,13 @@ def _list_root(spark: SparkSession, source: Source, root: str) -> DataFrame | No
     files = _open_root(spark, root, source.glob)
     if files is None:
         return None
-    path = local_path(F.col("path"))
+    path = local_path(F.col("uri"))
     return files.filter(_in_layout(path, root, DIALECTS[source.tool].layout)).select(
         F.lit(source.tool).alias("tool"),
         path.alias("source_file"),
-        F.col("length").alias("size"),
-        F.unix_millis("modificationTime").alias("mtime_ms"),
-        F.col("path").alias("uri"),
+        "size",
+        "mtime_ms",
+        "uri",
         F.lit(TOOL_RANK[source.tool]).alias("tool_rank"),
     )
 
