@@ -50,3 +50,43 @@ def test_counting_by_distinct_words():
         if joined[i] and (words[i], words[i + 1]) == phrases[31]
     ]
     assert got[31] == len(at) > 0
+
+
+def test_windows_stand_for_their_positions():
+    """A trie counts phrases at the start of a window, as often as the window occurs."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 12, (400, 3))
+    long, times = rng.random(400) < 0.5, rng.integers(1, 1000, 400)
+    phrases = [(a, b) for a in range(12) for b in range(0, 12, 2)] + [(a, b, 3) for a in range(12) for b in range(12)]
+    keys = np.array([(*p, 0) if len(p) == 2 else p for p in phrases], dtype=np.uint64)
+    trie = build(keys, np.array([len(p) for p in phrases]))
+    distinct, which = np.unique(rows.ravel(), return_inverse=True)
+    joined = np.stack([np.ones(400, dtype=bool), long, np.zeros(400, dtype=bool)], axis=1).ravel()
+    got = trie.count(trie.codes(distinct.astype(np.uint64)), joined, 3, which, np.arange(400) * 3, times)
+    want = [
+        sum(int(n) for row, w, n in zip(rows.tolist(), long, times, strict=True) if (len(p) == 2 or w) and tuple(row[: len(p)]) == p)
+        for p in phrases
+    ]
+    assert got.tolist() == want and sum(want[:72]) > 0 and sum(want[72:]) > 0
+
+
+def test_texts_are_gone_through_as_often_whatever_the_tries(spark, monkeypatch):
+    """More candidates make more tries, but no more passes over the texts."""
+    data = [("en", "a b c d e f g h. " * 3), ("de", "x y z x y z")]
+    docs = spark.createDataFrame(data, "lang string, text string").coalesce(1)
+    mapped, found = [], []
+    real = type(docs).mapInArrow
+
+    def traced(self, *args, **kwargs):
+        mapped.append("body" in self.columns)
+        return real(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", traced)
+    monkeypatch.setattr(collocations, "TRIES_PER_PASS", 1)
+    for size in (1 << 18, 4):
+        monkeypatch.setattr(collocations, "PHRASES_PER_TRIE", size)
+        mapped.clear()
+        rows = sorted(map(tuple, collocations.mine(docs, 2).collect()))
+        found.append((mapped.count(True), rows))
+    assert mapped.count(False) > 1
+    assert found[0] == found[1] and found[0][0] == 4

@@ -3,9 +3,11 @@
 Candidates come level by level. Words are counted by spelling. A pair can only be frequent if
 both its words are and if its bucket total, over 64-bit hashes of pairs, reaches the least
 count; a run of three only if both its pairs can be and its own bucket total does. These
-bounds never lose a frequent phrase. The candidates go into double-array tries of bounded
-size; each trie is broadcast, numpy moves the states of all text positions forward together,
-counts accepting states, and the sums over all texts are the phrases' exact counts.
+bounds never lose a frequent phrase. The texts are then gone through once more: at every position
+of a possible pair lies a window of two or three words, and equal windows become one row with their
+number. The candidates go into double-array tries of bounded size; each trie is broadcast, numpy
+moves the states of all its windows forward together, counts accepting states as often as the
+windows occur, and the sums are the phrases' exact counts.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ COVERED = 50
 LONGEST = 3
 SCALE = 1_000_000
 
-#: Candidates of one trie, and tries that one pass over the texts walks.
+#: Candidates of one trie, and tries that are broadcast at once.
 PHRASES_PER_TRIE = 1 << 18
 TRIES_PER_PASS = 3
 #: Groups of first words by which phrases are dealt to tries.
@@ -167,8 +169,12 @@ def word_counts(texts: DataFrame, reader: Reader) -> DataFrame:
     )
 
 
-def candidates(texts: DataFrame, reader: Reader, frequent: DataFrame, least: int) -> DataFrame:
-    """Phrases of two and three words that can occur ``least`` times: ``w1, w2, w3``."""
+def windows(texts: DataFrame, reader: Reader, frequent: DataFrame, least: int) -> DataFrame:
+    """Text positions of phrases that can occur ``least`` times: ``w1, w2, w3, n``.
+
+    A window has the pair at a position and the word that makes it a run of three, if that can
+    occur as often; ``n`` positions have the same.
+    """
     context = texts.sparkSession.sparkContext
     words_kept = context.broadcast(filter_of(frequent))
 
@@ -201,50 +207,72 @@ def candidates(texts: DataFrame, reader: Reader, frequent: DataFrame, least: int
 
     threes_kept = context.broadcast(filter_of(totals(three_buckets)))
 
-    def phrases(batches):
+    def found(batches):
         for batch in batches:
             for run in reader.runs(batch):
                 pair, good = good_pairs(run)
                 three = reader.threes(pair, run.keys)
                 long = good[:-1] & good[1:]
                 long[long] = held(threes_kept.value, three[long])
-                for at, bucket, length in ((np.flatnonzero(good), pair, 2), (np.flatnonzero(long), three, 3)):
+                for at, bucket, length in (
+                    (np.flatnonzero(good & ~np.append(long, False)), pair, 2),
+                    (np.flatnonzero(long), three, 3),
+                ):
                     rows = np.stack([bucket[at], *(run.keys[at + k] for k in range(length))])
                     rows = rows[:, np.lexsort(rows)]
                     fresh = np.ones(rows.shape[1], dtype=bool)
                     fresh[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
                     out = [pa.array(r[fresh].view(np.int64)) for r in rows[1:]]
                     out += [pa.nulls(int(fresh.sum()), pa.int64())] * (LONGEST - length)
-                    yield pa.RecordBatch.from_arrays(out, names=["w1", "w2", "w3"])
+                    n = np.diff(np.append(np.flatnonzero(fresh), len(fresh)))
+                    yield pa.RecordBatch.from_arrays([*out, pa.array(n)], names=["w1", "w2", "w3", "n"])
+
+    rows = texts.mapInArrow(found, "w1 long, w2 long, w3 long, n long")
+    return rows.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(phrases, "w1 long, w2 long, w3 long").distinct()
+def candidates(found: DataFrame, least: int) -> DataFrame:
+    """Phrases of the windows that can occur ``least`` times: ``w1, w2, w3``."""
+    pairs = found.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    pairs = pairs.select("w1", "w2", F.lit(None).cast("long").alias("w3"), "n")
+    threes = found.where(F.col("w3").isNotNull())
+    return pairs.unionByName(threes).where(F.col("n") >= least).drop("n")
 
 
-def phrase_counts(texts: DataFrame, reader: Reader, phrases: DataFrame) -> DataFrame:
+def phrase_counts(found: DataFrame, least: int) -> DataFrame:
     """``w1, w2, w3, a``: exact occurrences of each candidate, from tries of bounded size."""
-    spark = texts.sparkSession
-    dealt, n_tries = dealt_to_tries(pin(phrases, "phrase-candidates"))
+    spark = found.sparkSession
+    found = pin(found, "phrase-windows")
+    dealt, n_tries = dealt_to_tries(pin(candidates(found, least), "phrase-candidates"))
     # Numbers inside a trie: about as many phrases are dealt to each.
     number = F.row_number().over(Window.partitionBy("trie").orderBy("w1", "w2", "w3")) - 1
     dealt = pin(dealt.withColumn("phrase", number), "phrase-tries")
     sums = spark.createDataFrame([], "trie int, phrase long, a long")
     for first in range(0, n_tries, TRIES_PER_PASS):
-        tries = [_trie(dealt, n) for n in range(first, min(first + TRIES_PER_PASS, n_tries))]
+        numbers = range(first, min(first + TRIES_PER_PASS, n_tries))
+        tries = [_trie(dealt, n) for n in numbers]
         sent = spark.sparkContext.broadcast(tries)
         del tries
-        sums = sums.unionByName(pin(_walk(texts, reader, sent, first), "phrase-counts"))
+        # Windows whose first word is in none of these tries are left to the others.
+        own = dealt.where(F.col("trie").isin(*numbers)).select(_bucket("w1").alias("bucket")).distinct()
+        here = found.withColumn("bucket", _bucket("w1")).join(F.broadcast(own), "bucket", "left_semi")
+        sums = sums.unionByName(pin(_walk(here.drop("bucket"), sent, first), "phrase-counts"))
         sent.destroy()
     return sums.join(dealt, ["trie", "phrase"]).select("w1", "w2", "w3", "a")
 
 
+def _bucket(word: str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(FIRST_WORD_BUCKETS))
+
+
 def dealt_to_tries(phrases: DataFrame) -> tuple[DataFrame, int]:
     """Phrases with the ``trie`` of each, and the number of tries.
 
-    First words lie together, so that a text position goes on in the one trie of its word and not
-    in all. A group of first words has a stretch of numbers, as long as it has phrases, in which
-    the hash places each: one with very many phrases lies over as many tries as it needs.
+    First words lie together, so that a window goes on in the one trie of its word and not in all.
+    A group of first words has a stretch of numbers, as long as it has phrases, in which the hash
+    places each: one with very many phrases lies over as many tries as it needs.
     """
-    grouped = phrases.withColumn("bucket", F.pmod(F.xxhash64("w1"), F.lit(FIRST_WORD_BUCKETS)))
+    grouped = phrases.withColumn("bucket", _bucket("w1"))
     sizes = sorted(tuple(r) for r in grouped.groupBy("bucket").agg(F.count(F.lit(1))).collect())
     stretches, total = [], 0
     for bucket, size in sizes:
@@ -264,16 +292,20 @@ def _trie(dealt: DataFrame, number: int) -> Trie:
     return build(np.stack(keys, axis=1), LONGEST - own["w3"].is_null().to_numpy().astype(np.int64))
 
 
-def _walk(texts: DataFrame, reader: Reader, sent: Broadcast, first: int) -> DataFrame:
-    """Sums of the accepting states of the broadcast tries, numbered from ``first``, over all texts."""
+def _walk(found: DataFrame, sent: Broadcast, first: int) -> DataFrame:
+    """Sums of the accepting states of the broadcast tries, numbered from ``first``, over all windows."""
 
     def walk(batches):
         sums = [np.zeros(t.n_phrases, dtype=np.int64) for t in sent.value]
         for batch in batches:
-            for run in reader.runs(batch):
-                which, distinct = pd.factorize(run.keys)
-                for own, trie in zip(sums, sent.value, strict=True):
-                    own += trie.count(trie.codes(distinct), run.joined, LONGEST, which)
+            # Windows one after the other, the last word of each joins nothing.
+            long = ~batch["w3"].is_null().to_numpy(zero_copy_only=False)
+            joined = np.stack([np.ones(len(long), dtype=bool), long, np.zeros(len(long), dtype=bool)], axis=1).ravel()
+            keys = np.stack([batch[c].fill_null(0).to_numpy() for c in ("w1", "w2", "w3")], axis=1).ravel()
+            which, distinct = pd.factorize(keys.view(np.uint64))
+            starts, times = np.arange(len(long)) * LONGEST, batch["n"].to_numpy()
+            for own, trie in zip(sums, sent.value, strict=True):
+                own += trie.count(trie.codes(distinct), joined, LONGEST, which, starts, times)
         for number, own in enumerate(sums, first):
             seen = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays(
@@ -281,8 +313,8 @@ def _walk(texts: DataFrame, reader: Reader, sent: Broadcast, first: int) -> Data
                 names=["trie", "phrase", "n"],
             )
 
-    found = texts.mapInArrow(walk, "trie int, phrase long, n long")
-    return found.groupBy("trie", "phrase").agg(F.sum("n").alias("a"))
+    sums = found.mapInArrow(walk, "trie int, phrase long, n long")
+    return sums.groupBy("trie", "phrase").agg(F.sum("n").alias("a"))
 
 
 def _score(a: str, left: str, right: str) -> Column:
@@ -361,7 +393,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     else:
         raise RuntimeError("no seed tells all words apart")
     frequent = vocabulary.where(F.col("n") >= least)
-    counts = phrase_counts(texts, reader, candidates(texts, reader, frequent, least))
+    counts = phrase_counts(windows(texts, reader, frequent, least), least)
     counts = pin(counts.where(F.col("a") >= least), "collocation-counts")
     sizes = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))

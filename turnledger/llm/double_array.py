@@ -48,31 +48,42 @@ class Trie:
         return out
 
     def count(
-        self, code: np.ndarray, joined: np.ndarray, longest: int = 3, which: np.ndarray | None = None
+        self,
+        code: np.ndarray,
+        joined: np.ndarray,
+        longest: int = 3,
+        which: np.ndarray | None = None,
+        starts: np.ndarray | None = None,
+        times: np.ndarray | None = None,
     ) -> np.ndarray:
         """Occurrences of each phrase; ``joined[i]`` tells whether word i + 1 continues word i.
 
         ``code`` has the words at all text positions or, with ``which``, distinct words, of which
         ``which`` tells the one at each position: the first step is then taken once a word. The
-        states of all text positions advance together, one word a level.
+        states of all text positions advance together, one word a level. With ``starts`` phrases
+        begin at these positions only, each of which counts ``times`` as often.
         """
         counts = np.zeros(self.n_phrases, dtype=np.int64)
         state = self.advance(np.zeros(len(code), dtype=np.int64), code)
         if which is not None:
             state = state[which]
         at = np.arange(len(state))
+        if starts is not None:
+            at, state = starts, state[starts]
         for level in range(1, longest + 1):
             good = np.flatnonzero(state >= 0)
-            at, state = at[good], state[good]
+            at, state, times = at[good], state[good], None if times is None else times[good]
             ended = self.accept[state]
-            ended = ended[ended >= 0]
-            if len(ended):
-                counts += np.bincount(ended, minlength=self.n_phrases)
+            done = ended >= 0
+            if done.any():
+                # Sums of whole numbers, exact up to 2^53.
+                own = np.bincount(ended[done], None if times is None else times[done], self.n_phrases)
+                counts += own.astype(np.int64, copy=False)
             if level == longest:
                 break
             last = at + level - 1
             good = joined[last]
-            at, state = at[good], state[good]
+            at, state, times = at[good], state[good], None if times is None else times[good]
             state = self.advance(state, code[at + level] if which is None else code[which[at + level]])
         return counts
 
